@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purseflow.llm import bpe, simhash, tokenfile
-from purseflow.llm.common import table
+from purseflow.llm import bpe, langid, quality, simhash, tokenfile
+from purseflow.llm.common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,6 +17,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = (fold("doc_id", quality.FOLDS) == quality.HELD_OUT).alias("held_out")
+    score = F.col("quality_score")
+    return quality.score(docs, model).select("doc_id", held_out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = (fold("doc_id", langid.FOLDS) == langid.HELD_OUT).alias("held_out")
+    return langid.predict(docs, langid.fit(docs)).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -31,6 +45,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality": op3_quality,
+    "op6_language": op6_language,
     "op8_token_file": op8_token_file,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
