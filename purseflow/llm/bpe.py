@@ -220,16 +220,21 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def _round_trip(spec):
+def _round_trip(spec, with_ids: bool):
     def run(batches):
         bpe = model(spec.value)
         for b in batches:
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, lists = [], [], [], []
             for ids in bpe.encode_batch(b.column("text").to_pylist()):
+                if with_ids:
+                    lists.append(np.frombuffer(ids, "<i4"))
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if with_ids:
+                columns.append(pa.array(lists, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     return run
 
@@ -273,8 +278,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decode(_shared(encoded, path)), "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded, its ids
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and ids if asked for: every text encoded, its ids
     decoded again, in one pass over the documents, without a shuffle. Null texts
     count as empty (no ids, and the digests of nothing)."""
-    return _input(docs).mapInArrow(_round_trip(_shared(docs, path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _input(docs).mapInArrow(_round_trip(_shared(docs, path), with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purseflow.llm import bpe, langid, quality, simhash, tokenfile
+from purseflow.llm import bpe, decontam, langid, linededup, quality, simhash, tokenfile
 from purseflow.llm.common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "n_equal")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -31,6 +36,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs)).select("doc_id", held_out, "lang_pred", "score", "rejected")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,8 +54,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_quality": op3_quality,
     "op6_language": op6_language,
+    "op7_line_dedup": op7_line_dedup,
     "op8_token_file": op8_token_file,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
