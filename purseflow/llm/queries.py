@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purseflow.llm import bpe, decontam, langid, linededup, quality, simhash, tokenfile
+from purseflow.llm import bpe, decontam, langid, linededup, quality, simhash, tokenfile, topk
 from purseflow.llm.common import fold, table
+from purseflow.storage import materialize
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -30,6 +31,28 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = materialize(topk.quantised(table(spark, sf_dir, "embeddings")), "vectors")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+OP5_SQL = """
+WITH clean AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM clean q JOIN clean c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = (fold("doc_id", langid.FOLDS) == langid.HELD_OUT).alias("held_out")
@@ -56,10 +79,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_quality": op3_quality,
+    "op5_top_k": op5_top_k,
     "op6_language": op6_language,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_file": op8_token_file,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_top_k": OP5_SQL}
