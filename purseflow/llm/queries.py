@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purseflow.llm import bpe, decontam, langid, linededup, quality, simhash, tokenfile, topk
+from purseflow.llm import bpe, decontam, html_blocks, langid, linededup, quality, simhash, tokenfile, topk
 from purseflow.llm.common import fold, table
 from purseflow.storage import materialize
 
@@ -31,6 +31,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_blocks.extract(pages, html_blocks.fit(pages))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = materialize(topk.quantised(table(spark, sf_dir, "embeddings")), "vectors")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -79,6 +84,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_quality": op3_quality,
+    "op4_main_text": op4_main_text,
     "op5_top_k": op5_top_k,
     "op6_language": op6_language,
     "op7_line_dedup": op7_line_dedup,
