@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purseflow.llm import bpe, decontam, html_blocks, langid, linededup, quality, simhash, tokenfile, topk
+from purseflow.llm import bpe, decontam, html_blocks, langid, licenses, linededup, quality, simhash, tokenfile, topk
 from purseflow.llm.common import fold, table
 from purseflow.storage import materialize
 
@@ -23,6 +23,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "start", "n_words", "n_equal")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -83,6 +88,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_licenses": op2_licenses,
     "op3_quality": op3_quality,
     "op4_main_text": op4_main_text,
     "op5_top_k": op5_top_k,
