@@ -43,20 +43,24 @@ def join_tokens(tokens: Column | str) -> Column:
     return F.aggregate(_col(tokens), F.lit(""), step)
 
 
-@F.pandas_udf("string")
-def match_key(text: pd.Series) -> pd.Series:
-    """NFKC, case-folded, letters and digits only. Apply it to distinct strings."""
-    fold = lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKC", s).casefold() if c.isalnum())
-    return text.map(fold, na_action="ignore")
+def _match_keys(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: "".join(c for c in unicodedata.normalize("NFKC", s).casefold() if c.isalnum()), na_action="ignore")
 
 
-@F.pandas_udf("double")
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks of two keys, 1 if one holds the other. Apply it to distinct pairs."""
+def match_key(text: Column | str) -> Column:
+    """NFKC, case-folded, letters and digits only. Apply it to distinct strings."""
+    return F.pandas_udf(_match_keys, "string")(text)
+
 
+def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y):
         if not x or not y:
             return 0.0
         return 1.0 if x in y or y in x else SequenceMatcher(None, x, y, autojunk=False).ratio()
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def similarity(a: Column | str, b: Column | str) -> Column:
+    """Ratio of matching blocks of two keys, 1 if one holds the other. Apply it to distinct pairs."""
+    return F.pandas_udf(_similarities, "double")(a, b)

@@ -82,9 +82,9 @@ def app_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of every other customer as rows of an app, with the dates shifted a little."""
     o = _table(spark, sf_dir, "orders").where("o_custkey % 2 = 0 and o_orderkey % 7 <> 0").select("o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("day"))
     shift = F.when(F.col("o_orderkey") % 3 == 0, (F.col("o_orderkey") % 8).cast("int")).otherwise(0)
-    size = (F.floor(F.col("o_totalprice") / 500) * 5).cast(MONEY)
+    size = F.floor("o_totalprice").cast(MONEY)
     return o.select(
-        F.concat(F.lit("shot"), F.expr("o_orderkey div 50"), F.lit("_row"), F.format_string("%02d", F.col("o_orderkey") % 50)).alias("row_image"),
+        F.concat(F.lit("shot"), F.expr("o_orderkey div 50"), F.lit("__"), F.format_string("%02d", F.col("o_orderkey") % 50)).alias("row_image"),
         F.concat(F.lit("shot"), F.expr("o_orderkey div 50")).alias("source_stem"),
         (F.col("o_orderkey") % 50).cast("int").alias("row_index"),
         F.concat(F.when(F.col("o_orderkey") % 5 == 0, "Shop ").otherwise("shop-"), F.expr("o_custkey div 8")).alias("merchant_text"),
@@ -97,7 +97,7 @@ def app_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", F.to_date("o_orderdate").alias("day"))
-    size = (F.floor(F.col("o_totalprice") / 500) * 5).cast(MONEY)
+    size = F.floor("o_totalprice").cast(MONEY)
     return o.select(
         F.concat(F.lit("t"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("transaction_id"),
         F.col("day").alias("transaction_date"),
@@ -135,13 +135,13 @@ _SQL = {
       d.note AS note
     FROM transactions t LEFT JOIN decisions d USING (transaction_id) LEFT JOIN description_map m ON t.description = m.description
     LEFT JOIN merchant_map c ON coalesce(d.merchant_override, m.merchant) = c.merchant""",
-    "app_rows": """SELECT 'shot' || (o_orderkey // 50) || '_row' || printf('%02d', o_orderkey % 50) AS row_image, 'shot' || (o_orderkey // 50) AS source_stem, CAST(o_orderkey % 50 AS INTEGER) AS row_index,
+    "app_rows": """SELECT 'shot' || (o_orderkey // 50) || '__' || printf('%02d', o_orderkey % 50) AS row_image, 'shot' || (o_orderkey // 50) AS source_stem, CAST(o_orderkey % 50 AS INTEGER) AS row_index,
       CASE WHEN o_orderkey % 5 = 0 THEN 'Shop ' ELSE 'shop-' END || (o_custkey // 8) AS merchant_text, 'shop' || (o_custkey // 8) AS merchant_key,
-      CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE -1 END * CAST(floor(o_totalprice / 500) * 5 AS DECIMAL(28,6)) AS amount,
+      CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE -1 END * CAST(floor(o_totalprice) AS DECIMAL(28,6)) AS amount,
       CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 8 ELSE 0 END AS INTEGER) AS occurred_on, o_orderkey AS row_ord
     FROM orders WHERE o_custkey % 2 = 0 AND o_orderkey % 7 <> 0""",
     "bank_rows": """SELECT 't' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS transaction_id, CAST(o_orderdate AS DATE) AS transaction_date,
-      CASE WHEN o_orderstatus = 'P' THEN -1 ELSE 1 END * CAST(floor(o_totalprice / 500) * 5 AS DECIMAL(28,6)) AS amount, 'desc-' || o_custkey AS description FROM orders""",
+      CASE WHEN o_orderstatus = 'P' THEN -1 ELSE 1 END * CAST(floor(o_totalprice) AS DECIMAL(28,6)) AS amount, 'desc-' || o_custkey AS description FROM orders""",
     # The descriptions and merchants that no refund can reach, and their spending.
     "plain": """SELECT t.*, e.merchant_name, e.display_name, e.category, e.category_source, strftime(t.transaction_date, '%Y-%m') AS month
     FROM transactions t JOIN enrichments e USING (transaction_id)

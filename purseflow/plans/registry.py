@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from purseflow.plans import ledger_queries
+from purseflow.plans import ledger_queries, matching_queries, view_queries
 
-QUERIES = {**ledger_queries.QUERIES}
-SQL = {**ledger_queries.SQL}
+_MODULES = (ledger_queries, view_queries, matching_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
