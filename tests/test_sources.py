@@ -161,3 +161,42 @@ def test_order_violations(spark, values, flagged):
     frame = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "source_stem string, row_index int, value int")
     got = {r.row_index for r in matching.order_violations(frame).where("order_violation").collect()}
     assert got == model(values)
+
+
+def test_running_spending(spark, tmp_path):
+    src = tmp_path / "in"
+    schema = "component string, transaction_date date, txn_ord long, amount_minor long"
+    spark.createDataFrame([("a", D(2026, 1, 1), 1, 100), ("a", D(2026, 1, 2), 2, 50), ("a", D(2026, 1, 3), 3, -100), ("b", D(2026, 1, 1), 4, -5)], schema).write.parquet(str(src))
+    out = ingest.running_spending(spark.readStream.schema(schema).parquet(str(src)))
+    q = out.writeStream.format("memory").queryName("running").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark.createDataFrame([("a", D(2026, 1, 4), 5, -80)], schema).write.mode("append").parquet(str(src))
+    rows = {r.txn_ord: (r.matched_minor, r.unmatched_minor) for r in spark.sql("SELECT * FROM running").collect()}
+    assert rows == {3: (100, 0), 4: (0, 5)}
+
+
+def test_run_log(spark, tmp_path):
+    log = ingest.RunLog()
+    spark.streams.addListener(log)
+    try:
+        inbox = tmp_path / "in"
+        inbox.mkdir()
+        write(inbox, mail([CHARGE]))
+        ingest.ingest(ingest.mail_stream(spark, str(inbox)), str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
+        import time
+
+        for _ in range(50):
+            if any(r[1] == "ended" for r in log.rows):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    assert {r.event for r in log.table(spark).collect()} >= {"started", "progress", "ended"}
+
+
+def test_labels_sort_in_chinese(spark):
+    from purseflow.operators import views
+
+    frame = spark.createDataFrame([("a", "中"), ("b", "啊"), ("c", "波")], "transaction_id string, display_name string").withColumn("transaction_date", __import__("pyspark").sql.functions.lit("2026-01-01").cast("date"))
+    assert [r.transaction_id for r in views.transactions_by_label(frame).collect()] == ["b", "c", "a"]
+    assert views.row_json(spark.createDataFrame([("1.50", None)], "amount string, x string").withColumn("amount", __import__("pyspark").sql.functions.expr("cast(amount as decimal(28,6))"))).first().json == '{"amount":"1.5","x":null}'
