@@ -259,7 +259,9 @@ def naive_lines(spark, docs):
     return {d: "\n".join(s for k, s in enumerate(t.split("\n")) if not norm(s) or first[root(norm(s))] == (d, k)) for d, t in docs}
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("blocks", [5, 8])
+def test_line_dedup_against_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(linededup, "blocks_for", lambda lines: blocks)
     rng = random.Random(8)
     pool = [sentence(rng, rng.choice([1, 3, 5, 8, 20, 60])) for _ in range(25)]
     docs = []
@@ -278,6 +280,10 @@ def test_line_dedup_against_brute_force(spark):
     assert got == naive_lines(spark, docs)
 
 
+def test_blocks_grow_with_the_lines():
+    assert [linededup.blocks_for(n) for n in (0, 8_000_000, 9_000_000, 10**9, 10**12, 10**16)] == [5, 5, 6, 7, 9, 12]
+
+
 def test_line_dedup_awkward(spark, awkward):
     out = linededup.dedup_lines(table(spark, awkward))
     assert [c for c in out.columns if c not in ("n_lines", "n_removed")] == [c for c in SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ") if c != "n_lines"]
