@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -84,6 +85,7 @@ class _Component:
         self.links: dict[str, list] = {}  # record -> [transaction, role, order]
         self.members: dict[str, list[str]] = defaultdict(list)
         self.hint: dict[str, str] = {}
+        self.at: dict[tuple, dict[str, None]] = defaultdict(dict)  # transactions by their authority's facts; some may have moved on
         for r in sorted((r for r in rows if r["link_transaction"] is not None), key=lambda r: r["link_ord"]):
             self._link(r["source_record_id"], r["link_transaction"], r["role"], r["link_ord"])
             if r["transaction_hint"] is not None:
@@ -94,6 +96,16 @@ class _Component:
     def _link(self, record: str, txn: str, role: str, order: str):
         self.links[record] = [txn, role, order]
         self.members[txn].append(record)
+        if role == "authoritative":
+            self._place(record, txn)
+
+    @staticmethod
+    def _facts(r: dict, day) -> tuple:
+        return r["transaction_type"], r["currency"], r["amount"], day
+
+    def _place(self, record: str, txn: str):
+        r = self.by_id[record]
+        self.at[self._facts(r, r["transaction_date"])][txn] = None
 
     def _authority(self, txn: str):
         return next((self.by_id[m] for m in self.members[txn] if self.links[m][1] == "authoritative"), None)
@@ -101,19 +113,21 @@ class _Component:
     def _take_authority(self, record: str, txn: str):
         for m in self.members[txn]:
             self.links[m][1] = "authoritative" if m == record else "supporting"
+        self._place(record, txn)
 
     def _candidates(self, r: dict) -> list[tuple]:
         found = []
-        for txn in self.members:
+        near = [self._facts(r, r["transaction_date"] + timedelta(days=d)) for d in range(-self.days, self.days + 1)]
+        for key, txn in [(key, txn) for key in near for txn in self.at.get(key, ())]:
             a = self._authority(txn)
-            if a is None or r["candidate_scope"] != "any" and a["source_type"] != r["candidate_scope"]:
+            if a is None or self._facts(a, a["transaction_date"]) != key:
                 continue
-            if (a["transaction_type"], a["currency"], a["amount"]) != (r["transaction_type"], r["currency"], r["amount"]):
+            if r["candidate_scope"] != "any" and a["source_type"] != r["candidate_scope"]:
                 continue
             distance = abs((a["transaction_date"] - r["transaction_date"]).days)
             theirs = self.hint.get(txn) or a["record_hint"]
             match = None if r["record_hint"] is None or theirs is None else r["record_hint"] == theirs
-            if distance <= self.days and match is not False:
+            if match is not False:
                 found.append((txn, distance, match))
         return found
 
