@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 WORDS_AT_ONCE = 200_000
 #: Control characters that Python's str.split takes for white space and the tokenizer's pattern doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -128,6 +128,11 @@ class WordBpe:
         bounds = np.r_[0, ends] * 4
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
+    @property
+    def limit(self) -> int:
+        """Most words, and most pieces, that are remembered."""
+        return CACHE_WORDS
+
     def split(self, word: str) -> list[str]:
         if word.isalpha():
             return [word]
@@ -140,10 +145,10 @@ class WordBpe:
         split = {w: self.split(w) for w in words}
         each = {p for ps in split.values() for p in ps}
         new = list(each.difference(self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = list(each)
-        known = self.known if len(new) <= CACHE_WORDS else {}
+        known = self.known if len(new) <= self.limit else {}
         known.update(zip(new, self.encode_pieces(new)))
         return {w: b"".join(map(known.__getitem__, ps)) for w, ps in split.items()}
 
@@ -154,9 +159,9 @@ class WordBpe:
             new = self.learn({words[i] for i in missing})
             for i in missing:
                 found[i] = new[words[i]]
-            if len(self.words) + len(new) > CACHE_WORDS:
+            if len(self.words) + len(new) > self.limit:
                 self.words.clear()
-            if len(new) <= CACHE_WORDS:
+            if len(new) <= self.limit:
                 self.words.update(new)
         return found
 

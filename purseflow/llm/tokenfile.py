@@ -99,7 +99,10 @@ class Shard:
 
 class LibraryBpe(WordBpe):
     """As the tokenizers library encodes: it gets each word that is new to a worker,
-    as this kind of tokenizer encodes words independently."""
+    as this kind of tokenizer encodes words independently. The library is slower with
+    a new word than our own encoder, so more words are remembered."""
+
+    limit = 600_000
 
     def __init__(self, spec: str):
         super().__init__(spec)
