@@ -70,7 +70,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), whole=True).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,6 +284,39 @@ def test_blocks_grow_with_the_lines():
     assert [linededup.blocks_for(n) for n in (0, 8_000_000, 9_000_000, 10**9, 10**12, 10**16)] == [5, 5, 6, 7, 9, 12]
 
 
+def test_whole_line_dedup_against_edit_distance_alone(spark):
+    """No bit filter: every pair of lines within a fifth of their words is one line."""
+    rng = random.Random(9)
+    base = [[f"{rng.choice(WORDS)}{rng.randrange(40)}" for _ in range(n)] for n in (5, 6, 9, 10, 14, 20, 35, 60, 120)] + [["the"] * 12, ["the", "of"] * 10]
+    forms = []
+    for w in base:
+        forms.append(" ".join(w))
+        for _ in range(12):
+            w2 = list(w)
+            for _ in range(rng.randrange(1, max(2, len(w) // 4 + 1))):
+                at = rng.randrange(len(w2))
+                w2[at : at + rng.randrange(2)] = [rng.choice(WORDS)] if rng.random() < 0.8 else []
+            forms.append(" ".join(w2))
+    forms = list(dict.fromkeys(f for f in forms if len(f.split()) >= 5))
+    up = list(range(len(forms)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    words = [f.split() for f in forms]
+    for i in range(len(forms)):
+        for j in range(i):
+            if levenshtein(words[i], words[j]) <= max(len(words[i]), len(words[j])) // 5:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    want = {i: f if root(i) == i else "" for i, f in enumerate(forms)}
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(table(spark, list(enumerate(forms))), whole=True).collect()}
+    assert got == want
+    narrow = {r.doc_id: r.text for r in linededup.dedup_lines(table(spark, list(enumerate(forms)))).collect()}
+    assert sum(t == "" for t in narrow.values()) < sum(t == "" for t in want.values())
+
+
 def test_line_dedup_awkward(spark, awkward):
     out = linededup.dedup_lines(table(spark, awkward))
     assert [c for c in out.columns if c not in ("n_lines", "n_removed")] == [c for c in SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ") if c != "n_lines"]
