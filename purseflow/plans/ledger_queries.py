@@ -49,6 +49,13 @@ def plain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return rows.select("transaction_id", F.col("amount").alias("spending")), t, e
 
 
+def whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole ledger, with spending net of refunds: what the queries named net_* read. SQL does not
+    express netting, so queries of the same name without net_ show the same steps over ``plain``."""
+    t, e, o = netted(spark, sf_dir)
+    return refunds.net_consumption(o), t, e
+
+
 @query(sql("records", "transactions", then="SELECT transaction_id, source_record_id, transaction_type, transaction_date, CAST(amount * 100 AS BIGINT) AS amount_minor, currency, txn_ord FROM transactions"))
 def rebuild_transactions(spark, sf_dir):
     r = A.records(spark, sf_dir)
@@ -72,7 +79,15 @@ def review_signals_raw(spark, sf_dir):
     CASE WHEN category = '综合购物' AND amount >= 1000 THEN ['high_value_general_shopping_review'] ELSE [] END END) AS signal FROM plain""")
 )
 def review_signals_net(spark, sf_dir):
-    net, _, e = plain(spark, sf_dir)
+    return _review_signals(*plain(spark, sf_dir))
+
+
+@query()
+def net_review_signals(spark, sf_dir):
+    return _review_signals(*whole(spark, sf_dir))
+
+
+def _review_signals(net, _, e) -> DataFrame:
     return enrichment.net_signals(e.join(net.select("transaction_id"), "transaction_id", "left_semi"), net).select("transaction_id", F.explode("review_signals").alias("signal"))
 
 
@@ -118,8 +133,12 @@ def spending_payload(spark, sf_dir):
     return projections.spending_json(stats, projections.month_coverage(stats.where("grain = 'month'").select("month"), A.statement_dates(spark, sf_dir)))
 
 
-def _plain_stats(spark, sf_dir) -> DataFrame:
-    return projections.spending_statistics(projections.spending_facts(*plain(spark, sf_dir)))
+def _plain_stats(spark, sf_dir, part=plain) -> DataFrame:
+    return projections.spending_statistics(projections.spending_facts(*part(spark, sf_dir)))
+
+
+def _rollup(stats: DataFrame) -> DataFrame:
+    return stats.where("grain <> 'merchant'").select("grain", "month", "category", "spending_minor", "transaction_count")
 
 
 @query(sql("plain", then="SELECT month, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, count(*) AS transaction_count FROM plain GROUP BY month"))
@@ -141,14 +160,28 @@ def spending_no_refund_merchant(spark, sf_dir):
 @query(sql("plain", then="""SELECT CASE WHEN grouping(month) = 1 THEN 'all' WHEN grouping(category) = 1 THEN 'month' ELSE 'category' END AS grain, month, category, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, count(*) AS transaction_count
     FROM plain GROUP BY GROUPING SETS ((), (month), (month, category))"""))
 def spending_rollup(spark, sf_dir):
-    return _plain_stats(spark, sf_dir).where("grain <> 'merchant'").select("grain", "month", "category", "spending_minor", "transaction_count")
+    return _rollup(_plain_stats(spark, sf_dir))
+
+
+@query()
+def net_spending_rollup(spark, sf_dir):
+    return _rollup(_plain_stats(spark, sf_dir, whole))
 
 
 @query(sql("statement_dates", "plain", then="""SELECT month, m.a AND m.b AS is_complete, m.a AND m.b AS "show" FROM (SELECT DISTINCT month,
     CAST(month || '-10' AS DATE) IN (SELECT statement_date FROM statement_dates) AS a,
     CAST(CAST(month || '-10' AS DATE) + INTERVAL 1 MONTH AS DATE) IN (SELECT statement_date FROM statement_dates) AS b FROM plain) m"""))
 def month_coverage(spark, sf_dir):
-    net, t, _ = plain(spark, sf_dir)
+    return _coverage(spark, sf_dir, plain)
+
+
+@query()
+def net_month_coverage(spark, sf_dir):
+    return _coverage(spark, sf_dir, whole)
+
+
+def _coverage(spark, sf_dir, part) -> DataFrame:
+    net, t, _ = part(spark, sf_dir)
     months = net.join(t, "transaction_id").select(month_key("transaction_date").alias("month"))
     return projections.month_coverage(months, A.statement_dates(spark, sf_dir))
 
@@ -168,8 +201,8 @@ def cash_sql(then: str) -> str:
     return sql("statement_dates", "plain", then="").rstrip() + ",\n" + _CASH + "\n" + then
 
 
-def cash_flow(spark, sf_dir) -> DataFrame:
-    net, t, _ = plain(spark, sf_dir)
+def cash_flow(spark, sf_dir, part=plain) -> DataFrame:
+    net, t, _ = part(spark, sf_dir)
     spending = net.join(t, "transaction_id").groupBy(month_key("transaction_date").alias("month")).agg(minor_units(F.sum("spending")).alias("spending_minor"), F.count("*").alias("spending_count"))
     months = t.select(month_key("transaction_date").alias("month"))
     return projections.financial_months(projections.income_by_month(t), spending, projections.month_coverage(months, A.statement_dates(spark, sf_dir)))
@@ -180,6 +213,11 @@ def cash_flow_month(spark, sf_dir):
     return cash_flow(spark, sf_dir)
 
 
+@query()
+def net_cash_flow_month(spark, sf_dir):
+    return cash_flow(spark, sf_dir, whole)
+
+
 @query(cash_sql("""SELECT scope, CAST(sum(income_minor) AS BIGINT) AS income_minor, CAST(sum(spending_minor) AS BIGINT) AS spending_minor, CAST(sum(income_minor - spending_minor) AS BIGINT) AS net_minor,
     CAST(sum(income_count) AS BIGINT) AS income_count, CAST(sum(spending_count) AS BIGINT) AS spending_count, count(*) AS month_count
     FROM cash, (VALUES ('all_data'), ('shown_data')) v(scope) WHERE scope = 'all_data' OR shown GROUP BY scope"""))
@@ -187,14 +225,28 @@ def financial_summary(spark, sf_dir):
     return projections.financial_summary(cash_flow(spark, sf_dir))
 
 
+@query()
+def net_financial_summary(spark, sf_dir):
+    return projections.financial_summary(cash_flow(spark, sf_dir, whole))
+
+
 @query()
 def financial_payload(spark, sf_dir):
-    return projections.financial_json(cash_flow(spark, sf_dir))
+    return projections.financial_json(cash_flow(spark, sf_dir, whole))
 
 
 @query(sql("plain", then="""SELECT month, category, spending_minor, CASE WHEN total > 0 AND spending_minor > 0 THEN floor(CAST(spending_minor AS DOUBLE) / CAST(total AS DOUBLE) * 1000 + 0.5) / 10 ELSE 0 END AS share_percent
     FROM (SELECT month, category, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, CAST(sum(sum(amount)) OVER (PARTITION BY month) * 100 AS BIGINT) AS total FROM plain GROUP BY month, category)"""))
 def category_shares(spark, sf_dir):
-    rows = _plain_stats(spark, sf_dir).where("grain = 'category'")
+    return _shares(_plain_stats(spark, sf_dir))
+
+
+@query()
+def net_category_shares(spark, sf_dir):
+    return _shares(_plain_stats(spark, sf_dir, whole))
+
+
+def _shares(stats: DataFrame) -> DataFrame:
+    rows = stats.where("grain = 'category'")
     total = rows.groupBy("month").agg(F.sum("spending_minor").alias("total"))
     return rows.join(total, "month").select("month", "category", "spending_minor", share_percent(F.col("spending_minor"), F.col("total")).alias("share_percent"))

@@ -10,7 +10,7 @@ from purseflow.functions.money import minor_units
 from purseflow.operators import changes, checks, identity, review, schedule, views
 from purseflow.plans import adapters as A
 from purseflow.plans.adapters import sql
-from purseflow.plans.ledger_queries import _plain_stats, cash_flow, cash_sql, enriched
+from purseflow.plans.ledger_queries import _plain_stats, cash_flow, cash_sql, enriched, plain, whole
 from purseflow.schemas import MONEY
 
 QUERIES: dict = {}
@@ -36,7 +36,16 @@ def _view(spark, sf_dir):
     SELECT month, merchant_name, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, CAST(sum(sum(amount)) OVER (PARTITION BY month) * 100 AS BIGINT) AS total,
       row_number() OVER (PARTITION BY month ORDER BY sum(amount) DESC, display_name, coalesce(merchant_name, '')) AS rank FROM plain GROUP BY month, merchant_name, display_name) WHERE rank <= 8"""))
 def top_merchants(spark, sf_dir):
-    return views.top_merchants(_plain_stats(spark, sf_dir)).drop("display_name").withColumn("rank", F.col("rank").cast("long"))
+    return _top_merchants(_plain_stats(spark, sf_dir))
+
+
+@query()
+def net_top_merchants(spark, sf_dir):
+    return _top_merchants(_plain_stats(spark, sf_dir, whole))
+
+
+def _top_merchants(stats):
+    return views.top_merchants(stats).drop("display_name").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(cash_sql("""SELECT month, income_minor, spending_minor, income_minor - spending_minor AS net_minor, CAST(greatest(1, max(greatest(income_minor, spending_minor)) OVER ()) AS BIGINT) AS axis_maximum
@@ -45,15 +54,29 @@ def financial_trend(spark, sf_dir):
     return views.financial_trend(cash_flow(spark, sf_dir))
 
 
+@query()
+def net_financial_trend(spark, sf_dir):
+    return views.financial_trend(cash_flow(spark, sf_dir, whole))
+
+
 @query(sql("statement_dates", "plain", then="""SELECT m.month, t.category, coalesce(s.spending_minor, 0) AS spending_minor, t.category_total FROM
     (SELECT DISTINCT month FROM plain WHERE CAST(month || '-10' AS DATE) IN (SELECT statement_date FROM statement_dates) AND CAST(CAST(month || '-10' AS DATE) + INTERVAL 1 MONTH AS DATE) IN (SELECT statement_date FROM statement_dates) ORDER BY month DESC LIMIT 12) m
     CROSS JOIN LATERAL (SELECT 1) one
     JOIN (SELECT category, CAST(sum(amount) * 100 AS BIGINT) AS category_total FROM plain WHERE month IN (SELECT DISTINCT month FROM plain WHERE CAST(month || '-10' AS DATE) IN (SELECT statement_date FROM statement_dates) AND CAST(CAST(month || '-10' AS DATE) + INTERVAL 1 MONTH AS DATE) IN (SELECT statement_date FROM statement_dates) ORDER BY month DESC LIMIT 12) GROUP BY category) t ON TRUE
     LEFT JOIN (SELECT month, category, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor FROM plain GROUP BY ALL) s ON s.month = m.month AND s.category = t.category"""))
 def category_trend_grid(spark, sf_dir):
+    return _trend_grid(spark, sf_dir, plain)
+
+
+@query()
+def net_category_trend_grid(spark, sf_dir):
+    return _trend_grid(spark, sf_dir, whole)
+
+
+def _trend_grid(spark, sf_dir, part):
     from purseflow.operators.projections import month_coverage
 
-    stats = _plain_stats(spark, sf_dir)
+    stats = _plain_stats(spark, sf_dir, part)
     return views.category_trend(stats, month_coverage(stats.where("grain = 'month'").select("month"), A.statement_dates(spark, sf_dir)))
 
 
@@ -76,9 +99,18 @@ def recent_transactions(spark, sf_dir):
     (SELECT count(DISTINCT description) FROM transactions WHERE transaction_type = 'expense' AND description NOT IN (SELECT description FROM description_map)) AS review_count
     FROM (SELECT * FROM cash WHERE shown ORDER BY month DESC LIMIT 1)"""))
 def home_summary(spark, sf_dir):
+    return _home(spark, sf_dir, plain)
+
+
+@query()
+def net_home_summary(spark, sf_dir):
+    return _home(spark, sf_dir, whole)
+
+
+def _home(spark, sf_dir, part):
     t = A.transactions(spark, sf_dir)
     todo = review.unmapped_expenses(t, A.description_map(spark, sf_dir)).select("description").distinct()
-    home = views.home_summary(cash_flow(spark, sf_dir), t, todo)
+    home = views.home_summary(cash_flow(spark, sf_dir, part), t, todo)
     return home.select("month", "income_minor", "spending_minor", F.array_join("recent_ids", ",").alias("recent"), "review_count")
 
 

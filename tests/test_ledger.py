@@ -58,6 +58,47 @@ def test_netting_equals_the_model(spark, seed):
     assert {r.transaction_id: (r.rule, r.remaining) for r in found if r.kind == "refund"} == out
 
 
+def test_net_queries_cover_the_whole_ledger(spark):
+    """Purchases that a refund can reach are in, net: months, merchants and shares against the model."""
+    import json
+    import os
+    from collections import Counter
+
+    from purseflow.plans import ledger_queries, registry
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    t, e = ledger_queries.enriched(spark, sf)
+    facts = {r.transaction_id: r for r in e.collect()}
+    spent = [r for r in t.collect() if r.transaction_type == "expense"]
+    left, _ = naive_netting([(r.transaction_id, r.transaction_date, r.txn_ord, r.amount, r.description or f"source:{r.source_record_id}", facts[r.transaction_id].merchant_name) for r in spent])
+    assert any(r.amount < 0 for r in spent)
+    month, category, merchant = Counter(), Counter(), Counter()
+    for r in spent:
+        if left.get(r.transaction_id, 0) > 0:
+            m, minor = str(r.transaction_date)[:7], int(left[r.transaction_id] * 100)
+            month[m] += minor
+            category[m, facts[r.transaction_id].category] += minor
+            merchant[m, facts[r.transaction_id].merchant_name] += minor
+    rows = lambda name: registry.QUERIES[name](spark, sf).collect()
+    cash = rows("net_cash_flow_month")
+    assert {r.month: r.spending_minor for r in cash if r.spending_minor} == month
+    assert all(r.net_minor == r.income_minor - r.spending_minor for r in cash)
+    assert {r.scope: r.spending_minor for r in rows("net_financial_summary")}["all_data"] == sum(month.values())
+    assert {(r.month, r.category): r.spending_minor for r in rows("net_category_shares")} == category
+    rolled = {(r.grain, r.month, r.category): r.spending_minor for r in rows("net_spending_rollup")}
+    assert rolled["all", None, None] == sum(month.values()) and {k[1]: v for k, v in rolled.items() if k[0] == "month"} == month
+    assert all(merchant[r.month, r.merchant_name] == r.spending_minor for r in rows("net_top_merchants") if r.merchant_name)
+    assert {r.month for r in rows("net_month_coverage")} == set(month)
+    assert {r.month: r.spending_minor for r in rows("net_financial_trend")}.items() <= {r.month: r.spending_minor for r in cash}.items()
+    assert all(r.spending_minor == category[r.month, r.category] for r in rows("net_category_trend_grid"))
+    assert all(r.spending_minor == month[r.month] for r in rows("net_home_summary"))
+    assert {r.transaction_id for r in rows("net_review_signals")} <= {k for k, v in left.items() if v > 0}
+    payload = json.dumps([r.asDict(True) for r in rows("financial_payload")], default=str)
+    assert all(str(v) in payload for v in month.values())
+
+
 def ledger(spark, rows):
     """(description, amount, date, merchant) to transactions and enrichments."""
     t = spark.createDataFrame([(f"t{i}", f"r{i}", "income" if x > 900 and k is None else "expense", d, Decimal(x), "CNY", k, i) for i, (k, x, d, _) in enumerate(rows)], TXN)
