@@ -8,7 +8,10 @@ changes the speed, never a result.
 
 The vocabulary is a public tokenizer file of the kind with word ends: text is
 normalised (NFC, white space, lower case) and split to words by a pattern, and a
-word's last symbol carries an end mark.
+word's last symbol carries an end mark. Which characters are letters or digits is
+Python's Unicode table's to say. A text with a character that this table doesn't have,
+or that the pattern's module takes for another kind, is normalised and split by the
+tokenizers library itself, whose table may be newer.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ CACHE_WORDS = 200_000
 WORDS_AT_ONCE = 200_000
 #: Control characters that Python's str.split takes for white space and the tokenizer's pattern doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+_KINDS = {"L": regex.compile(r"\p{L}"), "N": regex.compile(r"\p{N}"), " ": regex.compile(r"[^\S\x1c-\x1f]")}
 
 
 def byte_symbols() -> dict[str, int]:
@@ -39,6 +43,16 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _kind(c: str) -> str:
+    """L, N, a space or O (other) by Python's table; of a character that it doesn't have, a question mark."""
+    kind = unicodedata.category(c)
+    return "?" if kind == "Cn" else kind[0] if kind[0] in "LN" else " " if c.isspace() and not _ODD_SPACE.match(c) else "O"
+
+
+def _pattern_kind(c: str) -> str:
+    return next((k for k, p in _KINDS.items() if p.match(c)), "O")
+
+
 class WordBpe:
     """A tokenizer file's vocabulary as arrays."""
 
@@ -73,6 +87,8 @@ class WordBpe:
         split = top["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(split).findall
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.spec, self.library, self.as_byte = spec, None, as_byte
+        self.plain: set[str] = set()  # characters met that Python's table and the pattern's module agree on
         self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}  # pieces
 
@@ -153,17 +169,15 @@ class WordBpe:
         return {w: b"".join(map(known.__getitem__, ps)) for w, ps in split.items()}
 
     def lookup(self, words: list[str]) -> list[bytes]:
-        found = list(map(self.words.get, words))
-        if None in found:
-            missing = [i for i, x in enumerate(found) if x is None]
-            new = self.learn({words[i] for i in missing})
-            for i in missing:
-                found[i] = new[words[i]]
-            if len(self.words) + len(new) > self.limit:
-                self.words.clear()
-            if len(new) <= self.limit:
-                self.words.update(new)
-        return found
+        each = set(words)
+        new = each.difference(self.words)
+        if len(self.words) + len(new) > self.limit:
+            self.words.clear()
+            new = each
+        known = self.words if len(new) <= self.limit else {}
+        if new:
+            known.update(self.learn(new))
+        return list(map(known.__getitem__, words))
 
     def normal_words(self, text: str) -> list[str]:
         if not text.isascii():
@@ -173,12 +187,31 @@ class WordBpe:
             return regex.split(r"[^\S\x1c-\x1f]+", text)
         return text.split()
 
+    def odd(self, text: str) -> bool:
+        """Whether only the library knows how to split the text."""
+        if text.isascii():
+            return False
+        new = set(text).difference(self.plain)
+        found = {c for c in new if _kind(c) != _pattern_kind(c)}
+        self.plain |= new - found
+        return bool(found)
+
+    def by_library(self, text: str) -> bytes:
+        """The ids of a text that the library normalises and splits."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return b"".join(self.encode_pieces([bytes(map(self.as_byte.__getitem__, p)).decode() for p, _ in pieces]))
+
     def parts(self, text: str | None) -> list[list[str] | bytes]:
-        """Word lists, with special tokens' ids between them."""
+        """Word lists, with special tokens' ids and those of odd texts between them."""
         text = text or ""
+        own = lambda x: self.by_library(x) if self.odd(x) else self.normal_words(x)
         if self.at_special is None or not self.at_special.search(text):
-            return [self.normal_words(text)]
-        return [self.special[x].to_bytes(4, "little") if x in self.special else self.normal_words(x) for x in self.at_special.split(text)]
+            return [own(text)]
+        return [self.special[x].to_bytes(4, "little") if x in self.special else own(x) for x in self.at_special.split(text)]
 
     def encode_batch(self, texts: list[str | None]):
         """Yield each text's ids as bytes, looking words up for many texts at once."""

@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -98,32 +99,24 @@ class Shard:
 
 
 class LibraryBpe(WordBpe):
-    """As the tokenizers library encodes: it gets each word that is new to a worker,
-    as this kind of tokenizer encodes words independently. The library is slower with
-    a new word than our own encoder, so more words are remembered."""
+    """As the tokenizers library encodes: its model gets each piece that is new to a
+    worker, as this kind of tokenizer encodes pieces independently."""
 
-    limit = 600_000
+    limit = 300_000
 
     def __init__(self, spec: str):
         super().__init__(spec)
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        self.ends = np.array([t.endswith(b"</w>") for t in self.token])
+        self.library = Tokenizer.from_str(spec)
+        self.printable = {b: c for c, b in self.as_byte.items()}
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(pieces), 5000):
-            part = pieces[at : at + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != len(part):  # a piece that the library splits further or drops
-                out += [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in part]
-                continue
-            data, bounds = ids.tobytes(), np.r_[0, last].tolist()
-            out += [data[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
+        tokenize, out = self.library.model.tokenize, []
+        for p in pieces:
+            if not (p.isascii() and p.isprintable()):
+                p = p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.printable)
+            out.append(array("I", [t.id for t in tokenize(p)]).tobytes())
         return out
 
 
