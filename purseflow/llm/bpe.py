@@ -3,7 +3,7 @@
 A byte pair that occurs inside no vocabulary token can never be merged over: the
 place between its two bytes is a certain cut. Words are cut there, the fragments
 are encoded independently, all fragments of a batch at once with numpy, and the
-ids are concatenated. Words met before come from a cache of bounded size; the cache
+ids are concatenated. Pieces met before come from a cache of bounded size; the cache
 changes the speed, never a result.
 
 The vocabulary is a public tokenizer file of the kind with word ends: text is
@@ -28,10 +28,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 200_000
-WORDS_AT_ONCE = 200_000
+CACHE_PIECES = 200_000
+PIECES_AT_ONCE = 200_000
 #: Control characters that Python's str.split takes for white space and the tokenizer's pattern doesn't.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+_WORD_KINDS = {"L": re.compile(r"[^\W\d_]"), "N": re.compile(r"\d"), " ": re.compile(r"\s")}
 _KINDS = {"L": regex.compile(r"\p{L}"), "N": regex.compile(r"\p{N}"), " ": regex.compile(r"[^\S\x1c-\x1f]")}
 
 
@@ -49,8 +50,16 @@ def _kind(c: str) -> str:
     return "?" if kind == "Cn" else kind[0] if kind[0] in "LN" else " " if c.isspace() and not _ODD_SPACE.match(c) else "O"
 
 
-def _pattern_kind(c: str) -> str:
-    return next((k for k, p in _KINDS.items() if p.match(c)), "O")
+class _Kinds(dict):
+    """How texts with a character are split: ``odd`` by the library, ``hard`` by the regex module, ``plain`` by Python's own."""
+
+    def __missing__(self, c: str) -> str:
+        kind = _kind(c)
+        if kind != next((k for k, p in _KINDS.items() if p.match(c)), "O"):
+            found = "odd"
+        else:
+            found = "plain" if kind == next((k for k, p in _WORD_KINDS.items() if p.match(c)), "O") else "hard"
+        return self.setdefault(c, found)
 
 
 class WordBpe:
@@ -88,9 +97,12 @@ class WordBpe:
         self.pieces = regex.compile(split).findall
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.spec, self.library, self.as_byte = spec, None, as_byte
-        self.plain: set[str] = set()  # characters met that Python's table and the pattern's module agree on
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}  # pieces
+        self.kinds = _Kinds()
+        # the same pieces by the faster module, for texts without digits beyond decimal ones and without control characters that it takes for white space
+        ends = split.split("|[")[0]
+        self.ascii_pieces = re.compile(ends + r"|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
+        self.word_pieces = re.compile(ends + r"|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
+        self.known: dict[str, bytes] = {}
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece, as little-endian unsigned 32-bit integers."""
@@ -144,57 +156,30 @@ class WordBpe:
         bounds = np.r_[0, ends] * 4
         return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
-    @property
-    def limit(self) -> int:
-        """Most words, and most pieces, that are remembered."""
-        return CACHE_WORDS
-
-    def split(self, word: str) -> list[str]:
-        if word.isalpha():
-            return [word]
-        if word[-1] in ".,;:!?" and word[:-1].isalpha():
-            return [word[:-1], word[-1]]
-        return self.pieces(word)
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of whole words between white space, in lower case."""
-        split = {w: self.split(w) for w in words}
-        each = {p for ps in split.values() for p in ps}
-        new = list(each.difference(self.known))
+    #: Most pieces that are remembered.
+    limit = CACHE_PIECES
+
+    def lookup(self, pieces: list[str]) -> list[bytes]:
+        each = set(pieces)
+        new = each.difference(self.known)
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
-            new = list(each)
-        known = self.known if len(new) <= self.limit else {}
-        known.update(zip(new, self.encode_pieces(new)))
-        return {w: b"".join(map(known.__getitem__, ps)) for w, ps in split.items()}
-
-    def lookup(self, words: list[str]) -> list[bytes]:
-        each = set(words)
-        new = each.difference(self.words)
-        if len(self.words) + len(new) > self.limit:
-            self.words.clear()
             new = each
-        known = self.words if len(new) <= self.limit else {}
+        known = self.known if len(new) <= self.limit else {}
         if new:
-            known.update(self.learn(new))
-        return list(map(known.__getitem__, words))
-
-    def normal_words(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each character by itself: no final sigma
-        text = text.lower()
-        if _ODD_SPACE.search(text):
-            return regex.split(r"[^\S\x1c-\x1f]+", text)
-        return text.split()
-
-    def odd(self, text: str) -> bool:
-        """Whether only the library knows how to split the text."""
+            new = list(new)
+            known.update(zip(new, self.encode_pieces(new)))
+        return list(map(known.__getitem__, pieces))
+
+    def split(self, text: str) -> list[str] | bytes:
+        """The pieces of a text in normal form; of an odd one, the ids themselves."""
         if text.isascii():
-            return False
-        new = set(text).difference(self.plain)
-        found = {c for c in new if _kind(c) != _pattern_kind(c)}
-        self.plain |= new - found
-        return bool(found)
+            return (self.pieces if _ODD_SPACE.search(text) else self.ascii_pieces)(text.lower())
+        low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # each character by itself: no final sigma
+        kinds = set(map(self.kinds.__getitem__, {*text, *low}))
+        if "odd" in kinds:
+            return self.by_library(text)
+        return (self.pieces if "hard" in kinds else self.word_pieces)(low)
 
     def by_library(self, text: str) -> bytes:
         """The ids of a text that the library normalises and splits."""
@@ -206,21 +191,20 @@ class WordBpe:
         return b"".join(self.encode_pieces([bytes(map(self.as_byte.__getitem__, p)).decode() for p, _ in pieces]))
 
     def parts(self, text: str | None) -> list[list[str] | bytes]:
-        """Word lists, with special tokens' ids and those of odd texts between them."""
+        """Lists of pieces, with special tokens' ids and those of odd texts between them."""
         text = text or ""
-        own = lambda x: self.by_library(x) if self.odd(x) else self.normal_words(x)
         if self.at_special is None or not self.at_special.search(text):
-            return [own(text)]
-        return [self.special[x].to_bytes(4, "little") if x in self.special else own(x) for x in self.at_special.split(text)]
+            return [self.split(text)]
+        return [self.special[x].to_bytes(4, "little") if x in self.special else self.split(x) for x in self.at_special.split(text)]
 
     def encode_batch(self, texts: list[str | None]):
-        """Yield each text's ids as bytes, looking words up for many texts at once."""
+        """Yield each text's ids as bytes, looking pieces up for many texts at once."""
         held: list[list] = []
         n = 0
         for text in texts:
             held.append(self.parts(text))
             n += sum(len(p) for p in held[-1] if isinstance(p, list))
-            if n > WORDS_AT_ONCE:
+            if n > PIECES_AT_ONCE:
                 yield from self._flush(held)
                 held, n = [], 0
         yield from self._flush(held)
@@ -228,8 +212,8 @@ class WordBpe:
     def _flush(self, held):
         words = [w for parts in held for p in parts if isinstance(p, list) for w in p]
         ids = []
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            ids += self.lookup(words[at : at + WORDS_AT_ONCE])
+        for at in range(0, len(words), PIECES_AT_ONCE):
+            ids += self.lookup(words[at : at + PIECES_AT_ONCE])
         at = 0
         for parts in held:
             out = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,12 +17,24 @@ def fold(key: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def bounded_sample(rows: DataFrame, key: str, classes: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of each class, and at most twice as many: those with
-    the smallest hashes of their key. Deterministic; the bound holds at any size."""
-    unit = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+def _unit(key: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def bounded_sample(rows: DataFrame, key: str, classes: str, per_class: int, seed: int = 7) -> DataFrame:
+    """At most ``per_class`` rows of each class, and all if there are no more: those with the
+    smallest hashes of their key, repeated keys by the hash of the row. Deterministic; the
+    bound holds at any size, and only about twice as many rows are ranked."""
     counts = {r[0]: r[1] for r in rows.groupBy(classes).count().collect()}
     share = F.lit(0.0)
     for value, n in counts.items():
-        share = F.when(F.col(classes) == F.lit(value), F.lit(per_class / n)).otherwise(share)
-    return rows.where(unit < share).limit(2 * per_class * max(1, len(counts)))
+        share = F.when(F.col(classes) == F.lit(value), F.lit(2 * per_class / n)).otherwise(share)
+    order = Window.partitionBy(classes).orderBy(F.xxhash64(key, F.lit(seed)), key, F.xxhash64(*rows.columns))
+    return rows.where(_unit(key, seed) < share).withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= per_class).drop("__place")
+
+
+def few_rows(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hashes of their key; only about twice as many are sorted."""
+    total = rows.count()
+    some = rows.where(_unit(key, seed) < 2 * n / max(1, total))
+    return some.orderBy(F.xxhash64(key, F.lit(seed)), key, F.xxhash64(*rows.columns)).limit(n)

@@ -7,8 +7,9 @@ trained by stochastic gradient descent in numpy. A temperature and a threshold f
 rejection are set on sampled documents that training hasn't seen.
 
 As the softmax is linear, a bucket's embedding is multiplied with it once, so a text
-needs one look-up a feature. Only fitting uses a sample: PER_LANGUAGE documents of
-each language, twice as many at most. Prediction reads whole texts.
+needs one look-up a feature. Only fitting uses a sample: PER_LANGUAGE documents of at
+most SAMPLED_BYTES bytes of each language, whole, and fewer of each if there are so many
+languages that they would be over SAMPLED_DOCS. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from purseflow.llm.common import bounded_sample, fold
 from purseflow.llm.ngrams import Words, batches
 
 PER_LANGUAGE = 600
-MAX_LANGUAGES = 400  # of which a sample is drawn, the most frequent first
-SAMPLE_CHARS = 1 << 14  # of one sampled text
+SAMPLED_DOCS = 240_000  # of all languages
+SAMPLED_BYTES = 1 << 16  # longer texts are not drawn for fitting
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 EPOCHS = 6
@@ -123,9 +124,9 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> LanguageModel:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """Learn from text and non-null lang of rows whose fold isn't held out; None if there is no such row."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(fold("doc_id", FOLDS) != HELD_OUT).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    frequent = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    chosen = bounded_sample(known.where(F.col("lang").isin(frequent)), "doc_id", "lang", per_language)
-    rows = chosen.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    known = known.where(F.octet_length("text") <= SAMPLED_BYTES)
+    languages = known.select("lang").distinct().count()
+    rows = bounded_sample(known, "doc_id", "lang", max(1, min(per_language, SAMPLED_DOCS // max(1, languages)))).collect()
     rows = sorted((r for r in rows if any(map(str.isalpha, r.text))), key=lambda r: (r.doc_id, r.lang, r.text))
     return train([r.text for r in rows], [r.lang for r in rows]) if rows else None
 
@@ -152,7 +153,9 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row and its whole text. ``rejected``
     says that the calibrated score is below the threshold, as for a text in no known
     language; lang_pred then still is the nearest. Null texts and texts without a
-    letter get ``und`` and score 0, and so does everything without a model."""
+    letter get ``und`` and score 0, and so does everything without a model. Of languages
+    that are as likely, the first by name is taken. Repeated rows come back repeated, an
+    empty table gives an empty one, and other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, rejected boolean")

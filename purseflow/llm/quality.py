@@ -6,8 +6,13 @@ either dictionary. The difference of the two sizes over their sum, and the sizes
 over the text's own, are what a logistic regression turns into a calibrated score.
 It is fitted on labelled documents that neither dictionary has seen.
 
-Only fitting uses a sample: PER_CLASS labelled documents of each class or a few
-more, twice as many at most, chosen by a hash of the id. Scoring reads whole texts.
+Only fitting uses a sample: at most PER_CLASS labelled documents of each class of at
+most SAMPLED_BYTES bytes, chosen by a hash of the id, whole. Scoring reads whole texts.
+Both dictionaries are trained to one size, which follows the smaller of the two samples.
+
+Null and empty texts are scored as empty ones, repeated rows alike and as often as they
+come; an empty table gives an empty one; without documents of both labels every score
+is the same. ``keep_good`` hands on the columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from purseflow.llm import logistic
 from purseflow.llm.common import bounded_sample, fold
 
 PER_CLASS = 2000
-SAMPLE_BYTES = 1 << 16  # of one sampled text
+SAMPLED_BYTES = 1 << 16  # longer texts are not drawn for fitting
 PIECE = 512
 DICTIONARY = 112_640
 LEVEL = 3
@@ -62,13 +67,28 @@ def _sizes(compressors, text: str | None) -> list[float]:
     return [difference, share, difference * difference, share * share, difference * share, log, share * log]
 
 
-def _dictionary(texts: list[str], common: set[str]) -> bytes:
-    """Lines that several sampled documents share say nothing about the class."""
-    samples = [p for t in texts for p in _pieces("\n".join(x for x in t.split("\n") if x not in common)) if len(p) >= 16]
-    size = sum(map(len, samples))
-    if len(samples) < 64 or size < 8 * DICTIONARY:  # too little to train on: the text itself, as much as fits
-        return b"".join(samples)[:DICTIONARY] or b"\n"
-    return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
+def _samples(texts: list[str], common: set[str]) -> list[bytes]:
+    """Pieces to train on. Lines that several sampled documents share say nothing about the class."""
+    return [p for t in texts for p in _pieces("\n".join(x for x in t.split("\n") if x not in common)) if len(p) >= 16]
+
+
+def train_dictionaries(bad: list[bytes], good: list[bytes]) -> tuple[bytes, bytes]:
+    """Two trained dictionaries of one size: an eighth of the smaller sample, DICTIONARY at most,
+    and less if the trainer finds no more in it. Samples with too little to train any dictionary
+    are cut to shorter and shorter pieces; if even that fails, there is nothing to learn from."""
+    for piece in (PIECE, 64, 16):
+        cut = [[p[at : at + piece] for p in side for at in range(0, len(p), piece)] for side in (bad, good)]
+        size = min(DICTIONARY, min(sum(map(len, side)) for side in cut) // 8)
+        while size >= 256:
+            try:
+                made = [zstandard.train_dictionary(size, side).as_bytes() for side in cut]
+            except zstandard.ZstdError:
+                size //= 2
+                continue
+            if len({len(d) for d in made}) == 1:
+                return made[0], made[1]
+            size = min(map(len, made)) if min(map(len, made)) < size else size // 2
+    return b"\n", b"\n"
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
@@ -80,15 +100,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Quali
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     if len(counts) < 2:
         return QualityModel(b"\n", b"\n", (), float(*counts) if counts else 0.5)
-    chosen = F.broadcast(bounded_sample(known, "doc_id", "quality", per_class))  # 4 * per_class rows at most
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).join(chosen, "doc_id").where("text is not null").limit(8 * per_class).collect()
+    chosen = F.broadcast(bounded_sample(known, "doc_id", "quality", per_class))  # 2 * per_class rows at most
+    texts_of = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= SAMPLED_BYTES)
+    rows = bounded_sample(texts_of.join(chosen, "doc_id"), "doc_id", "quality", per_class).collect()  # again, as ids may be repeated
     rows.sort(key=lambda r: (r.doc_id, r.text))
     seen = Counter(line for r in rows for line in {*r.text.split("\n")})
     common = {line for line, n in seen.items() if n > 2}
     texts = {q: [r.text for r in rows if r.quality == q] for q in (0, 1)}
     if min(map(len, texts.values())) < 4:
         return QualityModel(b"\n", b"\n", (), counts[1] / sum(counts.values()))
-    model = QualityModel(_dictionary(texts[0][::2], common), _dictionary(texts[1][::2], common), ())
+    model = QualityModel(*train_dictionaries(_samples(texts[0][::2], common), _samples(texts[1][::2], common)), ())
     tools = model.compressors()
     x = np.array([_sizes(tools, t) for q in (0, 1) for t in texts[q][1::2]])
     y = np.repeat([0.0, 1.0], [len(texts[0][1::2]), len(texts[1][1::2])])
@@ -97,19 +118,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Quali
     return model
 
 
-def _score(shared):
-    def run(batches):
-        model: QualityModel = shared.value
-        tools = model.compressors() if model.constant is None else None
-        for b in batches:
-            if tools is None:
-                score = np.full(b.num_rows, model.constant)
-            else:
-                x = np.array([_sizes(tools, t) for t in b.column("text").to_pylist()]).reshape(b.num_rows, -1)
-                score = logistic.predict(model.calibration, x) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, "quality_score"])
+def _scores(model: QualityModel, tools, texts: list[str | None]) -> np.ndarray:
+    if tools is None:
+        return np.full(len(texts), model.constant)
+    return logistic.predict(model.calibration, np.array([_sizes(tools, t) for t in texts])) if texts else np.zeros(0)
 
-    return run
+
+def _with_tools(shared):
+    model: QualityModel = shared.value
+    return model, model.compressors() if model.constant is None else None
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -118,24 +135,22 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        for b in _score(shared)(batches):
-            yield b.select(["doc_id", "quality_score"])
+        own, tools = _with_tools(shared)
+        for b in batches:
+            found = _scores(own, tools, b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "quality_score"])
 
     return rows.mapInArrow(run, "doc_id long, quality_score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose score is below the threshold."""
-    model = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema
-    rows = docs.withColumn("text", F.col("text").cast("string"))
+    """``docs`` without the rows whose score is below the threshold; all its columns, of any names."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at = docs.columns.index("text")
 
     def run(batches):
-        import pyarrow.compute as pc
-
-        for b in _score(shared)(batches):
-            kept = b.filter(pc.greater_equal(b.column("quality_score"), threshold))
-            yield kept.select([f.name for f in schema.fields])
+        own, tools = _with_tools(shared)
+        for b in batches:
+            yield b.filter(pa.array(_scores(own, tools, b.column(at).to_pylist()) >= threshold))
 
-    return rows.mapInArrow(run, schema)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)

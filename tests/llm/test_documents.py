@@ -159,13 +159,26 @@ def test_encoding_equals_the_library(kind):
         assert ours.decode(ids).decode() == theirs.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("kind", [bpe.WordBpe, tokenfile.LibraryBpe])
+def test_every_code_point_as_the_library(kind):
+    import unicodedata
+
+    ours, theirs = kind(bpe.read_spec(TOKENIZER)), library()
+    every = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for known in (True, False):
+        points = [chr(c) for c in every if (unicodedata.category(chr(c)) != "Cn") == known]
+        texts = [" ".join(f"a{c}b {c}1" for c in points[at : at + 64]) for at in range(0, len(points), 64)]
+        for text, ids in zip(texts, ours.encode_batch(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, text
+
+
 def test_small_caches_change_nothing(monkeypatch):
     spec = bpe.read_spec(TOKENIZER)
     rng = random.Random(4)
     texts = [sentence(rng, 300) for _ in range(20)]
     want = list(bpe.WordBpe(spec).encode_batch(texts))
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
-    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 100)
+    monkeypatch.setattr(bpe.WordBpe, "limit", 50)
+    monkeypatch.setattr(bpe, "PIECES_AT_ONCE", 100)
     assert list(bpe.WordBpe(spec).encode_batch(texts)) == want
 
 
