@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is the hash of six words at fixed places of a short window; the mask ignores
+A seed is the hash of six words (of short items, four) at fixed places of a short window; the mask ignores
 the window's other words, so a substituted word there does no harm. In any 13 words
 of which two are substituted, one of the masks finds six untouched words. The masks
 go over every word of every document; a Bloom filter of the benchmark's seeds, of
@@ -10,8 +10,10 @@ the item are compared word by word: a stretch counts that starts and ends with e
 words, has SIMILARITY of its words equal, and is MIN_WORDS long, or as long as the
 item if that is shorter.
 
-Items of 5 to 7 words are too short for the masks and need five equal words in a
-row; items under 5 words are no evidence and are left out.
+Items of 5 to 12 words have masks of four words, which find every overlap that counts
+(a test goes through all choices of substituted words). Items under 5 words are no
+evidence of contamination, as their words follow each other in clean documents, too;
+they are left out.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 from purseflow.llm.ngrams import Words, _mix, batches
 from purseflow.storage import materialize
 
-#: Fixed masks: places of the words that count. The last one serves short items only.
-MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7), (0, 1, 4, 7, 8, 9), (0, 1, 2, 3, 4))
-SHORT_MASK, SHORT_ITEM, LEAST_WORDS = 3, 8, 5
+#: Fixed masks: places of the words that count. Those after the first LONG_MASKS serve short items only.
+MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7), (0, 1, 4, 7, 8, 9), (0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 2, 4), (0, 2, 3, 4))
+LONG_MASKS, SHORT_ITEM, LEAST_WORDS = 3, 13, 5
 MIN_WORDS = 13
 SIMILARITY = 0.8
 BLOOM_BITS = 1 << 27
@@ -68,7 +70,7 @@ def _items(batches_):
         for i, words in _word_hashes(b.column("text").to_pylist()):
             if len(words) < LEAST_WORDS:
                 continue
-            masks = [SHORT_MASK] if len(words) < SHORT_ITEM else range(SHORT_MASK)
+            masks = range(LONG_MASKS, len(MASKS)) if len(words) < SHORT_ITEM else range(LONG_MASKS)
             found = [seeds(words, m) for m in masks]
             out["item_id"].append(ids[i])
             out["words"].append(words.tobytes())
@@ -113,7 +115,7 @@ def bloom_filter(seed: DataFrame) -> tuple[bytes, int]:
 
 
 def _scan(shared, reach: int, short: bool):
-    masks = range(len(MASKS) if short else SHORT_MASK)
+    masks = range(len(MASKS) if short else LONG_MASKS)
 
     def run(batches_):
         data, bits = shared.value
@@ -209,6 +211,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a part of a benchmark item."""
+    """``docs`` without the documents that hold a part of a benchmark item. Null texts and
+    null ids stay or go by the same rule, repeated rows alike; empty tables take nothing out.
+    All columns come back, but none may be named __doc or __copy."""
     hit = overlaps(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy")).distinct()
     return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__copy")), "left_anti")

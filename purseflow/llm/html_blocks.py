@@ -7,7 +7,7 @@ in links. A bidirectional LSTM, in numpy, reads the whole page's sequence, so ev
 block is labelled with the document's context, and the blocks labelled as article
 are the page's text.
 
-It is trained here, on a sample of at most SAMPLE_PAGES pages. Their blocks' labels
+It is trained here, on a sample of at most SAMPLE_PAGES pages of at most SAMPLED_BYTES bytes, whole. Their blocks' labels
 come from elements that say what they hold (article and main, and inside them no
 nav, aside, form, footer, comments). As pages of one site look alike, each sampled
 page is also seen in other dress: its blocks are dealt into the containers that
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from purseflow.llm.common import few_rows
+
 SAMPLE_PAGES = 200
 DRESSES = 2
 EPOCHS = 10
@@ -33,7 +35,7 @@ BATCH = 16
 HIDDEN = 24
 PATH, WORDS, MEASURES = 64, 32, 10
 WIDTH = PATH + WORDS + MEASURES
-TRAINED_BLOCKS = 400  # of one sampled page
+SAMPLED_BYTES = 1 << 18  # longer pages are not drawn for training
 
 #: Elements whose text is no text of the page.
 SILENT = frozenset("script style noscript template head title svg iframe object canvas".split())
@@ -48,17 +50,69 @@ ENDS_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
 #: Block-level tags that end an open paragraph.
 ENDS_P = BLOCKS - {"button", "label", "option", "html", "body", "td", "th", "tr"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Names by which a container's content is known for sure.
+_ARTICLE = frozenset({"article", "main"})
+_OTHER = frozenset({"nav", "aside", "footer", "form", "menu", "button", "dialog", ".comment", ".comments", ".sidebar", ".ad", ".ads", ".advert", ".cookie", ".related", ".share", ".newsletter"})
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+|\d+")
 _CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "noscript", "template", "title", "svg", "iframe", "object", "canvas", "textarea")}
 _SPACE = re.compile(r"\s+")
 
 
+class Path:
+    """The block-level tags above a block, with their names, as a node of a tree: what is needed of the
+    whole path is carried down, so a block costs the same at any depth."""
+
+    __slots__ = ("below", "size", "article", "other", "leaf", "sums", "vector")
+
+    def __init__(self, parent: Path | None = None, names: tuple[str, ...] = ()):
+        self.below: dict[tuple[str, ...], Path] = {}
+        self.size = len(names) + (parent.size if parent else 0)
+        self.article = not _ARTICLE.isdisjoint(names) or bool(parent and parent.article)
+        self.other = not _OTHER.isdisjoint(names) or bool(parent and parent.other)
+        self.leaf = next((n for n in reversed(names) if n[0] != "."), parent.leaf if parent else "")
+        self.sums = parent.sums.copy() if parent else np.zeros(PATH, np.float32)
+        for name in names:
+            place, sign = _slot(name, PATH)
+            self.sums[place] += sign
+        self.vector = self.sums / (max(1.0, float(np.linalg.norm(self.sums))) / 2)
+
+
+class Paths:
+    """Paths met before, up to a bound."""
+
+    LIMIT = 50_000
+
+    def __init__(self):
+        self.root, self.held = Path(), 0
+
+    def under(self, parent: Path, names: tuple[str, ...]) -> Path:
+        found = parent.below.get(names)
+        if found is None:
+            found = Path(parent, names)
+            self.held += 1
+            if self.held <= self.LIMIT:
+                parent.below[names] = found
+        return found
+
+    def of(self, *names: str) -> Path:
+        at = self.root
+        for name in names:
+            at = self.under(at, (name,))
+        return at
+
+    def rest(self) -> None:
+        """Forget them if there are too many; to be called between pages."""
+        if self.held > self.LIMIT:
+            self.root, self.held = Path(), 0
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: Path
     linked: int  # characters inside links
     leaf: str
 
@@ -71,14 +125,15 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def parse(page: str | None) -> list[Block]:
+def parse(page: str | None, paths: Paths | None = None) -> list[Block]:
     """The leaf blocks of a page with their text, whole, and decoded. Unclosed and
-    stray tags do no harm; a null page has no block."""
-    page = page or ""
+    stray tags do no harm; a null page has no block. Each tag is looked at once."""
+    page, paths = page or "", paths or Paths()
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path]] = []
+    opened: dict[str, int] = {}  # how many of each tag are on the stack
     pieces: list[str] = []
-    linked = links = at = 0
+    linked = at = 0
     seen: dict[tuple[str, str], tuple[str, ...]] = {}
 
     def close():
@@ -86,15 +141,14 @@ def parse(page: str | None) -> list[Block]:
         if pieces:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                leaf = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
-                blocks.append(Block(text, tuple(n for t, ns in stack if t in BLOCKS for n in ns), min(linked, len(text)), leaf))
+                path = stack[-1][1] if stack else paths.root
+                blocks.append(Block(text, path, min(linked, len(text)), path.leaf))
             pieces.clear()
             linked = 0
 
     def pop(to: int):
-        nonlocal links
         for t, _ in stack[to:]:
-            links -= t == "a"
+            opened[t] -= 1
         del stack[to:]
 
     size = len(page)
@@ -103,7 +157,7 @@ def parse(page: str | None) -> list[Block]:
         end = m.start() if m else size
         if end > at:
             pieces.append(page[at:end])
-            if links > 0:
+            if opened.get("a"):
                 linked += end - at
         if not m:
             break
@@ -116,10 +170,8 @@ def parse(page: str | None) -> list[Block]:
         elif tag == "br":
             pieces.append(" ")
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+            if opened.get(tag):
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in EMPTY:
             continue
@@ -138,11 +190,14 @@ def parse(page: str | None) -> list[Block]:
                 break
             if stack[k][0] in BLOCKS:
                 break
-        key = (tag, m[3])
-        if key not in seen:
-            seen[key] = _names(tag, m[3])
-        stack.append((tag, seen[key]))
-        links += tag == "a"
+        path = stack[-1][1] if stack else paths.root
+        if tag in BLOCKS:
+            key = (tag, m[3])
+            if key not in seen:
+                seen[key] = _names(tag, m[3])
+            path = paths.under(path, seen[key])
+        stack.append((tag, path))
+        opened[tag] = opened.get(tag, 0) + 1
     close()
     return blocks
 
@@ -153,27 +208,13 @@ def _slot(text: str, size: int) -> tuple[int, float]:
 
 
 class Features:
-    """Vectors of blocks; hashed paths and words are remembered, up to a bound."""
+    """Vectors of blocks; hashed words are remembered, up to a bound."""
 
     LIMIT = 200_000
 
     def __init__(self):
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
         self.slots: dict[str, tuple[int, float]] = {}
 
-    def path(self, path: tuple[str, ...]) -> np.ndarray:
-        v = self.paths.get(path)
-        if v is None:
-            v = np.zeros(PATH, np.float32)
-            for name in path:
-                place, sign = _slot(name, PATH)
-                v[place] += sign
-            v /= max(1.0, float(np.linalg.norm(v))) / 2
-            if len(self.paths) > self.LIMIT:
-                self.paths.clear()
-            self.paths[path] = v
-        return v
-
     def words(self, text: str) -> np.ndarray:
         v = np.zeros(WORDS, np.float32)
         for w in text.lower().split():
@@ -190,10 +231,10 @@ class Features:
         out = np.zeros((len(blocks), WIDTH), np.float32)
         for i, b in enumerate(blocks):
             n = len(b.text)
-            out[i, :PATH] = self.path(b.path)
+            out[i, :PATH] = b.path.vector
             out[i, PATH : PATH + WORDS] = self.words(b.text)
             ends = b.text[-1] in ".!?…"
-            out[i, PATH + WORDS :] = (np.log1p(n) / 5, np.log1p(b.text.count(" ")) / 4, b.linked / n, float(ends), b.text.count(".") / n * 20, float(b.leaf[:1] == "h" and b.leaf[1:].isdigit()), float(b.leaf == "p"), float(b.leaf == "li"), i / len(blocks), len(b.path) / 10)
+            out[i, PATH + WORDS :] = (np.log1p(n) / 5, np.log1p(b.text.count(" ")) / 4, b.linked / n, float(ends), b.text.count(".") / n * 20, float(b.leaf[:1] == "h" and b.leaf[1:].isdigit()), float(b.leaf == "p"), float(b.leaf == "li"), i / len(blocks), b.path.size / 10)
         return out
 
 
@@ -331,9 +372,6 @@ class Labeller:
         return out
 
 
-#: Names by which a container's content is known for sure.
-_ARTICLE = frozenset({"article", "main"})
-_OTHER = frozenset({"nav", "aside", "footer", "form", "menu", "button", "dialog", ".comment", ".comments", ".sidebar", ".ad", ".ads", ".advert", ".cookie", ".related", ".share", ".newsletter"})
 #: Containers of the article on other sites.
 WRAPPERS = (
     ("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".main", ".content"), ("div", ".post"), ("div", ".post", ".body"), ("div", ".entry", ".content"), ("section", ".article", ".body"),
@@ -354,12 +392,12 @@ FURNITURE = (
 
 def weak_labels(blocks: list[Block]) -> np.ndarray | None:
     """1 for blocks in an article or main element; None if the page has neither."""
-    if not any(_ARTICLE & set(b.path) for b in blocks):
+    if not any(b.path.article for b in blocks):
         return None
-    return np.array([float(bool(_ARTICLE & set(b.path)) and not _OTHER & set(b.path)) for b in blocks], np.float32)
+    return np.array([float(b.path.article and not b.path.other) for b in blocks], np.float32)
 
 
-def dressed(blocks: list[Block], labels: np.ndarray, rng: np.random.Generator, spare: list[str]) -> tuple[list[Block], np.ndarray]:
+def dressed(blocks: list[Block], labels: np.ndarray, rng: np.random.Generator, spare: list[str], paths: Paths) -> tuple[list[Block], np.ndarray]:
     """The page's article in another container, with other furniture around it."""
     body = ("html", "body") + (("div", ".wrapper"),)[0] * int(rng.integers(2))
     wrapper = body + WRAPPERS[int(rng.integers(len(WRAPPERS)))]
@@ -368,11 +406,11 @@ def dressed(blocks: list[Block], labels: np.ndarray, rng: np.random.Generator, s
         if y:
             leaf = b.leaf if b.leaf in ("h1", "h2", "h3", "li", "p", "blockquote", "td") else "p"
             path = wrapper + (("ul",) if leaf == "li" else ()) + ((leaf,) if leaf != "p" or rng.random() < 0.9 else ("div",))
-            article.append((Block(b.text, path, int(b.linked), path[-1]), 1.0))
+            article.append((Block(b.text, paths.of(*path), int(b.linked), path[-1]), 1.0))
     if article and rng.random() < 0.3:  # a list or a link inside the article
         k = int(rng.integers(len(article)))
         words = spare[int(rng.integers(len(spare)))].split()[:12]
-        article.insert(k + 1, (Block(" ".join(words) or "a", wrapper + ("ul", "li"), 0, "li"), 1.0))
+        article.insert(k + 1, (Block(" ".join(words) or "a", paths.of(*wrapper, "ul", "li"), 0, "li"), 1.0))
     places: dict[str, list[tuple[Block, float]]] = {"b": [], "m": [], "a": []}
     for n in rng.permutation(len(FURNITURE))[: int(rng.integers(4, 14))]:
         path, where, kind = FURNITURE[n]
@@ -382,7 +420,7 @@ def dressed(blocks: list[Block], labels: np.ndarray, rng: np.random.Generator, s
             words = spare[int(rng.integers(len(spare)))].split()
             n_words = {"menu": int(rng.integers(1, 4)), "short": int(rng.integers(1, 8)), "prose": int(rng.integers(4, 60))}[kind]
             text = " ".join(words[:n_words]) or "a"
-            full = (wrapper if inside else body) + path
+            full = paths.of(*(wrapper if inside else body), *path)
             places[where].append((Block(text, full, len(text) if kind == "menu" and rng.random() < 0.8 else 0, next((t for t in reversed(path) if t[0] != "."), "div")), 0.0))
     middle = list(article)
     for x in places["m"]:
@@ -394,16 +432,16 @@ def dressed(blocks: list[Block], labels: np.ndarray, rng: np.random.Generator, s
 def train(pages: list[str], seed: int = 6) -> Labeller:
     """A labeller from the pages' own structure; without a usable page, an untrained one
     is of no use, so the rule of ``weak_labels`` on FURNITURE alone is learned."""
-    rng = np.random.default_rng(seed)
+    rng, paths = np.random.default_rng(seed), Paths()
     known = []
     for page in pages:
-        blocks = parse(page)[:TRAINED_BLOCKS]
+        blocks = parse(page, paths)
         labels = weak_labels(blocks)
         if labels is not None and 0 < labels.sum():
             known.append((blocks, labels))
     if not known:
         text = "the words of a page are what its reader came for, and they go on for some lines."
-        known = [([Block(text, ("html", "body", "article", "p"), 0, "p")] * 6, np.ones(6, np.float32))]
+        known = [([Block(text, paths.of("html", "body", "article", "p"), 0, "p")] * 6, np.ones(6, np.float32))]
     spare = [b.text for blocks, _ in known for b in blocks if len(b.text) > 20] or ["some words to be read"]
     features = Features()
     xs, ys = [], []
@@ -411,7 +449,7 @@ def train(pages: list[str], seed: int = 6) -> Labeller:
         xs.append(features(blocks))
         ys.append(labels)
         for _ in range(DRESSES):
-            b, y = dressed(blocks, labels, rng, spare)
+            b, y = dressed(blocks, labels, rng, spare, paths)
             if b:
                 xs.append(features(b))
                 ys.append(y)
@@ -422,20 +460,20 @@ def train(pages: list[str], seed: int = 6) -> Labeller:
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Labeller:
     """Train on the sampled pages with the smallest hashes of their ids, ``sample`` at most."""
-    ids = pages.where("html is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id", F.lit(3)), "page_id").limit(sample)
-    rows = pages.join(F.broadcast(ids), "page_id", "left_semi").select("page_id", "html").limit(sample).collect()
+    rows = few_rows(pages.select("page_id", "html").where(F.octet_length("html") <= SAMPLED_BYTES), "page_id", sample, 3).collect()
     return train([r.html for r in sorted(rows, key=lambda r: (r.page_id is None, r.page_id, r.html))])
 
 
 def _extract(shared):
     def run(batches):
         model: Labeller = shared.value
-        features = Features()
+        features, paths = Features(), Paths()
         for b in batches:
             ids, pages = b.column("page_id"), b.column("html")
             urls = b.column("url")
             for at in range(0, b.num_rows, 256):
-                parsed = [parse(p) for p in pages[at : at + 256].to_pylist()]
+                paths.rest()
+                parsed = [parse(p, paths) for p in pages[at : at + 256].to_pylist()]
                 share = model.predict([features(x) for x in parsed])
                 text = ["\n\n".join(x.text for x, s in zip(blocks, p) if s >= 0.5) for blocks, p in zip(parsed, share)]
                 yield pa.RecordBatch.from_arrays([ids[at : at + 256], urls[at : at + 256], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -446,7 +484,8 @@ def _extract(shared):
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     """(page_id, url, text, n_chars) of every row: the blocks labelled as article, each
     trimmed and with single spaces, joined by an empty line; n_chars counts code points.
-    Null and empty pages, and pages without such a block, give an empty text. Repeated
+    Null and empty pages, and pages without such a block, give an empty text; a share of
+    exactly one half counts as article, and an empty table gives an empty one. Repeated
     rows come back repeated; other columns are not read."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

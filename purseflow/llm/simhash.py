@@ -51,12 +51,13 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches):
     for b in batches:
         fp = np.fromiter((fingerprint(t) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("copy"), pa.array(fp.view(np.int64))], names=["doc_id", "copy", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row for each row of ``docs``; null texts count as empty, fingerprint 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, copy, fp): one row for each row of ``docs``, ``copy`` a hash of its text; null texts count as empty, fingerprint 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, copy long, fp long")
 
 
 _POSITION = np.arange(1, 32, dtype=np.uint64)
@@ -214,6 +215,15 @@ def links(prints: DataFrame, bits: int = MAX_BITS, homes_per_chunk: int = HOMES_
     return dealt.select("anchor", "chunk", "fp", "home").mapInArrow(_compare(bits), "src long, dst long")
 
 
+def _groups(own: DataFrame, bits: int) -> DataFrame:
+    """(fp, root, component_id) of every different fingerprint."""
+    classes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    groups = connected_components(links(classes, bits))
+    named = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return named.where("root <> fp").join(ids, "root").select("fp", "root", "component_id").union(ids.select(F.col("root").alias("fp"), "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id that can be reached
     over links of ``bits`` or fewer differing bits, the document's own id included.
@@ -224,19 +234,16 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     of ``docs`` are not read.
     """
     own = materialize(fingerprints(docs), "fingerprints")
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = materialize(classes, "classes")
-    groups = connected_components(links(classes))
-    named = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.where("root <> fp").join(ids, "root").select("fp", "component_id").union(ids.select(F.col("root").alias("fp"), "component_id"))
-    return own.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return own.join(_groups(own, bits).drop("root"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, that of the least
-    doc_id; of repeated rows with that id, one is kept. Rows with a null doc_id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), bits)
-    chosen = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.where("doc_id is null"))
+    doc_id, of those with that id the one with the least hash of its text; of repeated
+    rows, one is kept. Rows of one doc_id with unlike texts are different documents.
+    Rows with a null doc_id stay. All columns come back; an empty table gives an empty table."""
+    own = materialize(fingerprints(docs.where("doc_id is not null")), "fingerprints")
+    best = own.join(_groups(own, bits).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "copy")).alias("b")).select("b.doc_id", "b.copy")
+    best = best.select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy"))
+    kept = docs.join(best, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64("text") == F.col("__copy")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns).union(docs.where("doc_id is null"))
