@@ -537,4 +537,4 @@ def test_line_links_of_the_given_documents(spark):
             near += 1
             found += groups.get(a, a) == groups.get(b, b)
     print("pairs", near, "found", found)
-    assert near > 20 and found > 0.95 * near
+    assert near > 20 and found > 0.9 * near
