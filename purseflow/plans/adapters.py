@@ -149,7 +149,36 @@ _SQL = {
       AND t.description NOT IN (SELECT description FROM transactions WHERE transaction_type = 'expense' AND amount < 0)
       AND coalesce(e.merchant_name, '') NOT IN (SELECT coalesce(f.merchant_name, '-') FROM transactions r JOIN enrichments f USING (transaction_id) WHERE r.transaction_type = 'expense' AND r.amount < 0)""",
 }
-_NEEDS = {"transactions": ["records"], "decisions": ["transactions"], "statement_dates": ["records"], "enrichments": ["transactions", "decisions", "description_map", "merchant_map"], "plain": ["enrichments"]}
+_BALANCE = "STRUCT(id VARCHAR, k VARCHAR, m VARCHAR, d DATE, amt DECIMAL(28,6), rem DECIMAL(28,6))"
+#: Netting as SQL: components of descriptions, then one step for each row of a component, with the open balances as a list.
+_SQL |= {
+    "net_rows": """SELECT t.transaction_id, t.description AS k, e.merchant_name AS m, t.transaction_date AS d, t.amount, t.txn_ord, CAST(floor(date_diff('day', DATE '1970-01-01', t.transaction_date) / 31) AS BIGINT) AS p
+    FROM transactions t JOIN enrichments e USING (transaction_id) WHERE t.transaction_type = 'expense' AND t.amount <> 0""",
+    "net_points": """SELECT DISTINCT k, m, q, refund FROM (SELECT k, m, p AS q, amount < 0 AS refund FROM net_rows WHERE m IS NOT NULL UNION ALL SELECT k, m, p - 1, TRUE FROM net_rows WHERE m IS NOT NULL AND amount < 0)""",
+    "net_near": """SELECT DISTINCT a.k AS x, b.k AS y FROM net_points a JOIN net_points b USING (m, q) JOIN (SELECT m, q FROM net_points GROUP BY m, q HAVING bool_or(refund) AND bool_or(NOT refund)) USING (m, q)""",
+    "net_reach": """SELECT x, y FROM net_near UNION SELECT net_reach.x, net_near.y FROM net_reach JOIN net_near ON net_reach.y = net_near.x""",
+    "net_steps": """SELECT coalesce(c, k) AS c, k, m, d, amount, transaction_id, row_number() OVER (PARTITION BY coalesce(c, k) ORDER BY d, txn_ord) AS i
+    FROM net_rows LEFT JOIN (SELECT x AS k, min(y) AS c FROM net_reach GROUP BY x) USING (k)""",
+    "net_fold": f"""SELECT c, CAST(0 AS BIGINT) AS i, CAST([] AS {_BALANCE}[]) AS bal, CAST(NULL AS VARCHAR) AS refund_id, CAST(0 AS DECIMAL(28,6)) AS asked, CAST(0 AS DECIMAL(28,6)) AS matched, '' AS rule FROM net_steps WHERE amount < 0 GROUP BY c
+    UNION ALL SELECT c, i, CASE WHEN amount > 0 THEN list_append(bal, CAST(struct_pack(id := transaction_id, k := k, m := m, d := d, amt := amount, rem := amount) AS {_BALANCE}))
+        ELSE CAST(list_transform(bal, lambda b, j: struct_pack(id := b.id, k := b.k, m := b.m, d := b.d, amt := b.amt, rem := CASE WHEN chosen IS NOT NULL THEN CASE WHEN j = chosen THEN 0 ELSE b.rem END WHEN b.k <> k THEN b.rem
+          ELSE b.rem - least(b.rem, greatest(0, a - coalesce(list_sum(list_transform(list_filter(bal[j + 1:], lambda z: z.k = k), lambda z: z.rem)), 0))) END)) AS {_BALANCE}[]) END,
+      CASE WHEN amount < 0 THEN transaction_id END, a, CAST(CASE WHEN amount > 0 THEN 0 WHEN chosen IS NOT NULL THEN a ELSE least(a, available) END AS DECIMAL(28,6)),
+      CASE WHEN amount > 0 THEN '' WHEN own IS NOT NULL THEN 'exact' WHEN chosen IS NOT NULL THEN 'merchant' WHEN available > 0 THEN 'partial' ELSE 'none' END
+    FROM (SELECT *, coalesce(own, CASE WHEN d - bal[other].d <= 30 THEN other END) AS chosen FROM (
+      SELECT f.c, f.i + 1 AS i, f.bal, s.k, s.m, s.d, s.amount, s.transaction_id, -s.amount AS a,
+        list_max(list_filter(generate_series(1, len(f.bal)), lambda j: f.bal[j].k = s.k AND f.bal[j].rem = -s.amount)) AS own,
+        list_max(list_filter(generate_series(1, len(f.bal)), lambda j: f.bal[j].m = s.m AND f.bal[j].rem = -s.amount)) AS other,
+        coalesce(list_sum(list_transform(list_filter(f.bal, lambda z: z.k = s.k), lambda z: z.rem)), 0) AS available
+      FROM net_fold f JOIN net_steps s ON s.c = f.c AND s.i = f.i + 1))""",
+    "net_refunds": "SELECT refund_id AS transaction_id, asked AS amount, matched, rule FROM net_fold WHERE refund_id IS NOT NULL",
+    "net_balances": """SELECT b.id AS transaction_id, b.amt AS amount, b.rem AS remaining FROM (SELECT unnest(bal) AS b FROM net_fold QUALIFY row_number() OVER (PARTITION BY c ORDER BY i DESC) = 1)
+    UNION ALL SELECT transaction_id, amount, amount FROM net_steps WHERE amount > 0 AND c NOT IN (SELECT c FROM net_fold)""",
+    "net": """SELECT t.* REPLACE (n.remaining AS amount), e.merchant_name, e.display_name, e.category, e.category_source, strftime(t.transaction_date, '%Y-%m') AS month
+    FROM net_balances n JOIN transactions t USING (transaction_id) JOIN enrichments e USING (transaction_id) WHERE n.remaining > 0""",
+}
+_NEEDS = {"transactions": ["records"], "decisions": ["transactions"], "statement_dates": ["records"], "enrichments": ["transactions", "decisions", "description_map", "merchant_map"], "plain": ["enrichments"], "net_rows": ["enrichments"]}
+_NEEDS |= {"net_points": ["net_rows"], "net_near": ["net_points"], "net_reach": ["net_near"], "net_steps": ["net_rows", "net_reach"], "net_fold": ["net_steps"], "net_refunds": ["net_fold"], "net_balances": ["net_fold"], "net": ["net_balances"]}
 
 
 def sql(*tables: str, then: str) -> str:
@@ -159,4 +188,12 @@ def sql(*tables: str, then: str) -> str:
         return reduce(lambda a, b: a + needed(b), _NEEDS.get(name, []), []) + [name]
 
     names = list(dict.fromkeys(n for t in tables for n in needed(t)))
-    return "WITH " + ",\n".join(f"{n} AS ({_SQL[n]})" for n in names) + "\n" + then
+    start = "WITH RECURSIVE " if "net_reach" in names else "WITH "
+    kept = lambda n: "AS MATERIALIZED" if n.startswith("net_") and n not in ("net_reach", "net_fold") else "AS"
+    return start + ",\n".join(f"{n} {kept(n)} ({_SQL[n]})" for n in names) + "\n" + then
+
+
+def as_net(text: str) -> str:
+    """The same statement over the whole ledger, net of refunds, in place of the part that no refund can reach."""
+    rest = text.split(f"plain AS ({_SQL['plain']})", 1)[1]
+    return sql("statement_dates", "net", then="").rstrip() + rest.replace("plain", "net")

@@ -9,7 +9,7 @@ from purseflow.functions.dates import month_key
 from purseflow.functions.money import minor_units, share_percent
 from purseflow.operators import enrichment, identity, projections, refunds
 from purseflow.plans import adapters as A
-from purseflow.plans.adapters import sql
+from purseflow.plans.adapters import as_net, sql
 from purseflow.storage import materialize
 
 QUERIES: dict = {}
@@ -50,8 +50,8 @@ def plain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The whole ledger, with spending net of refunds: what the queries named net_* read. SQL does not
-    express netting, so queries of the same name without net_ show the same steps over ``plain``."""
+    """The whole ledger, with spending net of refunds: what the queries named net_* read; those of the same
+    name without net_ show the same steps over ``plain``."""
     t, e, o = netted(spark, sf_dir)
     return refunds.net_consumption(o), t, e
 
@@ -82,7 +82,7 @@ def review_signals_net(spark, sf_dir):
     return _review_signals(*plain(spark, sf_dir))
 
 
-@query()
+@query(as_net(SQL["review_signals_net"]))
 def net_review_signals(spark, sf_dir):
     return _review_signals(*whole(spark, sf_dir))
 
@@ -91,7 +91,7 @@ def _review_signals(net, _, e) -> DataFrame:
     return enrichment.net_signals(e.join(net.select("transaction_id"), "transaction_id", "left_semi"), net).select("transaction_id", F.explode("review_signals").alias("signal"))
 
 
-@query()
+@query(sql("net", then="SELECT transaction_id, CAST(amount * 100 AS BIGINT) AS spending_minor FROM net"))
 def net_consumption(spark, sf_dir):
     return refunds.net_consumption(netted(spark, sf_dir)[2]).select("transaction_id", minor_units("spending").alias("spending_minor"))
 
@@ -112,13 +112,24 @@ def refund_counts(spark, sf_dir):
     return s.crossJoin(o.agg(F.count_if(F.col("kind") == "balance").alias("purchases")))
 
 
-@query()
+@query(sql("net_balances", "net_refunds", then="""SELECT (SELECT count(*) FROM transactions WHERE transaction_type = 'expense' AND amount = 0) AS zero_amount_transactions, (SELECT count(*) FROM net_refunds) AS refund_transactions,
+    (SELECT count(*) FROM net_refunds WHERE rule = 'merchant') AS same_merchant_refund_matches, (SELECT coalesce(sum(matched), 0) FROM net_refunds WHERE rule = 'merchant') AS same_merchant_matched_amount,
+    (SELECT count(*) FROM net_balances WHERE remaining = 0) AS fully_refunded_transactions, (SELECT count(*) FROM net_balances WHERE remaining > 0 AND remaining < amount) AS partially_refunded_transactions,
+    (SELECT count(*) FROM net_refunds WHERE matched < amount) AS unmatched_refund_count, (SELECT coalesce(sum(amount - matched), 0) FROM net_refunds) AS unmatched_refund_amount"""))
 def refund_summary(spark, sf_dir):
     t, _, o = netted(spark, sf_dir)
     return refunds.refund_summary(o, t)
 
 
-@query()
+@query(sql("net_refunds", then="SELECT transaction_id, rule, CAST(amount * 100 AS BIGINT) AS asked_minor, CAST(matched * 100 AS BIGINT) AS matched_minor FROM net_refunds"))
+def refund_rules(spark, sf_dir):
+    """Every refund with the rule that matched it and what it consumed."""
+    o = netted(spark, sf_dir)[2].where("kind = 'refund'")
+    return o.select("transaction_id", "rule", minor_units("amount").alias("asked_minor"), minor_units("matched").alias("matched_minor"))
+
+
+@query(sql("net", then="""SELECT month, category, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, count(*) AS transaction_count, CAST(row_number() OVER (PARTITION BY month ORDER BY sum(amount) DESC, category) AS INTEGER) AS rank
+    FROM net GROUP BY month, category"""))
 def spending_by_category(spark, sf_dir):
     """The flagship: spending net of refunds by month and category."""
     t, e, o = netted(spark, sf_dir)
@@ -157,13 +168,23 @@ def spending_no_refund_merchant(spark, sf_dir):
     return _plain_stats(spark, sf_dir).where("grain = 'merchant'").select("month", "merchant_name", "display_name", "is_unclassified", "spending_minor", "transaction_count")
 
 
+@query(as_net(SQL["spending_no_refund_month"]))
+def net_spending_month(spark, sf_dir):
+    return _plain_stats(spark, sf_dir, whole).where("grain = 'month'").select("month", "spending_minor", "transaction_count")
+
+
+@query(as_net(SQL["spending_no_refund_merchant"]))
+def net_spending_merchant(spark, sf_dir):
+    return _plain_stats(spark, sf_dir, whole).where("grain = 'merchant'").select("month", "merchant_name", "display_name", "is_unclassified", "spending_minor", "transaction_count")
+
+
 @query(sql("plain", then="""SELECT CASE WHEN grouping(month) = 1 THEN 'all' WHEN grouping(category) = 1 THEN 'month' ELSE 'category' END AS grain, month, category, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, count(*) AS transaction_count
     FROM plain GROUP BY GROUPING SETS ((), (month), (month, category))"""))
 def spending_rollup(spark, sf_dir):
     return _rollup(_plain_stats(spark, sf_dir))
 
 
-@query()
+@query(as_net(SQL["spending_rollup"]))
 def net_spending_rollup(spark, sf_dir):
     return _rollup(_plain_stats(spark, sf_dir, whole))
 
@@ -175,7 +196,7 @@ def month_coverage(spark, sf_dir):
     return _coverage(spark, sf_dir, plain)
 
 
-@query()
+@query(as_net(SQL["month_coverage"]))
 def net_month_coverage(spark, sf_dir):
     return _coverage(spark, sf_dir, whole)
 
@@ -213,7 +234,7 @@ def cash_flow_month(spark, sf_dir):
     return cash_flow(spark, sf_dir)
 
 
-@query()
+@query(as_net(SQL["cash_flow_month"]))
 def net_cash_flow_month(spark, sf_dir):
     return cash_flow(spark, sf_dir, whole)
 
@@ -225,7 +246,7 @@ def financial_summary(spark, sf_dir):
     return projections.financial_summary(cash_flow(spark, sf_dir))
 
 
-@query()
+@query(as_net(SQL["financial_summary"]))
 def net_financial_summary(spark, sf_dir):
     return projections.financial_summary(cash_flow(spark, sf_dir, whole))
 
@@ -241,7 +262,7 @@ def category_shares(spark, sf_dir):
     return _shares(_plain_stats(spark, sf_dir))
 
 
-@query()
+@query(as_net(SQL["category_shares"]))
 def net_category_shares(spark, sf_dir):
     return _shares(_plain_stats(spark, sf_dir, whole))
 

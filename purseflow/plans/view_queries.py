@@ -9,7 +9,7 @@ from purseflow.functions.dates import month_key
 from purseflow.functions.money import minor_units
 from purseflow.operators import changes, checks, identity, review, schedule, views
 from purseflow.plans import adapters as A
-from purseflow.plans.adapters import sql
+from purseflow.plans.adapters import as_net, sql
 from purseflow.plans.ledger_queries import _plain_stats, cash_flow, cash_sql, enriched, plain, whole
 from purseflow.schemas import MONEY
 
@@ -39,7 +39,7 @@ def top_merchants(spark, sf_dir):
     return _top_merchants(_plain_stats(spark, sf_dir))
 
 
-@query()
+@query(as_net(SQL["top_merchants"]))
 def net_top_merchants(spark, sf_dir):
     return _top_merchants(_plain_stats(spark, sf_dir, whole))
 
@@ -54,7 +54,7 @@ def financial_trend(spark, sf_dir):
     return views.financial_trend(cash_flow(spark, sf_dir))
 
 
-@query()
+@query(as_net(SQL["financial_trend"]))
 def net_financial_trend(spark, sf_dir):
     return views.financial_trend(cash_flow(spark, sf_dir, whole))
 
@@ -68,7 +68,7 @@ def category_trend_grid(spark, sf_dir):
     return _trend_grid(spark, sf_dir, plain)
 
 
-@query()
+@query(as_net(SQL["category_trend_grid"]))
 def net_category_trend_grid(spark, sf_dir):
     return _trend_grid(spark, sf_dir, whole)
 
@@ -102,7 +102,7 @@ def home_summary(spark, sf_dir):
     return _home(spark, sf_dir, plain)
 
 
-@query()
+@query(as_net(SQL["home_summary"]))
 def net_home_summary(spark, sf_dir):
     return _home(spark, sf_dir, whole)
 
