@@ -50,8 +50,8 @@ def plain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The whole ledger, with spending net of refunds: what the queries named net_* read; those of the same
-    name without net_ show the same steps over ``plain``."""
+    """The whole ledger, with spending net of refunds: what all queries of spending read but those named
+    spending_no_refund_*."""
     t, e, o = netted(spark, sf_dir)
     return refunds.net_consumption(o), t, e
 
@@ -73,17 +73,10 @@ def review_signals_raw(spark, sf_dir):
     return enriched(spark, sf_dir)[1].select("transaction_id", F.explode("review_signals").alias("signal"))
 
 
-@query(
-    sql("plain", then="""SELECT transaction_id, unnest(CASE WHEN category_source = 'transaction_override' THEN [] ELSE
+@query(as_net(sql("plain", then="""SELECT transaction_id, unnest(CASE WHEN category_source = 'transaction_override' THEN [] ELSE
     CASE WHEN category_source = 'merchant_default' AND category = '其他支出' THEN ['other_expense_review'] ELSE [] END ||
-    CASE WHEN category = '综合购物' AND amount >= 1000 THEN ['high_value_general_shopping_review'] ELSE [] END END) AS signal FROM plain""")
-)
+    CASE WHEN category = '综合购物' AND amount >= 1000 THEN ['high_value_general_shopping_review'] ELSE [] END END) AS signal FROM plain""")))
 def review_signals_net(spark, sf_dir):
-    return _review_signals(*plain(spark, sf_dir))
-
-
-@query(as_net(SQL["review_signals_net"]))
-def net_review_signals(spark, sf_dir):
     return _review_signals(*whole(spark, sf_dir))
 
 
@@ -178,26 +171,16 @@ def net_spending_merchant(spark, sf_dir):
     return _plain_stats(spark, sf_dir, whole).where("grain = 'merchant'").select("month", "merchant_name", "display_name", "is_unclassified", "spending_minor", "transaction_count")
 
 
-@query(sql("plain", then="""SELECT CASE WHEN grouping(month) = 1 THEN 'all' WHEN grouping(category) = 1 THEN 'month' ELSE 'category' END AS grain, month, category, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, count(*) AS transaction_count
-    FROM plain GROUP BY GROUPING SETS ((), (month), (month, category))"""))
+@query(as_net(sql("plain", then="""SELECT CASE WHEN grouping(month) = 1 THEN 'all' WHEN grouping(category) = 1 THEN 'month' ELSE 'category' END AS grain, month, category, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, count(*) AS transaction_count
+    FROM plain GROUP BY GROUPING SETS ((), (month), (month, category))""")))
 def spending_rollup(spark, sf_dir):
-    return _rollup(_plain_stats(spark, sf_dir))
-
-
-@query(as_net(SQL["spending_rollup"]))
-def net_spending_rollup(spark, sf_dir):
     return _rollup(_plain_stats(spark, sf_dir, whole))
 
 
-@query(sql("statement_dates", "plain", then="""SELECT month, m.a AND m.b AS is_complete, m.a AND m.b AS "show" FROM (SELECT DISTINCT month,
+@query(as_net(sql("statement_dates", "plain", then="""SELECT month, m.a AND m.b AS is_complete, m.a AND m.b AS "show" FROM (SELECT DISTINCT month,
     CAST(month || '-10' AS DATE) IN (SELECT statement_date FROM statement_dates) AS a,
-    CAST(CAST(month || '-10' AS DATE) + INTERVAL 1 MONTH AS DATE) IN (SELECT statement_date FROM statement_dates) AS b FROM plain) m"""))
+    CAST(CAST(month || '-10' AS DATE) + INTERVAL 1 MONTH AS DATE) IN (SELECT statement_date FROM statement_dates) AS b FROM plain) m""")))
 def month_coverage(spark, sf_dir):
-    return _coverage(spark, sf_dir, plain)
-
-
-@query(as_net(SQL["month_coverage"]))
-def net_month_coverage(spark, sf_dir):
     return _coverage(spark, sf_dir, whole)
 
 
@@ -222,32 +205,22 @@ def cash_sql(then: str) -> str:
     return sql("statement_dates", "plain", then="").rstrip() + ",\n" + _CASH + "\n" + then
 
 
-def cash_flow(spark, sf_dir, part=plain) -> DataFrame:
+def cash_flow(spark, sf_dir, part) -> DataFrame:
     net, t, _ = part(spark, sf_dir)
     spending = net.join(t, "transaction_id").groupBy(month_key("transaction_date").alias("month")).agg(minor_units(F.sum("spending")).alias("spending_minor"), F.count("*").alias("spending_count"))
     months = t.select(month_key("transaction_date").alias("month"))
     return projections.financial_months(projections.income_by_month(t), spending, projections.month_coverage(months, A.statement_dates(spark, sf_dir)))
 
 
-@query(cash_sql("SELECT month, shown AS spending_data_complete, shown AS \"show\", income_minor, income_count, spending_minor, spending_count, income_minor - spending_minor AS net_minor FROM cash"))
+@query(as_net(cash_sql("SELECT month, shown AS spending_data_complete, shown AS \"show\", income_minor, income_count, spending_minor, spending_count, income_minor - spending_minor AS net_minor FROM cash")))
 def cash_flow_month(spark, sf_dir):
-    return cash_flow(spark, sf_dir)
-
-
-@query(as_net(SQL["cash_flow_month"]))
-def net_cash_flow_month(spark, sf_dir):
     return cash_flow(spark, sf_dir, whole)
 
 
-@query(cash_sql("""SELECT scope, CAST(sum(income_minor) AS BIGINT) AS income_minor, CAST(sum(spending_minor) AS BIGINT) AS spending_minor, CAST(sum(income_minor - spending_minor) AS BIGINT) AS net_minor,
+@query(as_net(cash_sql("""SELECT scope, CAST(sum(income_minor) AS BIGINT) AS income_minor, CAST(sum(spending_minor) AS BIGINT) AS spending_minor, CAST(sum(income_minor - spending_minor) AS BIGINT) AS net_minor,
     CAST(sum(income_count) AS BIGINT) AS income_count, CAST(sum(spending_count) AS BIGINT) AS spending_count, count(*) AS month_count
-    FROM cash, (VALUES ('all_data'), ('shown_data')) v(scope) WHERE scope = 'all_data' OR shown GROUP BY scope"""))
+    FROM cash, (VALUES ('all_data'), ('shown_data')) v(scope) WHERE scope = 'all_data' OR shown GROUP BY scope""")))
 def financial_summary(spark, sf_dir):
-    return projections.financial_summary(cash_flow(spark, sf_dir))
-
-
-@query(as_net(SQL["financial_summary"]))
-def net_financial_summary(spark, sf_dir):
     return projections.financial_summary(cash_flow(spark, sf_dir, whole))
 
 
@@ -256,14 +229,9 @@ def financial_payload(spark, sf_dir):
     return projections.financial_json(cash_flow(spark, sf_dir, whole))
 
 
-@query(sql("plain", then="""SELECT month, category, spending_minor, CASE WHEN total > 0 AND spending_minor > 0 THEN floor(CAST(spending_minor AS DOUBLE) / CAST(total AS DOUBLE) * 1000 + 0.5) / 10 ELSE 0 END AS share_percent
-    FROM (SELECT month, category, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, CAST(sum(sum(amount)) OVER (PARTITION BY month) * 100 AS BIGINT) AS total FROM plain GROUP BY month, category)"""))
+@query(as_net(sql("plain", then="""SELECT month, category, spending_minor, CASE WHEN total > 0 AND spending_minor > 0 THEN floor(CAST(spending_minor AS DOUBLE) / CAST(total AS DOUBLE) * 1000 + 0.5) / 10 ELSE 0 END AS share_percent
+    FROM (SELECT month, category, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, CAST(sum(sum(amount)) OVER (PARTITION BY month) * 100 AS BIGINT) AS total FROM plain GROUP BY month, category)""")))
 def category_shares(spark, sf_dir):
-    return _shares(_plain_stats(spark, sf_dir))
-
-
-@query(as_net(SQL["category_shares"]))
-def net_category_shares(spark, sf_dir):
     return _shares(_plain_stats(spark, sf_dir, whole))
 
 

@@ -32,15 +32,10 @@ def _view(spark, sf_dir):
     return views.transaction_view(t.select("transaction_id", "transaction_type", "transaction_date", "amount", "txn_ord", "description"), e)
 
 
-@query(sql("plain", then="""SELECT month, rank, merchant_name, spending_minor, CASE WHEN spending_minor > 0 THEN floor(CAST(spending_minor AS DOUBLE) / CAST(total AS DOUBLE) * 1000 + 0.5) / 10 ELSE 0 END AS share_percent FROM (
+@query(as_net(sql("plain", then="""SELECT month, rank, merchant_name, spending_minor, CASE WHEN spending_minor > 0 THEN floor(CAST(spending_minor AS DOUBLE) / CAST(total AS DOUBLE) * 1000 + 0.5) / 10 ELSE 0 END AS share_percent FROM (
     SELECT month, merchant_name, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, CAST(sum(sum(amount)) OVER (PARTITION BY month) * 100 AS BIGINT) AS total,
-      row_number() OVER (PARTITION BY month ORDER BY sum(amount) DESC, display_name, coalesce(merchant_name, '')) AS rank FROM plain GROUP BY month, merchant_name, display_name) WHERE rank <= 8"""))
+      row_number() OVER (PARTITION BY month ORDER BY sum(amount) DESC, display_name, coalesce(merchant_name, '')) AS rank FROM plain GROUP BY month, merchant_name, display_name) WHERE rank <= 8""")))
 def top_merchants(spark, sf_dir):
-    return _top_merchants(_plain_stats(spark, sf_dir))
-
-
-@query(as_net(SQL["top_merchants"]))
-def net_top_merchants(spark, sf_dir):
     return _top_merchants(_plain_stats(spark, sf_dir, whole))
 
 
@@ -48,28 +43,18 @@ def _top_merchants(stats):
     return views.top_merchants(stats).drop("display_name").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(cash_sql("""SELECT month, income_minor, spending_minor, income_minor - spending_minor AS net_minor, CAST(greatest(1, max(greatest(income_minor, spending_minor)) OVER ()) AS BIGINT) AS axis_maximum
-    FROM (SELECT * FROM cash WHERE shown ORDER BY month DESC LIMIT 12)"""))
+@query(as_net(cash_sql("""SELECT month, income_minor, spending_minor, income_minor - spending_minor AS net_minor, CAST(greatest(1, max(greatest(income_minor, spending_minor)) OVER ()) AS BIGINT) AS axis_maximum
+    FROM (SELECT * FROM cash WHERE shown ORDER BY month DESC LIMIT 12)""")))
 def financial_trend(spark, sf_dir):
-    return views.financial_trend(cash_flow(spark, sf_dir))
-
-
-@query(as_net(SQL["financial_trend"]))
-def net_financial_trend(spark, sf_dir):
     return views.financial_trend(cash_flow(spark, sf_dir, whole))
 
 
-@query(sql("statement_dates", "plain", then="""SELECT m.month, t.category, coalesce(s.spending_minor, 0) AS spending_minor, t.category_total FROM
+@query(as_net(sql("statement_dates", "plain", then="""SELECT m.month, t.category, coalesce(s.spending_minor, 0) AS spending_minor, t.category_total FROM
     (SELECT DISTINCT month FROM plain WHERE CAST(month || '-10' AS DATE) IN (SELECT statement_date FROM statement_dates) AND CAST(CAST(month || '-10' AS DATE) + INTERVAL 1 MONTH AS DATE) IN (SELECT statement_date FROM statement_dates) ORDER BY month DESC LIMIT 12) m
     CROSS JOIN LATERAL (SELECT 1) one
     JOIN (SELECT category, CAST(sum(amount) * 100 AS BIGINT) AS category_total FROM plain WHERE month IN (SELECT DISTINCT month FROM plain WHERE CAST(month || '-10' AS DATE) IN (SELECT statement_date FROM statement_dates) AND CAST(CAST(month || '-10' AS DATE) + INTERVAL 1 MONTH AS DATE) IN (SELECT statement_date FROM statement_dates) ORDER BY month DESC LIMIT 12) GROUP BY category) t ON TRUE
-    LEFT JOIN (SELECT month, category, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor FROM plain GROUP BY ALL) s ON s.month = m.month AND s.category = t.category"""))
+    LEFT JOIN (SELECT month, category, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor FROM plain GROUP BY ALL) s ON s.month = m.month AND s.category = t.category""")))
 def category_trend_grid(spark, sf_dir):
-    return _trend_grid(spark, sf_dir, plain)
-
-
-@query(as_net(SQL["category_trend_grid"]))
-def net_category_trend_grid(spark, sf_dir):
     return _trend_grid(spark, sf_dir, whole)
 
 
@@ -95,15 +80,10 @@ def recent_transactions(spark, sf_dir):
     return views.recent_transactions(A.transactions(spark, sf_dir)).select("transaction_id", "transaction_date")
 
 
-@query(cash_sql("""SELECT month, income_minor, spending_minor, (SELECT string_agg(transaction_id, ',' ORDER BY transaction_date DESC, txn_ord DESC) FROM (SELECT * FROM transactions ORDER BY transaction_date DESC, txn_ord DESC LIMIT 5)) AS recent,
+@query(as_net(cash_sql("""SELECT month, income_minor, spending_minor, (SELECT string_agg(transaction_id, ',' ORDER BY transaction_date DESC, txn_ord DESC) FROM (SELECT * FROM transactions ORDER BY transaction_date DESC, txn_ord DESC LIMIT 5)) AS recent,
     (SELECT count(DISTINCT description) FROM transactions WHERE transaction_type = 'expense' AND description NOT IN (SELECT description FROM description_map)) AS review_count
-    FROM (SELECT * FROM cash WHERE shown ORDER BY month DESC LIMIT 1)"""))
+    FROM (SELECT * FROM cash WHERE shown ORDER BY month DESC LIMIT 1)""")))
 def home_summary(spark, sf_dir):
-    return _home(spark, sf_dir, plain)
-
-
-@query(as_net(SQL["home_summary"]))
-def net_home_summary(spark, sf_dir):
     return _home(spark, sf_dir, whole)
 
 

@@ -82,18 +82,18 @@ def test_net_queries_cover_the_whole_ledger(spark):
             category[m, facts[r.transaction_id].category] += minor
             merchant[m, facts[r.transaction_id].merchant_name] += minor
     rows = lambda name: registry.QUERIES[name](spark, sf).collect()
-    cash = rows("net_cash_flow_month")
+    cash = rows("cash_flow_month")
     assert {r.month: r.spending_minor for r in cash if r.spending_minor} == month
     assert all(r.net_minor == r.income_minor - r.spending_minor for r in cash)
-    assert {r.scope: r.spending_minor for r in rows("net_financial_summary")}["all_data"] == sum(month.values())
-    assert {(r.month, r.category): r.spending_minor for r in rows("net_category_shares")} == category
-    rolled = {(r.grain, r.month, r.category): r.spending_minor for r in rows("net_spending_rollup")}
+    assert {r.scope: r.spending_minor for r in rows("financial_summary")}["all_data"] == sum(month.values())
+    assert {(r.month, r.category): r.spending_minor for r in rows("category_shares")} == category
+    rolled = {(r.grain, r.month, r.category): r.spending_minor for r in rows("spending_rollup")}
     assert rolled["all", None, None] == sum(month.values()) and {k[1]: v for k, v in rolled.items() if k[0] == "month"} == month
-    assert all(merchant[r.month, r.merchant_name] == r.spending_minor for r in rows("net_top_merchants") if r.merchant_name)
-    assert {r.month for r in rows("net_month_coverage")} == set(month)
-    assert {r.month: r.spending_minor for r in rows("net_financial_trend")}.items() <= {r.month: r.spending_minor for r in cash}.items()
-    assert all(r.spending_minor == category[r.month, r.category] for r in rows("net_category_trend_grid"))
-    assert all(r.spending_minor == month[r.month] for r in rows("net_home_summary"))
+    assert all(merchant[r.month, r.merchant_name] == r.spending_minor for r in rows("top_merchants") if r.merchant_name)
+    assert {r.month for r in rows("month_coverage")} == set(month)
+    assert {r.month: r.spending_minor for r in rows("financial_trend")}.items() <= {r.month: r.spending_minor for r in cash}.items()
+    assert all(r.spending_minor == category[r.month, r.category] for r in rows("category_trend_grid"))
+    assert all(r.spending_minor == month[r.month] for r in rows("home_summary"))
     assert {r.transaction_id for r in rows("net_review_signals")} <= {k for k, v in left.items() if v > 0}
     payload = json.dumps([r.asDict(True) for r in rows("financial_payload")], default=str)
     assert all(str(v) in payload for v in month.values())
