@@ -28,6 +28,18 @@ def apply_manual_changes(evidence: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(changes.where("op <> 'delete'").select(*evidence.columns))
 
 
+def decisions_changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: whether two tables of decisions differ in any row, repeats counted."""
+    after = after.select(*before.columns)
+    return before.exceptAll(after).union(after.exceptAll(before)).agg((F.count("*") > 0).alias("changed"))
+
+
+def merged_in_order(pages: DataFrame, key: str, order: str) -> DataFrame:
+    """Pages of a list as one list: of repeated keys the first by ``order`` stays in its place."""
+    own = Window.partitionBy(key).orderBy(order)
+    return pages.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n").orderBy(order)
+
+
 def corrected_records(changes: DataFrame) -> DataFrame:
     rows = changes.where("op = 'correct'")
     return rows.select(ids.source_record_id(F.lit("manual"), F.col("id"), F.lit("entry")).alias("source_record_id"))

@@ -240,11 +240,30 @@ def processing_order(bank: DataFrame) -> DataFrame:
     return positions(groups, F.desc("transactions"), "first_date", "description", name="processing_order")
 
 
-def with_running_use(results: DataFrame, order: DataFrame, app_rows: int) -> DataFrame:
-    """App rows available before and after each description: the total less those used so far."""
-    rows = results.join(order.select("description", "processing_order"), "description")
-    used = F.sum("assigned").over(Window.orderBy("processing_order"))
-    return rows.withColumn("available_after", F.lit(app_rows) - used).withColumn("available_before", F.col("available_after") + F.col("assigned"))
+def matching_summary(status: DataFrame) -> DataFrame:
+    """How many transactions, and of what amount, in all, by state, by stage and by reason."""
+    part = lambda name, c: F.struct(F.lit(name).alias("part"), c.cast("string").alias("value"))
+    each = F.array_compact(F.array(part("all", F.lit("all")), part("state", F.col("state")), *[F.when(F.col(c).isNotNull(), part(c, F.col(c))) for c in ("stage", "reason")]))
+    rows = status.select("amount", F.explode(each).alias("p"))
+    return rows.groupBy("p.part", "p.value").agg(F.count("*").alias("transactions"), F.sum("amount").alias("amount"))
+
+
+def pair_summary(diagnostics: DataFrame) -> DataFrame:
+    """One row over all transactions: how many have pairs, one pair, several; and the pairs by kind."""
+    total = [F.sum(c).alias(c) for c in ("n", "opposite", "same", "both_zero", "within_0", "within_1", "within_3", "within_7", "unknown_date")]
+    return diagnostics.agg(F.count("*").alias("transactions"), F.count_if(F.col("n") > 0).alias("with_pairs"), F.count_if(F.col("n") == 1).alias("with_one"), F.count_if(F.col("n") > 1).alias("with_several"), *total)
+
+
+def with_running_use(results: DataFrame, order: DataFrame, app_rows: int, range_size: int = 10_000) -> DataFrame:
+    """App rows available before and after each description: the total less those used so far.
+    Ranges of the order are summed each by itself, after the sums of the ranges before."""
+    rows = results.join(order.select("description", "processing_order"), "description").withColumn("_range", F.expr(f"processing_order div {int(range_size)}"))
+    sums = rows.groupBy("_range").agg(F.sum("assigned").alias("_sum"))
+    before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
+    used = F.sum("assigned").over(Window.partitionBy("_range").orderBy("processing_order")) + F.col("_before")
+    rows = rows.join(before, "_range").withColumn("_used", used).drop("_range", "_before")
+    used = F.col("_used")
+    return rows.withColumn("available_after", F.lit(app_rows) - used).withColumn("available_before", F.col("available_after") + F.col("assigned")).drop("_used")
 
 
 def unused_rows(app: DataFrame, matched: DataFrame) -> DataFrame:

@@ -64,6 +64,16 @@ def schedule_view(rules: DataFrame, execution: DataFrame) -> DataFrame:
     return rows.withColumn("next_occurrence_date", dates.next_occurrence("first_occurrence_date", "last_processed_occurrence_date")).orderBy("next_occurrence_date", "description")
 
 
+def in_view_order(view: DataFrame) -> DataFrame:
+    """Rules as they are shown: by next date, then description."""
+    return view.orderBy("next_occurrence_date", "description", "id")
+
+
+def in_run_order(occurrences: DataFrame) -> DataFrame:
+    """Due occurrences as they are run: by the rule's first date, its id, then by date."""
+    return occurrences.orderBy("first_occurrence_date", "rule_id", "occurrence_date")
+
+
 def schedule_totals(rules: DataFrame) -> DataFrame:
     return rules.agg(F.count_if("enabled").alias("enabled"), F.count_if(~F.col("enabled")).alias("paused"))
 

@@ -20,9 +20,13 @@ def transaction_view(transactions: DataFrame, enrichments: DataFrame, signals: D
 
 
 def manual_input_view(records: DataFrame, links: DataFrame, view: DataFrame) -> DataFrame:
-    """Manual records with the transaction they belong to, newest first."""
+    """Manual records with the transaction they belong to, newest first. A record without a link, or
+    whose transaction isn't there, is an error."""
     own = records.where("source_type = 'manual'").select("source_record_id", F.col("record_ord").alias("input_ord"), F.col("description").alias("input_description"))
-    return own.join(links.select("source_record_id", "transaction_id", "role"), "source_record_id").join(view.drop("source_record_id"), "transaction_id").orderBy(F.desc("input_ord"))
+    there = view.drop("source_record_id").withColumn("_there", F.lit(True))
+    rows = own.join(links.select("source_record_id", "transaction_id", "role"), "source_record_id", "left").join(there, "transaction_id", "left")
+    lost = F.raise_error(F.concat(F.lit("manual record without a transaction: "), "source_record_id"))
+    return rows.withColumn("transaction_id", F.when(F.col("_there"), F.col("transaction_id")).otherwise(lost)).drop("_there").orderBy(F.desc("input_ord"))
 
 
 def manual_descriptions(records: DataFrame) -> DataFrame:

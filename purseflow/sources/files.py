@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from purseflow import schemas as S
 from purseflow.functions import ids
 from purseflow.operators.checks import json_keys, union, unique, violations
+from purseflow.operators.ranking import positions
 
 REQUIRED = {
     "manual_evidence": (S.MANUAL_EVIDENCE, ["id", "type", "date", "amount", "currency", "description"], []),
@@ -21,21 +22,34 @@ REQUIRED = {
     "app_rows": (S.APP_ROWS, ["row_image", "merchant_text", "merchant_score", "amount"], ["occurred_at", "occurred_on", "occurred_at_precision", "issues", "notes"]),
 }
 
+#: Tables whose order in the file counts.
+ORDERED = ("manual_evidence", "source_links")
+
 
 def read_jsonl(spark: SparkSession, path: str, table: str) -> tuple[DataFrame, DataFrame]:
     """(rows, violations) of a file of JSON lines with exactly the table's fields. Blank
-    lines are violations where the format has none (feedback); else they are skipped."""
+    lines are violations where the format has none (feedback); else they are skipped.
+    Manual evidence and source links come with their place in the file (line_no, link_ord),
+    as later steps go by it."""
     schema, required, optional = REQUIRED[table]
     raw = spark.read.text(path).select("value")
+    if table in ORDERED:
+        placed = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_at"))
+        raw = positions(placed, "file_path", "file_block_start", "_at", name="_line").select("value", "_line")
     blank = raw.where("trim(value) = ''")
     lines = raw.where("trim(value) <> ''")
     bad = json_keys(lines, "value", required, optional)
     if table == "feedback":
         bad = union(bad, violations(blank, "V21", F.lit("blank"), "blank line"))
-    good = lines.select(F.from_json("value", schema).alias("r"), F.json_object_keys("value").alias("k"))
+    good = lines.select(F.from_json("value", schema).alias("r"), F.json_object_keys("value").alias("k"), *[c for c in lines.columns if c != "value"])
     whole = F.size(F.array_except(F.array(*map(F.lit, required)), "k")) == 0
     known = F.size(F.array_except("k", F.array(*map(F.lit, [*required, *optional])))) == 0
-    return good.where(whole & known).select("r.*"), bad
+    rows = good.where(whole & known)
+    if table not in ORDERED:
+        return rows.select("r.*"), bad
+    if table == "source_links":
+        return rows.select("r.*", "_line").withColumn("link_ord", F.coalesce("link_ord", F.lpad(F.col("_line").cast("string"), 19, "0"))).drop("_line"), bad
+    return rows.select("r.*", F.col("_line").alias("line_no")), bad
 
 
 def read_json_array(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -51,8 +65,9 @@ def read_bank_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """(rows, violations) of bank transactions with a header; a byte order mark does no harm."""
     rows = spark.read.schema(S.BANK_TRANSACTIONS + ", _corrupt string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
     typed = rows.withColumn("transaction_date", F.try_to_date("transaction_date", "yyyy-MM-dd")).withColumn("amount", F.col("amount").try_cast(S.MONEY))
-    bad = typed.where("_corrupt is not null or transaction_id is null or transaction_date is null or amount is null or description is null")
-    return typed.where("_corrupt is null").drop("_corrupt").join(bad.select("transaction_id"), "transaction_id", "left_anti"), union(violations(bad, "S11", "transaction_id", "unreadable row"), unique(typed, "transaction_id", "S11"))
+    fault = "_corrupt is not null or transaction_id is null or transaction_date is null or amount is null or description is null"
+    bad = typed.where(fault)
+    return typed.where(f"not ({fault})").drop("_corrupt"), union(violations(bad, "S11", "transaction_id", "unreadable row"), unique(typed, "transaction_id", "S11"))
 
 
 def read_mappings(by_merchant: DataFrame, by_category: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -63,10 +78,10 @@ def read_mappings(by_merchant: DataFrame, by_category: DataFrame) -> tuple[DataF
 
 
 def manual_records(evidence: DataFrame) -> DataFrame:
-    """Source records of manual evidence; record_ord is the order by date and id."""
+    """Source records of manual evidence; record_ord is the line's place (line_no, as ``read_jsonl`` gives it)."""
     amount = F.col("amount").try_cast(S.MONEY)
-    rows = evidence.select(F.lit("manual").alias("source_type"), F.col("id").alias("evidence_identity"), F.lit("entry").alias("record_locator"), F.col("type").alias("transaction_type"), F.try_to_date("date", "yyyy-MM-dd").alias("transaction_date"), amount.alias("amount"), "currency", "description")
-    return rows.withColumn("source_record_id", ids.source_record_id()).withColumn("record_ord", F.xxhash64("evidence_identity").bitwiseAND(F.lit((1 << 62) - 1).cast("long")))
+    rows = evidence.select(F.lit("manual").alias("source_type"), F.col("id").alias("evidence_identity"), F.lit("entry").alias("record_locator"), F.col("type").alias("transaction_type"), F.try_to_date("date", "yyyy-MM-dd").alias("transaction_date"), amount.alias("amount"), "currency", "description", F.col("line_no").alias("record_ord"))
+    return rows.withColumn("source_record_id", ids.source_record_id())
 
 
 def registry(sources: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
