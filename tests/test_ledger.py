@@ -94,7 +94,7 @@ def test_net_queries_cover_the_whole_ledger(spark):
     assert {r.month: r.spending_minor for r in rows("financial_trend")}.items() <= {r.month: r.spending_minor for r in cash}.items()
     assert all(r.spending_minor == category[r.month, r.category] for r in rows("category_trend_grid"))
     assert all(r.spending_minor == month[r.month] for r in rows("home_summary"))
-    assert {r.transaction_id for r in rows("net_review_signals")} <= {k for k, v in left.items() if v > 0}
+    assert {r.transaction_id for r in rows("review_signals_net")} <= {k for k, v in left.items() if v > 0}
     payload = json.dumps([r.asDict(True) for r in rows("financial_payload")], default=str)
     assert all(str(v) in payload for v in month.values())
 
