@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purseflow.storage import materialize
+from purseflow.storage import discard, materialize
 
 
 def _state(edges: DataFrame):
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(small, "edges")
+        last, now = now, materialize(small, "edges")
+        discard(last)
         before, state = state, _state(now)
         if state == before:
             break

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _OWN: dict[str, str] = {}
+#: Where each table of ``materialize`` lies.
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,4 +38,17 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more: neither they nor what
+    was derived from them without being written. Other tables and None are passed over."""
+    for table in tables:
+        path = None if table is None else _PATHS.pop(table, None)
+        if path is not None:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

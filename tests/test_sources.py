@@ -4,9 +4,11 @@ import datetime
 import hashlib
 import json
 from email.message import EmailMessage
+from pathlib import Path
 
 import pytest
 
+from purseflow import storage
 from purseflow.functions import dates, money, text
 from purseflow.operators import matching
 from purseflow.sources import files, statements
@@ -200,3 +202,12 @@ def test_labels_sort_in_chinese(spark):
     frame = spark.createDataFrame([("a", "中"), ("b", "啊"), ("c", "波")], "transaction_id string, display_name string").withColumn("transaction_date", __import__("pyspark").sql.functions.lit("2026-01-01").cast("date"))
     assert [r.transaction_id for r in views.transactions_by_label(frame).collect()] == ["b", "c", "a"]
     assert views.row_json(spark.createDataFrame([("1.50", None)], "amount string, x string").withColumn("amount", __import__("pyspark").sql.functions.expr("cast(amount as decimal(28,6))"))).first().json == '{"amount":"1.5","x":null}'
+
+
+def test_discard_deletes_what_was_written_and_nothing_else(spark):
+    gone, stays = storage.materialize(spark.range(3), "gone"), storage.materialize(spark.range(4), "stays")
+    folders = [Path(t.inputFiles()[0].removeprefix("file://")).parents[1] for t in (gone, stays)]
+    storage.discard(gone, None, spark.range(2), stays.where("id > 1"))
+    storage.discard(gone)
+    assert not folders[0].exists() and folders[1].exists()
+    assert stays.count() == 4
