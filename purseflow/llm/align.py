@@ -6,9 +6,9 @@ tokens that end there are linked. Most groups are one token of A and the one of
 bytes. Those are counted in a vector as long as A's vocabulary, by a map from A's ids to B's that
 is made once; only the other links are shuffled as pairs.
 
-No merge of either tokenizer can cross a single space between two letters or digits (A's pattern
-starts anew there, and no piece of B has a space mark after anything else; the latter is checked
-when the file is read). So a text is cut there, and each different stretch is encoded once for many
+No merge of either tokenizer can cross a single space between two characters that aren't white
+space or B's space mark (A's pattern starts anew there, and no piece of B has a space mark after
+anything else; the latter is checked when the file is read). So a text is cut there, and each different stretch is encoded once for many
 texts, which also bounds the memory that a very long text takes. Stretches are remembered up to a
 number of characters; that changes the speed, never a result.
 
@@ -21,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,25 +34,16 @@ from purseflow.llm.bpe import byte_symbols
 from purseflow.storage import materialize
 
 #: Characters of stretches that a worker remembers, and of text that it encodes at once.
-CACHE_CHARS = 6 << 20
-TEXT_AT_ONCE = 2 << 20
+CACHE_CHARS = 4 << 20
+TEXT_AT_ONCE = 1 << 20
 #: Pairs up to which the counts of links outside the map are broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_PAIRS = 1 << 20
 
 _CODED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, same array<int>, same_n array<int>, odd_a array<int>, odd_b array<int>, odd_n array<int>"
-_CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+_CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 _NONE = np.empty(0, np.int32)
 
 
-class _Stretch:
-    """What a stretch of text adds to a document: numbers of tokens, groups as text, links as ids."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "text", "same", "odd")
-
-    def __init__(self, n_a, n_b, n_groups, text, same, odd):
-        self.n_a, self.n_b, self.n_groups, self.text, self.same, self.odd = n_a, n_b, n_groups, text, same, odd
-
-
 class Pair:
     """Both tokenizers, their ids' bytes, and the map from A's ids to B's."""
 
@@ -73,69 +66,101 @@ class Pair:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         #: Whether texts may be cut at single spaces.
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
-        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
         by_bytes = {x: i for i, x in reversed([*enumerate(self.bytes_b)]) if not self.b.is_byte(i) and not self.b.is_control(i) and not self.b.is_unknown(i)}
         self.same = np.array([by_bytes.get(x, -1) if x else -1 for x in self.bytes_a], np.int32)
-        self.known: dict[str, _Stretch | None] = {}
+        self.map = self.same.tolist()
+        #: What a stretch adds to a document: numbers of tokens of A and B, groups as text, ids of A linked by the map, other links. None where a tokenizer doesn't give it back.
+        self.known: dict[str, tuple | None] = {}
         self.held = 0
 
-    def _group(self, text: str, a: list[int], b: list[int]) -> _Stretch | None:
+    def _group(self, text: str, a: list[int], b: list[int]) -> tuple | None:
         whole = b" " + text.encode()
         if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
             return None
-        if len(a) == 1 and len(b) == 1:
-            link = (a[0], b[0])
-            same = self.same[a[0]] == b[0]
-            return _Stretch(1, 1, 1, f"{a[0]}|{b[0]}", [a[0]] if same else [], [] if same else [link])
-        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        _, last_a, last_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
-        parts, same, odd, p, q = [], [], [], 0, 0
-        for i, j in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
-            parts.append(",".join(map(str, a[p:i])) + "|" + ",".join(map(str, b[q:j])))
-            if self.same[a[i - 1]] == b[j - 1]:
-                same.append(a[i - 1])
+        size_a, size_b, known = self.size_a, self.size_b, self.map
+        parts, same, odd, p, q, i, j = [], [], [], 0, 0, 1, 1
+        end_a, end_b = size_a[a[0]], size_b[b[0]]
+        while True:
+            if end_a < end_b:
+                end_a += size_a[a[i]]
+                i += 1
+            elif end_b < end_a:
+                end_b += size_b[b[j]]
+                j += 1
             else:
-                odd.append((a[i - 1], b[j - 1]))
-            p, q = i, j
-        return _Stretch(len(a), len(b), len(parts), ";".join(parts), same, odd)
+                x, y = a[i - 1], b[j - 1]
+                parts.append(f"{x}|{y}" if i - p == 1 == j - q else ",".join(map(str, a[p:i])) + "|" + ",".join(map(str, b[q:j])))
+                if known[x] == y:
+                    same.append(x)
+                else:
+                    odd.append(x << 32 | y)
+                if i == len(a):
+                    return len(a), len(b), ";".join(parts), tuple(same), tuple(odd)
+                p, q = i, j
+                end_a += size_a[a[i]]
+                end_b += size_b[b[j]]
+                i += 1
+                j += 1
 
     def stretches(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuts else [text]
 
     def learn(self, texts: set[str]) -> None:
-        """Encode those of the texts that aren't remembered; they are remembered until the cache is full."""
+        """Encode those of the texts that aren't remembered. When the cache is full, what these texts don't need is forgotten."""
         new = [t for t in texts if t not in self.known]
         self.held += sum(map(len, new))
         if self.held > CACHE_CHARS:
-            self.known.clear()
-            new = [*texts]
-            self.held = sum(map(len, new))
-        at, run = 0, 0
-        for k, t in enumerate(new):  # a bounded number of characters at once
-            run += len(t)
-            if run > TEXT_AT_ONCE or k + 1 == len(new):
-                some = new[at : k + 1]
+            self.known = {t: self.known[t] for t in texts if t in self.known}
+            self.held = sum(map(len, texts))
+        for some in _runs(new, TEXT_AT_ONCE):
+            b = self.b.encode(some, num_threads=1)
+            if not (self.cuts and self._learn_together(some, b)):
                 a = self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)
-                b = self.b.encode(some, num_threads=1)
                 self.known.update((t, self._group(t, x.ids, y)) for t, x, y in zip(some, a, b))
-                at, run = k + 1, 0
 
-    def document(self, pieces: list[str]) -> tuple:
+    def _learn_together(self, some: list[str], b: list[list[int]]) -> bool:
+        """The same for all at once: stretches are put together again for A, and grouped as one row
+        of bytes. False if that row isn't given back byte by byte; then each is looked at by itself."""
+        joined = self.a.encode_batch_fast([" " + " ".join(run) for run in _runs(some, 1_000)], add_special_tokens=False)
+        a, b = list(chain.from_iterable(x.ids for x in joined)), list(chain.from_iterable(b))
+        raw = [b" " + t.encode() for t in some]
+        whole = b"".join(raw)
+        if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
+            return False
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        end_a, end_b = np.cumsum(np.array(self.size_a)[ids_a]), np.cumsum(np.array(self.size_b)[ids_b])
+        at = np.searchsorted(end_b, end_a)
+        last_a = np.flatnonzero(end_b[at] == end_a)
+        last_b = at[last_a]
+        cuts = np.searchsorted(end_a[last_a], ends)
+        if (end_a[last_a][np.minimum(cuts, len(last_a) - 1)] != ends).any():
+            return False
+        first_a, first_b = np.r_[0, last_a[:-1] + 1], np.r_[0, last_b[:-1] + 1]
+        x, y = ids_a[last_a], ids_b[last_b]
+        groups = [f"{p}|{q}" for p, q in zip(x.tolist(), y.tolist())]
+        for g in np.flatnonzero((first_a != last_a) | (first_b != last_b)).tolist():
+            groups[g] = ",".join(map(str, a[first_a[g] : last_a[g] + 1])) + "|" + ",".join(map(str, b[first_b[g] : last_b[g] + 1]))
+        mapped = self.same[x] == y
+        same, odd = x[mapped].tolist(), (x << 32 | y)[~mapped].tolist()
+        until = cuts + 1
+        same_until = np.r_[0, np.cumsum(mapped)][until]
+        bounds = [np.r_[0, u].tolist() for u in (last_a[cuts] + 1, last_b[cuts] + 1, until, same_until, until - same_until)]
+        rows = zip(some, *[z for u in bounds for z in (u, u[1:])])
+        self.known.update((t, (a1 - a0, b1 - b0, ";".join(groups[g0:g1]), tuple(same[s0:s1]), tuple(odd[o0:o1]))) for t, a0, a1, b0, b1, g0, g1, s0, s1, o0, o1 in rows)
+        return True
+
+    def document(self, pieces: list[str]) -> tuple | None:
         found = list(map(self.known.__getitem__, pieces))
         if None in found:
             return None
-        text = hashlib.sha256(";".join([s.text for s in found]).encode()).hexdigest()
-        same = [i for s in found for i in s.same]
-        odd = [p for s in found for p in s.odd]
-        same, same_n = np.unique(np.array(same, np.int32), return_counts=True) if same else (_NONE, _NONE)
-        if odd:
-            odd = np.array(odd, np.int64)
-            key, odd_n = np.unique(odd[:, 0] << 32 | odd[:, 1], return_counts=True)
-            odd_a, odd_b = key >> 32, key & 0xFFFFFFFF
-        else:
-            odd_a = odd_b = odd_n = _NONE
-        return sum(s.n_a for s in found), sum(s.n_b for s in found), sum(s.n_groups for s in found), text, same, same_n, odd_a, odd_b, odd_n
+        n_a, n_b, texts, same, odd = zip(*found)
+        digest = hashlib.sha256(";".join(texts).encode()).hexdigest()
+        same, odd = Counter(chain.from_iterable(same)), Counter(chain.from_iterable(odd))
+        keys = np.fromiter(odd, np.int64, len(odd))
+        n_groups = same.total() + odd.total()  # each group has one link
+        return sum(n_a), sum(n_b), n_groups, digest, list(same), list(same.values()), keys >> 32, keys & 0xFFFFFFFF, list(odd.values())
 
     def documents(self, texts):
         """Each text's row, with many texts' stretches encoded at once."""
@@ -154,6 +179,16 @@ class Pair:
             yield (self.document(pieces) if pieces else None) or (0, 0, 0, "", *[_NONE] * 5)
 
 
+def _runs(texts: list[str], size: int):
+    """The texts in runs of a bounded number of characters (or one text)."""
+    at, n = 0, 0
+    for k, t in enumerate(texts):
+        n += len(t)
+        if n > size or k + 1 == len(texts):
+            yield texts[at : k + 1]
+            at, n = k + 1, 0
+
+
 @lru_cache(maxsize=2)
 def pair(path_a: str, path_b: str) -> Pair:
     """One pair for a worker process, kept between tasks."""
