@@ -21,11 +21,33 @@ def apply_decision_patches(decisions: DataFrame, patches: DataFrame) -> DataFram
     return merged.where("coalesce(" + ", ".join(FIELDS) + ") is not null")
 
 
-def apply_manual_changes(evidence: DataFrame, changes: DataFrame) -> DataFrame:
-    """Manual evidence after changes (op create, correct or delete); the caller then syncs, or
-    reconsiders the corrected records (``corrected_records``)."""
-    kept = evidence.join(changes.where("op <> 'create'").select("id"), "id", "left_anti")
-    return kept.unionByName(changes.where("op <> 'delete'").select(*evidence.columns))
+def apply_manual_changes(evidence: DataFrame, changes: DataFrame, linked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Manual evidence after changes (seq, op create, correct or delete, and the columns of evidence), applied
+    in order; and each change with ``refused``, null where it was applied.
+
+    Creating what exists and changing what doesn't are refused, and so is changing an entry that
+    is there from before and not in ``linked`` (id), as it waits for its first sync. Whether another entry
+    exists before a change is what the last create or delete before it says, refused or not: after
+    the one it exists in any case, after the other it doesn't. So no change needs the outcome of another."""
+    columns = evidence.columns
+    ops = changes.select("seq", "op", *columns)
+    own = Window.partitionBy("id").orderBy("seq")
+    pending = evidence.select("id") if linked is None else evidence.select("id").join(linked.select("id").distinct(), "id", "left_anti")
+    pending = pending.limit(0) if linked is None else pending
+    rows = ops.join(evidence.select("id", F.lit(True).alias("_was")), "id", "left").join(pending.select("id", F.lit(True).alias("_waits")), "id", "left")
+    turned = F.last(F.when(F.col("op").isin("create", "delete"), F.col("op") == "create"), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    exists = F.coalesce(turned, F.col("_was"), F.lit(False))
+    waits = F.coalesce("_waits", F.lit(False))
+    creates = F.col("op") == "create"
+    refused = (
+        F.when(~F.coalesce(F.col("op").isin("create", "correct", "delete"), F.lit(False)), "no such change").when(creates & (exists | waits), "already exists")
+        .when(~creates & waits, "waits for its first sync").when(~creates & ~exists, "does not exist")
+    )
+    judged = rows.withColumn("refused", refused).drop("_was", "_waits")
+    last = judged.where("refused is null").groupBy("id").agg(F.max_by(F.struct("op", *[c for c in columns if c != "id"]), "seq").alias("_last"))
+    merged = evidence.join(last, "id", "left").where("_last is null").select(*columns)
+    new = last.where("_last.op <> 'delete'").select("id", *[F.col(f"_last.{c}").alias(c) for c in columns if c != "id"]).select(*columns)
+    return merged.unionByName(new), judged
 
 
 def decisions_changed(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -40,16 +62,35 @@ def merged_in_order(pages: DataFrame, key: str, order: str) -> DataFrame:
     return pages.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n").orderBy(order)
 
 
-def corrected_records(changes: DataFrame) -> DataFrame:
-    rows = changes.where("op = 'correct'")
-    return rows.select(ids.source_record_id(F.lit("manual"), F.col("id"), F.lit("entry")).alias("source_record_id"))
+def manual_record_id(id_: str = "id"):
+    return ids.source_record_id(F.lit("manual"), F.col(id_), F.lit("entry"))
 
 
-def manual_outcome(changes: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Per change: the transaction and action, or that the transaction is gone."""
-    own = changes.withColumn("source_record_id", ids.source_record_id(F.lit("manual"), F.col("id"), F.lit("entry")))
-    rows = own.join(decisions.select("source_record_id", "transaction_id", "action"), "source_record_id", "left")
-    return rows.select("id", "op", "transaction_id", F.when(F.col("op") == "delete", "transaction removed").otherwise(F.col("action")).alias("outcome"))
+def corrected_records(judged: DataFrame, links: DataFrame) -> DataFrame:
+    """(source_record_id) of linked entries whose changes were corrections only; an entry that
+    was deleted and created again is new."""
+    kept = judged.where("refused is null").groupBy("id").agg(F.bool_and(F.col("op") == "correct").alias("only")).where("only")
+    return kept.select(manual_record_id().alias("source_record_id")).join(links.select("source_record_id"), "source_record_id", "left_semi")
+
+
+def renewed_records(judged: DataFrame, links: DataFrame) -> DataFrame:
+    """(source_record_id) of linked entries that were deleted, and created again or not: their links go."""
+    gone = judged.where("refused is null and op = 'delete'").select(manual_record_id().alias("source_record_id")).distinct()
+    return gone.join(links.select("source_record_id"), "source_record_id", "left_semi")
+
+
+def manual_outcome(judged: DataFrame, before: DataFrame, after: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Per change (seq): its transaction and what became of it: the decision's action of the entry as it is in
+    the end, transaction removed or kept for a deletion, conflict where no decision could be made, or why it was refused.
+    ``before`` and ``after`` are links."""
+    own = judged.withColumn("source_record_id", manual_record_id())
+    old = before.select("source_record_id", F.col("transaction_id").alias("_old"))
+    alive = after.select(F.col("transaction_id").alias("_old"), F.lit(True).alias("_alive")).distinct()
+    new = decisions.select("source_record_id", F.col("transaction_id").alias("_new"), "action")
+    rows = own.join(old, "source_record_id", "left").join(alive, "_old", "left").join(new, "source_record_id", "left")
+    gone = F.when(F.col("_alive"), "transaction kept").otherwise("transaction removed")
+    outcome = F.when(F.col("refused").isNotNull(), F.concat(F.lit("refused: "), F.col("refused"))).when(F.col("op") == "delete", gone).otherwise(F.coalesce("action", F.lit("conflict")))
+    return rows.select("seq", "id", "op", F.when(F.col("refused").isNull(), F.when(F.col("op") == "delete", F.col("_old")).otherwise(F.col("_new"))).alias("transaction_id"), outcome.alias("outcome"))
 
 
 def feedback_latest(items: DataFrame, changes: DataFrame) -> DataFrame:

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from datetime import timedelta
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from purseflow import schemas as S
 from purseflow.functions import ids
 from purseflow.operators.components import connected_components
+from purseflow.storage import materialize
 
 
 def policies(spark: SparkSession, rows=S.DEFAULT_POLICIES) -> DataFrame:
@@ -73,107 +73,235 @@ def reconcile_candidates(records: DataFrame, transactions: DataFrame, days: int
 
 
 _FOLDED = "kind string, transaction_id string, source_record_id string, role string, link_ord string, action string, day_distance int, merchant_match boolean, identity_match boolean, detail string"
-
-
-class _Component:
-    """The records of one component, in processing order, and the links they make."""
-
-    def __init__(self, rows, days: int, generation: int):
-        self.days, self.generation = days, generation
-        self.rows = rows
-        self.by_id = {r["source_record_id"]: r for r in rows}
-        self.links: dict[str, list] = {}  # record -> [transaction, role, order]
-        self.members: dict[str, list[str]] = defaultdict(list)
-        self.hint: dict[str, str] = {}
-        self.at: dict[tuple, dict[str, None]] = defaultdict(dict)  # transactions by their authority's facts; some may have moved on
-        for r in sorted((r for r in rows if r["link_transaction"] is not None), key=lambda r: r["link_ord"]):
-            self._link(r["source_record_id"], r["link_transaction"], r["role"], r["link_ord"])
-            if r["transaction_hint"] is not None:
-                self.hint[r["link_transaction"]] = r["transaction_hint"]
-        self.decisions: list[tuple] = []
-        self.conflicts: list[tuple] = []
-
-    def _link(self, record: str, txn: str, role: str, order: str):
-        self.links[record] = [txn, role, order]
-        self.members[txn].append(record)
-        if role == "authoritative":
-            self._place(record, txn)
-
-    @staticmethod
-    def _facts(r: dict, day) -> tuple:
-        return r["transaction_type"], r["currency"], r["amount"], day
-
-    def _place(self, record: str, txn: str):
-        r = self.by_id[record]
-        self.at[self._facts(r, r["transaction_date"])][txn] = None
-
-    def _authority(self, txn: str):
-        return next((self.by_id[m] for m in self.members[txn] if self.links[m][1] == "authoritative"), None)
-
-    def _take_authority(self, record: str, txn: str):
-        for m in self.members[txn]:
-            self.links[m][1] = "authoritative" if m == record else "supporting"
-        self._place(record, txn)
-
-    def _candidates(self, r: dict) -> list[tuple]:
+_BLOCK = ["transaction_type", "currency", "amount"]
+#: Transactions and undecided records that a fold holds before it looks for what is settled.
+HELD = 2_000
+
+
+class _Held:
+    """A transaction that may still change: its links, and the facts of its authority."""
+
+    __slots__ = ("links", "block", "day", "source_type", "record_hint", "hint", "unread", "pending")
+
+    def __init__(self, unread: int):
+        self.links: dict[str, list] = {}  # record -> [role, order]
+        self.block = self.day = self.source_type = self.record_hint = self.hint = None
+        self.unread, self.pending = unread, 0
+
+
+class _Fold:
+    """Decides on the records of one component while they come by date.
+
+    Decisions are made in processing order, which is not that of the dates. A decision reads
+    transactions within ``days`` of its record, and another one can change those only if its
+    own record is within twice as many days, or linked to one of them. So a record is decided once
+    all rows up to twice ``days`` after it have come, all rows linked to what it may join, and no
+    record before it in order waits so near. A transaction that no row can reach any more
+    is given out and forgotten."""
+
+    def __init__(self, days: int, generation: int, out: list[tuple]):
+        self.days, self.generation, self.out = days, generation, out
+        self.waiting: list[tuple] = []  # order, row
+        self.txns: dict[str, _Held] = {}
+        self.at: dict[tuple, dict[str, None]] = defaultdict(dict)
+        self.created: set[str] = set()  # of the transactions that several records could create
+        self.unread: dict[str, int] = {}  # of these, how many of the records have not come
+        self.most = HELD
+        self.front = None
+
+    def add(self, r: dict):
+        """The next row by date."""
+        day = r["transaction_date"].toordinal()
+        if self.front is not None and day > self.front and len(self.waiting) + len(self.txns) > self.most:
+            self._settle(day)
+            self.most = max(HELD, 2 * (len(self.waiting) + len(self.txns)))
+        self.front = day
+        r["day"] = day
+        txn = r["link_transaction"]
+        if txn is not None:
+            t = self.txns.get(txn)
+            if t is None:
+                t = self.txns[txn] = _Held(r["txn_rows"])
+            t.unread -= 1
+            t.hint = r["transaction_hint"] if r["transaction_hint"] is not None else t.hint
+            t.links[r["source_record_id"]] = [r["role"], r["link_ord"]]
+            if r["role"] == "authoritative":
+                self._place(txn, t, r)
+            if not r["takes_authority"]:
+                self._decided(r, txn, "reused", None, None, True)
+                return
+            t.pending += 1
+        elif r["target_rows"] > 1:
+            self.unread[r["target"]] = self.unread.get(r["target"], r["target_rows"]) - 1
+        self.waiting.append(((r["processing_order"], r["source_type"], r["record_ord"], r["source_record_id"]), r))
+
+    def finish(self):
+        self._settle(None)
+
+    def _decided(self, r, txn, action, distance, match, same):
+        self.out.append(("decision", txn, r["source_record_id"], None, None, action, distance, match, same, None))
+
+    def _conflict(self, r, txn, detail):
+        self.out.append(("conflict", txn, r["source_record_id"], None, None, None, None, None, None, detail))
+
+    def _place(self, txn: str, t: _Held, r: dict):
+        if t.block is not None:
+            self.at[t.block, t.day].pop(txn, None)
+        t.block, t.day, t.source_type, t.record_hint = r["block"], r["day"], r["source_type"], r["record_hint"]
+        self.at[t.block, t.day][txn] = None
+
+    def _near(self, r: dict):
+        for day in range(r["day"] - self.days, r["day"] + self.days + 1):
+            yield from self.at.get((r["block"], day), ())
+
+    def _take_authority(self, txn: str, t: _Held, r: dict):
+        for record, link in t.links.items():
+            link[0] = "authoritative" if record == r["source_record_id"] else "supporting"
+        self._place(txn, t, r)
+
+    def _decide(self, r: dict):
+        record, txn = r["source_record_id"], r["link_transaction"]
+        if txn is not None:
+            t = self.txns[txn]
+            t.pending -= 1
+            self._take_authority(txn, t, r)
+            self._decided(r, txn, "reused", None, None, True)
+            return
         found = []
-        near = [self._facts(r, r["transaction_date"] + timedelta(days=d)) for d in range(-self.days, self.days + 1)]
-        for key, txn in [(key, txn) for key in near for txn in self.at.get(key, ())]:
-            a = self._authority(txn)
-            if a is None or self._facts(a, a["transaction_date"]) != key:
+        for txn in self._near(r):
+            t = self.txns[txn]
+            if r["candidate_scope"] != "any" and t.source_type != r["candidate_scope"]:
                 continue
-            if r["candidate_scope"] != "any" and a["source_type"] != r["candidate_scope"]:
-                continue
-            distance = abs((a["transaction_date"] - r["transaction_date"]).days)
-            theirs = self.hint.get(txn) or a["record_hint"]
+            theirs = t.hint or t.record_hint
             match = None if r["record_hint"] is None or theirs is None else r["record_hint"] == theirs
             if match is not False:
-                found.append((txn, distance, match))
-        return found
-
-    def run(self):
-        for r in self.rows:
-            record = r["source_record_id"]
-            if record in self.links:
-                if r["takes_authority"]:
-                    self._take_authority(record, self.links[record][0])
-                self.decisions.append((record, self.links[record][0], "reused", None, None, True))
-                continue
-            found = self._candidates(r)
-            sure = found if len(found) == 1 else [c for c in found if c[2]]
-            order = f"{self.generation:06d}|{r['processing_order']:06d}|{r['source_type']}|{r['record_ord']:020d}"
-            if len(sure) == 1:
-                txn, distance, match = sure[0]
-                self._link(record, txn, "supporting", order)
-                if r["takes_authority"]:
-                    self._take_authority(record, txn)
-                self.decisions.append((record, txn, "matched", distance, match, False))
-                continue
-            if found and r["on_ambiguous"] == "fail":
-                self.conflicts.append((record, None, "several transactions match: " + ", ".join(sorted(c[0] for c in found))))
-                continue
-            txn = r["override_transaction"] or r["new_transaction"]
-            if self.members.get(txn):
-                self.conflicts.append((record, txn, "the new transaction's id is in use"))
-                continue
-            self._link(record, txn, "authoritative", order)
-            reused = r["override_action"] == "reused"
-            self.decisions.append((record, txn, r["override_action"] or "created", None, None, reused))
-        for record, (txn, role, order) in self.links.items():
-            yield ("link", txn, record, role, order, None, None, None, None, None)
-        for record, txn, action, distance, match, same in self.decisions:
-            yield ("decision", txn, record, None, None, action, distance, match, same, None)
-        for record, txn, detail in self.conflicts:
-            yield ("conflict", txn, record, None, None, None, None, None, None, detail)
+                found.append((txn, abs(t.day - r["day"]), match))
+        sure = found if len(found) == 1 else [c for c in found if c[2]]
+        order = f"{self.generation:06d}|{r['processing_order']:06d}|{r['source_type']}|{r['record_ord']:020d}"
+        if len(sure) == 1:
+            txn, distance, match = sure[0]
+            t = self.txns[txn]
+            t.links[record] = ["supporting", order]
+            if r["takes_authority"]:
+                self._take_authority(txn, t, r)
+            self._decided(r, txn, "matched", distance, match, False)
+        elif found and r["on_ambiguous"] == "fail":
+            self._conflict(r, None, "several transactions match: " + ", ".join(sorted(c[0] for c in found)))
+        elif r["target_linked"] or r["target"] in self.created:
+            self._conflict(r, r["target"], "the new transaction's id is in use")
+        else:
+            if r["target_rows"] > 1:
+                self.created.add(r["target"])
+            t = self.txns[r["target"]] = _Held(0)
+            t.links[record] = ["authoritative", order]
+            self._place(r["target"], t, r)
+            self._decided(r, r["target"], r["override_action"] or "created", None, None, r["override_action"] == "reused")
+
+    def _settle(self, front: int | None):
+        """Decide what can be decided now that all rows before the day ``front`` have come, or all rows."""
+        self.waiting.sort(key=lambda e: e[0])
+        reach, near, stuck, left = 2 * self.days, set(), set(), []
+        for event in self.waiting:
+            r = event[1]
+            t = self.txns.get(r["link_transaction"])
+            places = [(r["block"], r["day"])] + ([(t.block, t.day)] if t is not None and t.block is not None else [])
+            if t is not None:
+                waits = t.unread > 0 or r["link_transaction"] in stuck
+            else:
+                waits = self.unread.get(r["target"], 0) > 0 or r["target"] in stuck or any(self.txns[x].unread > 0 or x in stuck for x in self._near(r))
+            if front is not None and (waits or any(day + reach >= front or (block, day) in near for block, day in places)):
+                near.update((block, d) for block, day in places for d in range(day - reach, day + reach + 1))
+                stuck.add(r["link_transaction"] or r["target"])
+                left.append(event)
+            else:
+                self._decide(r)
+        self.waiting = left
+        reached = {(r["block"], d) for _, r in left if r["link_transaction"] is None for d in range(r["day"] - self.days, r["day"] + self.days + 1)}
+        for txn in [*self.txns]:
+            t = self.txns[txn]
+            if front is None or not t.unread and not t.pending and (t.block is None or t.day + self.days < front and (t.block, t.day) not in reached):
+                self.out += [("link", txn, record, role, order, None, None, None, None, None) for record, (role, order) in t.links.items()]
+                del self.txns[txn]
+                if t.block is not None:
+                    at = self.at[t.block, t.day]
+                    at.pop(txn, None)
+                    if not at:
+                        del self.at[t.block, t.day]
+
+
+def _folded(days: int, generation: int):
+    names = [c.split()[0] for c in _FOLDED.split(", ")]
+    kinds = {"int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+    types = [kinds[c.split()[1]] for c in _FOLDED.split(", ")]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    def run(batches):
+        now, fold, out = None, None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["component"] != now:
+                    if fold is not None:
+                        fold.finish()
+                    now, fold = r["component"], _Fold(days, generation, out)
+                fold.add(r)
+                if len(out) > 10_000:
+                    yield batch(out)
+                    out.clear()
+        if fold is not None:
+            fold.finish()
+        if out:
+            yield batch(out)
+
+    return run
+
+
+def meeting_islands(rows: DataFrame, days: int = S.MATCH_WINDOW_DAYS) -> DataFrame:
+    """(transaction_type, currency, amount, transaction_date, island, meets) of the blocks that have an unlinked record.
+
+    Two days are in one island if an unlinked record of one could look at a record of the other, by
+    its policy's scope, or if such a pair spans them. ``rows`` has source_type, candidate_scope
+    and ``open`` (unlinked). ``meets`` says that there is such a pair in the island. Everything here
+    is about different days, of which a frequent amount has no more than the calendar."""
+    nodes = rows.groupBy(*_BLOCK, "transaction_date", "source_type", "candidate_scope").agg(F.bool_or("open").alias("open"), F.count("*").alias("n"))
+    nodes = nodes.join(nodes.where("open").select(*_BLOCK).distinct(), _BLOCK, "left_semi")
+    bucket = lambda k=0: F.expr(f"cast(floor(datediff(transaction_date, date'1970-01-01') / {days + 1}) as int) + {k}")
+    looks = nodes.where("open").select(*_BLOCK, F.col("transaction_date").alias("mine"), "candidate_scope", F.col("source_type").alias("my_type"), F.explode(F.array(*map(bucket, (-1, 0, 1)))).alias("bucket"))
+    seen = nodes.select(*_BLOCK, F.col("transaction_date").alias("theirs"), "source_type", "n", bucket().alias("bucket"))
+    pairs = looks.join(seen, [*_BLOCK, "bucket"]).where(F.abs(F.datediff("mine", "theirs")) <= days).where("candidate_scope = 'any' or candidate_scope = source_type")
+    pairs = pairs.where("n > 1 or mine <> theirs or my_type <> source_type")
+    spans = pairs.groupBy(*_BLOCK, F.least("mine", "theirs").alias("transaction_date")).agg(F.max(F.greatest("mine", "theirs")).alias("far"))
+    dates = nodes.select(*_BLOCK, "transaction_date").distinct().join(spans, [*_BLOCK, "transaction_date"], "left")
+    order = Window.partitionBy(*_BLOCK).orderBy("transaction_date")
+    reached = F.max(F.coalesce("far", "transaction_date")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = dates.withColumn("no", F.sum(F.coalesce((reached < F.col("transaction_date")).cast("int"), F.lit(1))).over(order))
+    meets = F.max(F.col("far").isNotNull()).over(Window.partitionBy(*_BLOCK, "no"))
+    return numbered.select(*_BLOCK, "transaction_date", F.concat_ws("|", F.lit("i:"), "transaction_type", "currency", F.col("amount").cast("string"), F.col("no").cast("string")).alias("island"), meets.alias("meets"))
+
+
+def _frontier(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that no decision can touch, as they are, and the others, written once. A decision comes
+    from an unlinked record or a change of roles, and touches rows of the same type, currency and
+    amount, and rows of their transactions. So a small change of a large ledger moves little more than itself."""
+    moving = F.col("open") | (F.col("takes_authority") & (F.col("role") != "authoritative"))
+    blocks = materialize(rows.where(moving).select(*_BLOCK).distinct(), "blocks")
+    near = rows.join(blocks, _BLOCK, "left_semi")
+    txns = materialize(near.where("not open").select("link_transaction").distinct(), "transactions")
+    marked = rows.join(blocks.withColumn("near", F.lit(True)), _BLOCK, "left").join(txns.withColumn("own", F.lit(True)), "link_transaction", "left")
+    touched = F.coalesce("near", F.lit(False)) | F.coalesce("own", F.lit(False))
+    return marked.where(~touched).drop("near", "own"), materialize(marked.where(touched).drop("near", "own"), "touched")
 
 
 def reconcile(records: DataFrame, links: DataFrame, policy: DataFrame, hints: DataFrame | None = None, transaction_hints: DataFrame | None = None, overrides: DataFrame | None = None, generation: int = 1) -> DataFrame:
     """Decide for each record whether it joins a transaction or founds one.
 
     Returns links, decisions and conflicts in one table, tagged by ``kind``. A decision
-    reads only records and transactions of its own date island and transactions, so
-    components of these are replayed independently, each in processing order. Components
-    whose records are all linked, with the roles that they should have, pass as they are.
+    reads only records that it could look at, in islands of days, and transactions; so
+    components of these are decided independently. Those without an unlinked record or a change
+    of roles pass as they are, and unlinked records that no other record could look at, or be seen
+    by, found their transactions, both in plain projections. The others are folded
+    by date, with what is out of reach forgotten (``_Fold``).
     ``hints`` is (source_record_id, merchant), ``transaction_hints`` (transaction_id,
     merchant), ``overrides`` (source_record_id, transaction_id, action).
     """
@@ -181,30 +309,43 @@ def reconcile(records: DataFrame, links: DataFrame, policy: DataFrame, hints: Da
     hints = hints if hints is not None else spark.createDataFrame([], "source_record_id string, merchant string")
     transaction_hints = transaction_hints if transaction_hints is not None else spark.createDataFrame([], "transaction_id string, merchant string")
     overrides = overrides if overrides is not None else spark.createDataFrame([], "source_record_id string, transaction_id string, action string")
-    rows = islands(records).join(links.select("source_record_id", F.col("transaction_id").alias("link_transaction"), "role", "link_ord"), "source_record_id", "left")
+    rows = records.join(links.select("source_record_id", F.col("transaction_id").alias("link_transaction"), "role", "link_ord"), "source_record_id", "left")
     rows = rows.join(policy, "source_type").join(hints.withColumnRenamed("merchant", "record_hint"), "source_record_id", "left")
-    rows = rows.join(transaction_hints.select(F.col("transaction_id").alias("link_transaction"), F.col("merchant").alias("transaction_hint")), "link_transaction", "left")
     rows = rows.join(overrides.select("source_record_id", F.col("transaction_id").alias("override_transaction"), F.col("action").alias("override_action")), "source_record_id", "left")
-    rows = rows.withColumn("new_transaction", ids.transaction_id())
-    linked = rows.where("link_transaction is not null").select("island", F.concat(F.lit("t:"), "link_transaction").alias("txn"))
-    fresh = rows.where("link_transaction is null").select("island", F.concat(F.lit("t:"), F.coalesce("override_transaction", "new_transaction")).alias("txn")).join(linked.select("txn").distinct(), "txn", "left_semi").select("island", "txn")
-    edges = linked.union(fresh).distinct()
+    rows = rows.withColumn("open", F.col("link_transaction").isNull()).withColumn("target", F.when(F.col("open"), F.coalesce("override_transaction", ids.transaction_id())))
+    rows = rows.select("source_record_id", "source_type", *_BLOCK, "transaction_date", "record_ord", "link_transaction", "role", "link_ord", "processing_order", "takes_authority", "candidate_scope", "on_ambiguous", "record_hint", "override_action", "open", "target")
+    untouched, rows = _frontier(rows)
+    rows = rows.join(meeting_islands(rows), [*_BLOCK, "transaction_date"], "left").withColumn("meets", F.coalesce("meets", F.lit(False)))
+    rows = rows.withColumn("island", F.coalesce("island", F.concat_ws("|", F.lit("d:"), "transaction_type", "currency", F.col("amount").cast("string"), F.col("transaction_date").cast("string"))))
+    known = links.select(F.col("transaction_id").alias("target"), F.lit(True).alias("target_linked")).distinct()
+    named = overrides.select(F.col("transaction_id").alias("target")).distinct()
+    shared = rows.where("open").join(named, "target", "left_semi").groupBy("target").agg(F.count("*").cast("int").alias("target_rows")).where("target_rows > 1")
+    opened = rows.where("open").join(known, "target", "left").join(shared, "target", "left")
+    rows = rows.where("not open").withColumns({"target_linked": F.lit(None).cast("boolean"), "target_rows": F.lit(None).cast("int")}).unionByName(opened)
+    rows = materialize(rows.withColumns({"target_linked": F.coalesce("target_linked", F.lit(False)), "target_rows": F.coalesce("target_rows", F.lit(1))}), "islands")
+    none = lambda t: F.lit(None).cast(t)
+    link = lambda txn, role, order: [F.lit("link").alias("kind"), F.col(txn).alias("transaction_id"), "source_record_id", F.lit(role).alias("role") if role else F.col("role"), order.alias("link_ord"), none("string").alias("action"), none("int").alias("day_distance"), none("boolean").alias("merchant_match"), none("boolean").alias("identity_match"), none("string").alias("detail")]
+    decision = lambda txn, action, same: [F.lit("decision").alias("kind"), F.col(txn).alias("transaction_id"), "source_record_id", none("string").alias("role"), none("string").alias("link_ord"), action.alias("action"), none("int").alias("day_distance"), none("boolean").alias("merchant_match"), same.alias("identity_match"), none("string").alias("detail")]
+    alone = F.col("open") & ~F.col("meets") & (F.col("target_rows") == 1)
+    founders = rows.where(alone & ~F.col("target_linked"))
+    action = F.coalesce("override_action", F.lit("created"))
+    direct = founders.select(*link("target", "authoritative", order_key(F.lit(generation), F.col("processing_order"), F.col("source_type"), F.col("record_ord")))).union(founders.select(*decision("target", action, action == "reused")))
+    direct = direct.union(rows.where(alone & F.col("target_linked")).select(F.lit("conflict").alias("kind"), F.col("target").alias("transaction_id"), "source_record_id", none("string"), none("string"), none("string"), none("int"), none("boolean"), none("boolean"), F.lit("the new transaction's id is in use")))
+    rest = rows.where(~alone)
+    edges = rest.select("island", F.concat(F.lit("t:"), F.coalesce("link_transaction", F.when(F.col("target_rows") > 1, F.col("target")))).alias("txn")).where("txn is not null").distinct()
     several = edges.groupBy("txn").agg(F.count("*").alias("n")).where("n > 1").select("txn")
     groups = connected_components(edges.join(several, "txn").select(F.col("island").alias("src"), F.col("txn").alias("dst")))
-    rows = rows.join(groups.select(F.col("node").alias("island"), F.col("root").alias("component")), "island", "left").withColumn("component", F.coalesce("component", "island"))
-    busy = rows.where("link_transaction is null or (takes_authority and role <> 'authoritative')").select("component").distinct()
-    quiet = rows.join(busy, "component", "left_anti")
-    none = lambda t: F.lit(None).cast(t)
-    same = quiet.select(F.lit("link").alias("kind"), F.col("link_transaction").alias("transaction_id"), "source_record_id", "role", "link_ord", none("string").alias("action"), none("int").alias("day_distance"), none("boolean").alias("merchant_match"), none("boolean").alias("identity_match"), none("string").alias("detail"))
-    reused = quiet.select(F.lit("decision").alias("kind"), F.col("link_transaction").alias("transaction_id"), "source_record_id", none("string").alias("role"), none("string").alias("link_ord"), F.lit("reused").alias("action"), none("int").alias("day_distance"), none("boolean").alias("merchant_match"), F.lit(True).alias("identity_match"), none("string").alias("detail"))
-    names = [c.split()[0] for c in _FOLDED.split(", ")]
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        clean = frame.astype(object).where(frame.notna(), None).sort_values(["processing_order", "source_type", "record_ord"]).to_dict("records")
-        return pd.DataFrame(list(_Component(clean, S.MATCH_WINDOW_DAYS, generation).run()), columns=names)
-
-    folded = rows.join(busy, "component", "left_semi").groupBy("component").applyInPandas(fold, _FOLDED)
-    return same.union(reused).union(folded)
+    rest = rest.join(groups.select(F.col("node").alias("island"), F.col("root").alias("component")), "island", "left").withColumn("component", F.coalesce("component", "island"))
+    busy = rest.where("open or (takes_authority and role <> 'authoritative')").select("component").distinct()
+    passed = ["link_transaction", "source_record_id", "role", "link_ord"]
+    quiet = rest.join(busy, "component", "left_anti").select(*passed).union(untouched.select(*passed))
+    same = quiet.select(*link("link_transaction", None, F.col("link_ord"))).union(quiet.select(*decision("link_transaction", F.lit("reused"), F.lit(True))))
+    dealt = rest.join(busy, "component", "left_semi")
+    sizes = dealt.where("not open").groupBy("link_transaction").agg(F.count("*").cast("int").alias("txn_rows"))
+    dealt = dealt.join(sizes, "link_transaction", "left").join(transaction_hints.select(F.col("transaction_id").alias("link_transaction"), F.col("merchant").alias("transaction_hint")), "link_transaction", "left")
+    dealt = dealt.withColumn("block", F.concat_ws("|", "transaction_type", "currency", F.col("amount").cast("string"))).drop(*_BLOCK, "island", "meets", "open")
+    dealt = dealt.repartition("component").sortWithinPartitions("component", "transaction_date", "processing_order", "source_type", "record_ord")
+    return same.union(direct).union(dealt.mapInArrow(_folded(S.MATCH_WINDOW_DAYS, generation), _FOLDED))
 
 
 def links_of(result: DataFrame) -> DataFrame:
@@ -234,11 +375,25 @@ def reconsider(records: DataFrame, links: DataFrame, changed: DataFrame, policy:
     return reconcile(records, kept, policy, hints, transaction_hints, overrides, generation)
 
 
-def sync(records: DataFrame, links: DataFrame, policy: DataFrame, decisions: DataFrame, hints: DataFrame | None = None, transaction_hints: DataFrame | None = None, generation: int = 1):
+def merchant_hints(records: DataFrame, description_map: DataFrame, enrichments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is known of merchants: by record, from the map, for expenses only; by transaction, from its enrichment."""
+    known = description_map.select("description", "merchant").where("merchant is not null").dropDuplicates(["description"])
+    of_records = records.where("transaction_type = 'expense'").select("source_record_id", "description").join(known, "description").select("source_record_id", "merchant")
+    return of_records, enrichments.where("merchant_name is not null").select("transaction_id", F.col("merchant_name").alias("merchant"))
+
+
+def sync(records: DataFrame, links: DataFrame, policy: DataFrame, decisions: DataFrame, hints: DataFrame | None = None, transaction_hints: DataFrame | None = None, changed: DataFrame | None = None, generation: int = 1):
     """One run over all evidence: drop links whose record is gone, give transactions without
-    an authority one, reconcile, drop decisions whose transaction is gone. Returns the
-    result of ``reconcile``, the kept decisions, and the counts by action."""
+    an authority one, reconcile, drop decisions whose transaction is gone. With ``changed``
+    (source_record_id), those records are decided on anew. Returns the result of ``reconcile``, the
+    kept decisions, and one row of counts."""
     present = links.join(records.select("source_record_id"), "source_record_id", "left_semi")
-    result = reconcile(records, recover_authority(records, present, policy), policy, hints, transaction_hints, generation=generation)
+    if changed is None:
+        result = reconcile(records, recover_authority(records, present, policy), policy, hints, transaction_hints, generation=generation)
+    else:
+        result = reconsider(records, present, changed, policy, hints, transaction_hints, generation)
+    result = materialize(result, "reconciled")
     kept = decisions.join(links_of(result).select("transaction_id").distinct(), "transaction_id", "left_semi")
-    return result, kept, decisions_of(result).groupBy("action").count()
+    counts = decisions_of(result).agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("created", "matched", "reused")])
+    transactions = links_of(result).agg(F.countDistinct("transaction_id").alias("transactions"))
+    return result, kept, records.agg(F.count("*").alias("records")).crossJoin(transactions).crossJoin(counts)

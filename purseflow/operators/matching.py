@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +12,8 @@ from purseflow import schemas as S
 from purseflow.functions.dates import app_time
 from purseflow.functions.money import app_amount
 from purseflow.functions.text import join_tokens, match_key, similarity
-from purseflow.operators.components import connected_components
 from purseflow.operators.ranking import positions
-from purseflow.storage import materialize
+from purseflow.storage import discard, materialize
 
 
 def kind_of(amount: str | Column = "amount") -> Column:
@@ -92,7 +91,7 @@ def candidates(bank: DataFrame, app: DataFrame, window: int = S.SECONDARY_WINDOW
     a = app.where("amount is not null and occurred_on is not null").select("row_image", "source_stem", "row_index", "merchant_key", "occurred_on", F.col("amount").alias("app_amount"), F.abs("amount").alias("size"), bucket("occurred_on").alias("_bucket"))
     b = bank.where("amount > 0").select("transaction_id", "description", "transaction_date", F.col("amount").alias("size"), F.explode(F.array(*[bucket("transaction_date") + k for k in (-1, 0, 1)])).alias("_bucket"))
     rows = b.join(a, ["size", "_bucket"]).withColumn("day_delta", F.datediff("occurred_on", "transaction_date")).where(F.abs("day_delta") <= window)
-    return rows.select("transaction_id", "description", "row_image", "source_stem", "row_index", "merchant_key", "occurred_on", "day_delta", (F.col("app_amount") == -F.col("size")).alias("opposite"))
+    return rows.select("transaction_id", "description", "row_image", "source_stem", "row_index", "merchant_key", "occurred_on", "day_delta", (F.col("app_amount") == -F.col("size")).alias("opposite"), "transaction_date", "size")
 
 
 def one_to_one(transactions: list[str], choices: dict[str, list[str]]) -> dict[str, str]:
@@ -121,86 +120,132 @@ def one_to_one(transactions: list[str], choices: dict[str, list[str]]) -> dict[s
     return {t: r for r, t in holder.items()}
 
 
-_MATCHED = "kind string, description string, transaction_id string, row_image string, stage string, day_delta int, status string, merchant_key string, seed_count int"
-
-
-def _replay(transactions: pd.DataFrame, edges: pd.DataFrame, window: int) -> list[tuple]:
-    by_txn: dict[str, list[dict]] = defaultdict(list)
-    edges = edges.sort_values("day_delta", key=abs, kind="stable")
-    for e in edges.to_dict("records"):
-        by_txn[e["transaction_id"]].append(e)
-    for found in by_txn.values():
-        found.sort(key=lambda e: (abs(e["day_delta"]), e["occurred_on"], e["source_stem"], e["row_index"], e["row_image"]))
-    free = {e["row_image"] for found in by_txn.values() for e in found}
-    out: list[tuple] = []
-    groups = sorted(transactions.groupby("description"), key=lambda g: (-len(g[1]), g[1]["transaction_date"].min(), g[0]))
-    for description, rows in groups:
-        rows = rows.sort_values(["transaction_date", "transaction_id"])
-        covered = rows[rows["covered"]]
-        evidence = covered.loc[covered["amount"] > 0, "transaction_id"].tolist()
-
-        def options(txns, test):
-            return {t: [e for e in by_txn.get(t, ()) if e["row_image"] in free and test(e)] for t in txns}
-
-        def seeds(found):
-            named = ({e["merchant_key"] for e in es} for es in found.values())
-            return Counter(next(iter(n)) for n in named if len(n) == 1)
-
-        signed = options(evidence, lambda e: e["day_delta"] == 0 and e["opposite"])
-        absolute = options(evidence, lambda e: e["day_delta"] == 0)
-        by_sign, by_size = seeds(signed), seeds(absolute)
-        merchant, chosen = None, Counter()
-        if by_sign:
-            chosen = by_sign
-            status = "mapped_signed_same_day_seed" if len(by_sign) == 1 else "conflicting_signed_same_day_seeds"
-        elif by_size:
-            chosen = by_size
-            status = "mapped_absolute_same_day_seed" if len(by_size) == 1 else "conflicting_absolute_same_day_seeds"
-        elif any(absolute.values()):
-            status = "ambiguous_without_seed"
-        else:
-            status = "no_same_day_candidate" if evidence else "no_eligible_purchase_evidence" if len(covered) else "ocr_not_covered"
-        if len(chosen) == 1:
-            merchant = next(iter(chosen))
-        assigned: dict[str, tuple[dict, str]] = {}
-        if merchant is not None:
-            rounds = (
-                ("signed_same_day", lambda e: e["day_delta"] == 0 and e["opposite"]), ("absolute_same_day", lambda e: e["day_delta"] == 0), ("absolute_window", lambda e: 0 < abs(e["day_delta"]) <= window),
-            )
-            for stage, test in rounds:
-                found = options([t for t in evidence if t not in assigned], lambda e, test=test: test(e) and e["merchant_key"] == merchant)
-                picked = one_to_one(list(found), {t: [e["row_image"] for e in es] for t, es in found.items()})
-                for t, row in picked.items():
-                    assigned[t] = (next(e for e in found[t] if e["row_image"] == row), stage)
-                free.difference_update(picked.values())
-        out.append(("group", description, None, None, None, None, status, merchant, sum(chosen.values())))
-        for t in rows["transaction_id"]:
-            if t in assigned:
-                e, stage = assigned[t]
-                out.append(("assignment", description, t, e["row_image"], stage, e["day_delta"], status, merchant, None))
-                continue
-            for e in options([t], lambda e: e["day_delta"] == 0 or merchant is not None and e["merchant_key"] == merchant)[t]:
-                out.append(("candidate", description, t, e["row_image"], None, e["day_delta"], status, merchant, None))
-    return out
+_MATCHED = ["kind", "description", "transaction_id", "row_image", "stage", "day_delta", "status", "merchant_key", "seed_count"]
+_ASSIGNED = "description string, transaction_id string, row_image string, day_delta int"
+
+
+def _seeds(edges: DataFrame) -> DataFrame:
+    """Per description: its status, merchant and number of seeds, from the free rows that its purchases have on their own day."""
+    same_day = edges.where("eligible and day_delta = 0")
+    named = F.coalesce("merchant_key", F.lit(""))
+    only = lambda c: F.when(F.min(c) == F.max(c), F.min(c))
+    each = same_day.groupBy("description", "transaction_id").agg(only(F.when(F.col("opposite"), named)).alias("sign"), only(named).alias("size"))
+    found = each.groupBy("description").agg(*[f(c).alias(f"{n}_{c}") for c in ("sign", "size") for n, f in (("n", F.count), ("min", F.min), ("max", F.max))])
+    one = lambda c: F.col(f"min_{c}") == F.col(f"max_{c}")
+    either = lambda sign, size, other: F.when(F.col("n_sign") > 0, sign).when(F.col("n_size") > 0, size).otherwise(other)
+    state = lambda c, name: F.when(one(c), f"mapped_{name}_same_day_seed").otherwise(f"conflicting_{name}_same_day_seeds")
+    merchant = either(F.when(one("sign"), F.col("min_sign")), F.when(one("size"), F.col("min_size")), F.lit(None))
+    return found.select("description", either(state("sign", "signed"), state("size", "absolute"), F.lit("ambiguous_without_seed")).alias("status"), F.nullif(merchant, F.lit("")).alias("merchant_key"), either(F.col("n_sign"), F.col("n_size"), F.lit(0)).cast("int").alias("seed_count"))
+
+
+def _on_one_day(edges: DataFrame) -> DataFrame:
+    """A largest matching of purchases to rows of their own day, all of which they could take.
+    Where each purchase in turn takes the first row, and those before it move on, the last one has
+    the first row in the end: with m pairs, the k-th purchase has row m + 1 - k."""
+    block = ["description", "size", "occurred_on"]
+    number = lambda *order: F.row_number().over(Window.partitionBy(*block).orderBy(*order))
+    txns = edges.select(*block, "transaction_id").distinct().withColumn("k", number("transaction_id"))
+    rows = edges.select(*block, "source_stem", "row_index", "row_image").distinct().withColumn("place", number("source_stem", "row_index", "row_image"))
+    sizes = txns.groupBy(*block).agg(F.max("k").alias("txns")).join(rows.groupBy(*block).agg(F.max("place").alias("rows")), block).select(*block, F.least("txns", "rows").alias("m"))
+    rows = rows.join(sizes, block).where("place <= m").withColumn("k", F.col("m") + 1 - F.col("place"))
+    return txns.join(rows, [*block, "k"]).select("description", "transaction_id", "row_image", F.lit(0).alias("day_delta"))
+
+
+def _stretches(batches):
+    """Largest matchings, from choices sorted by description, amount, date and preference. A
+    stretch ends where no row of it can be another purchase's; only one stretch is held."""
+    names = [c.split()[0] for c in _ASSIGNED.split(", ")]
+    types = [pa.string()] * 3 + [pa.int32()]
+    group, last, held, out = None, None, {}, []
+
+    def settle():
+        for txn, row in one_to_one(list(held), {t: [r for r, _ in c] for t, c in held.items()}).items():
+            out.append((group[0], txn, row, dict(held[txn])[row]))
+        held.clear()
+
+    for b in batches:
+        for r in b.to_pylist():
+            key = (r["description"], r["size"])
+            if key != group or r["transaction_id"] not in held and r["first_row"] > last:
+                settle()
+                group, last = key, r["occurred_on"]
+            held.setdefault(r["transaction_id"], []).append((r["row_image"], r["day_delta"]))
+            last = max(last, r["occurred_on"])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+            out.clear()
+    settle()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+
+def _within_window(edges: DataFrame) -> DataFrame:
+    """The same for rows of other days: purchases in turn by date, each with its rows by distance."""
+    first = edges.groupBy("transaction_id").agg(F.min("occurred_on").alias("first_row"))
+    rows = edges.select("description", "size", "transaction_date", "transaction_id", "row_image", "source_stem", "row_index", "occurred_on", "day_delta").join(first, "transaction_id")
+    rows = rows.repartition("description", "size").sortWithinPartitions("description", "size", "transaction_date", "transaction_id", F.abs("day_delta"), "occurred_on", "source_stem", "row_index", "row_image")
+    return rows.select("description", "size", "transaction_id", "row_image", "occurred_on", "day_delta", "first_row").mapInArrow(_stretches, _ASSIGNED)
+
+
+def _assigned(edges: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
+    """Purchases with the rows that they take, in three stages; each leaves less to the next."""
+    own = edges.where("eligible").join(seeds.where("merchant_key is not null").select("description", "merchant_key"), ["description", "merchant_key"], "left_semi")
+    done = None
+    stages = (
+        ("signed_same_day", "day_delta = 0 and opposite", _on_one_day), ("absolute_same_day", "day_delta = 0", _on_one_day), ("absolute_window", f"abs(day_delta) between 1 and {int(window)}", _within_window),
+    )
+    for stage, test, match in stages:
+        some = own.where(test)
+        if done is not None:
+            some = some.join(done.select("transaction_id"), "transaction_id", "left_anti").join(done.select("row_image"), "row_image", "left_anti")
+        found = materialize(match(some).withColumn("stage", F.lit(stage)), stage)
+        done = found if done is None else done.union(found)
+    return done
 
 
 def match_descriptions(bank: DataFrame, app: DataFrame, window: int = S.SECONDARY_WINDOW_DAYS) -> DataFrame:
     """Assignments, leftover candidates and a row for each description, tagged by ``kind``.
 
-    Descriptions that could use one app row are one component; in it, descriptions are
-    replayed in order: by their one seed merchant, purchases take rows one to one, same
-    day and opposite sign first, then same day, then within the window. A row is used once.
+    Descriptions come in order, and by its one seed merchant each one's purchases take rows one to
+    one, same day and opposite sign first, then same day, then within the window. A row is
+    used once. A description waits only for those before it whose purchases could use a row of
+    its own, so they are done in waves: in each, all that wait for none. What a wave does is joins and
+    windows over (description, amount, day); rows of other days are matched in stretches of
+    days of one description and amount.
     """
     span = app.agg(F.min("occurred_on").alias("_from"), F.max("occurred_on").alias("_to"))
-    rows = bank.crossJoin(span).withColumn("covered", F.coalesce(F.col("transaction_date").between(F.col("_from"), F.col("_to")), F.lit(False))).drop("_from", "_to")
-    edges = materialize(candidates(bank, app, window), "candidates")
-    links = edges.select(F.concat(F.lit("d:"), "description").alias("src"), F.concat(F.lit("r:"), "row_image").alias("dst")).distinct()
-    groups = connected_components(links).where("node like 'd:%'").select(F.expr("substr(node, 3)").alias("description"), F.col("root").alias("component"))
-    component = F.coalesce("component", F.concat(F.lit("d:"), "description"))
-    rows = rows.join(groups, "description", "left").withColumn("component", component).select("component", "transaction_id", "transaction_date", "amount", "description", "covered")
-    edges = edges.join(groups, "description").drop("description")
-    names = [c.split()[0] for c in _MATCHED.split(", ")]
-    return rows.groupBy("component").cogroup(edges.groupBy("component")).applyInPandas(lambda t, e: pd.DataFrame(_replay(t, e, window), columns=names), _MATCHED)
+    covered = F.coalesce(F.col("transaction_date").between(F.col("_from"), F.col("_to")), F.lit(False))
+    rows = bank.crossJoin(span).withColumn("covered", covered).select("transaction_id", "transaction_date", "amount", "description", "covered")
+    facts = rows.groupBy("description").agg(F.count_if("covered").alias("covered"), F.count_if(F.col("covered") & (F.col("amount") > 0)).alias("evidence"))
+    order = processing_order(bank).select("description", F.col("processing_order").alias("ord"))
+    edges = candidates(bank, app, window).crossJoin(span).withColumn("eligible", covered).drop("_from", "_to").join(order, "description")
+    edges = materialize(edges, "candidates")
+    groups, assignments, leftover = [], [], []
+    while not edges.isEmpty():
+        first = edges.where("eligible").groupBy("row_image").agg(F.min("ord").alias("first"))
+        waiting = materialize(edges.join(first, "row_image").where("first < ord").select("description").distinct(), "waiting")
+        wave = edges.join(waiting, "description", "left_anti")
+        seeds = materialize(_seeds(wave), "seeds")
+        done = _assigned(wave, seeds, window)
+        free = wave.join(done.select("row_image"), "row_image", "left_anti").join(done.select("transaction_id"), "transaction_id", "left_anti").join(seeds.select("description", "status", F.col("merchant_key").alias("merchant")), "description", "left")
+        free = free.where("day_delta = 0 or merchant_key = merchant")
+        leftover.append(materialize(free.select("description", "transaction_id", "row_image", "day_delta"), "leftover"))
+        groups.append(seeds)
+        assignments.append(done)
+        rest = edges.join(waiting, "description", "left_semi").join(done.select("row_image"), "row_image", "left_anti")
+        last, edges = edges, materialize(rest, "candidates")
+        discard(last, waiting)
+    together = lambda parts, empty: reduce(DataFrame.union, parts) if parts else bank.sparkSession.createDataFrame([], empty)
+    seeds = together(groups, "description string, status string, merchant_key string, seed_count int")
+    otherwise = F.when(F.col("evidence") > 0, "no_same_day_candidate").when(F.col("covered") > 0, "no_eligible_purchase_evidence").otherwise("ocr_not_covered")
+    group = facts.join(seeds, "description", "left").select("description", F.coalesce("status", otherwise).alias("status"), "merchant_key", F.coalesce("seed_count", F.lit(0)).alias("seed_count"))
+    group = materialize(group, "groups")
+    none = lambda t: F.lit(None).cast(t)
+    own = group.select("description", "status", "merchant_key")
+    out = group.select(F.lit("group").alias("kind"), "description", none("string").alias("transaction_id"), none("string").alias("row_image"), none("string").alias("stage"), none("int").alias("day_delta"), "status", "merchant_key", "seed_count")
+    taken = together(assignments, _ASSIGNED + ", stage string").withColumns({"kind": F.lit("assignment"), "seed_count": none("int")}).join(own, "description")
+    left = together(leftover, _ASSIGNED).withColumns({"kind": F.lit("candidate"), "stage": none("string"), "seed_count": none("int")}).join(own, "description")
+    return out.union(taken.select(*_MATCHED)).union(left.select(*_MATCHED))
 
 
 def confidence(stage: str | Column = "stage") -> Column:

@@ -25,73 +25,96 @@ OUTCOME = f"kind string, transaction_id string, amount {MONEY}, remaining {MONEY
 
 
 class Ledger:
-    """Open balances of one component. Balances of an amount are kept in heaps, latest
-    first; an entry that no longer holds is dropped when it comes up."""
+    """Open balances of one component; one that is used up is given out and forgotten.
 
-    def __init__(self):
-        self.balances: list[list] = []  # id, original, remaining, day
+    Balances of an amount are kept in heaps, latest first, those of a description in a stack.
+    Entries of what was used or changed since are passed over when they come up, and swept
+    when there are more of them than of open balances."""
+
+    def __init__(self, out: list[tuple]):
+        self.out, self.count, self.stale = out, 0, 0
+        self.balances: dict[int, list] = {}  # number -> id, original, remaining, day, key, merchant
+        self._index()
+
+    def _index(self):
         self.open: dict[str, list[int]] = defaultdict(list)
         self.same_key: dict[tuple, list[int]] = defaultdict(list)
         self.same_merchant: dict[tuple, list[int]] = defaultdict(list)
-        self.merchant: list[str | None] = []
+        self.stale = 0
+        for i in self.balances:  # in the order of purchase
+            self.open[self.balances[i][4]].append(i)
+            self._offer(i)
 
-    def _offer(self, i: int, key: str):
-        left = self.balances[i][2]
+    def _offer(self, i: int):
+        _, _, left, _, key, merchant = self.balances[i]
         heappush(self.same_key[key, left], -i)
-        if self.merchant[i] is not None:
-            heappush(self.same_merchant[self.merchant[i], left], -i)
+        if merchant is not None:
+            heappush(self.same_merchant[merchant, left], -i)
+
+    def _close(self, i: int):
+        txn, amount, *_ = self.balances.pop(i)
+        self.out.append(("balance", txn, amount, Decimal(0), None, amount))
+        self.stale += 3
+        if self.stale > 1_000 + 3 * len(self.balances):
+            self._index()
 
     def buy(self, txn: str, key: str, merchant: str | None, amount: Decimal, day) -> None:
-        i = len(self.balances)
-        self.balances.append([txn, amount, amount, day])
-        self.merchant.append(merchant)
+        i = self.count
+        self.count += 1
+        self.balances[i] = [txn, amount, amount, day, key, merchant]
         self.open[key].append(i)
-        self._offer(i, key)
+        self._offer(i)
 
     def _latest(self, heap: list[int], amount: Decimal) -> int | None:
-        while heap and self.balances[-heap[0]][2] != amount:
+        while heap and ((b := self.balances.get(-heap[0])) is None or b[2] != amount):
             heappop(heap)
         return -heap[0] if heap else None
 
     def refund(self, key: str, merchant: str | None, amount: Decimal, day) -> tuple[str, Decimal]:
         i = self._latest(self.same_key.get((key, amount), []), amount)
         if i is not None:
-            self.balances[i][2] = Decimal(0)
+            self._close(i)
             return "exact", amount
         if merchant is not None:
             i = self._latest(self.same_merchant.get((merchant, amount), []), amount)
             if i is not None and (day - self.balances[i][3]).days <= REFUND_LOOKBACK_DAYS:
-                self.balances[i][2] = Decimal(0)
+                self._close(i)
                 return "merchant", amount
-        left, stack = amount, self.open.get(key, [])
-        while stack and left > 0:
-            b = self.balances[stack[-1]]
+        left = amount
+        while left > 0 and self.open.get(key):
+            i = self.open[key][-1]
+            b = self.balances.get(i)
+            if b is None:
+                self.open[key].pop()
+                continue
+            part = min(b[2], left)
+            b[2] -= part
+            left -= part
             if b[2] > 0:
-                part = min(b[2], left)
-                b[2] -= part
-                left -= part
-            if b[2] <= 0:
-                stack.pop()
+                self._offer(i)
+                self.stale += 2
             else:
-                self._offer(stack[-1], key)
+                self.open[key].pop()
+                self._close(i)
         return ("partial" if left < amount else "none"), amount - left
 
+    def finish(self):
+        """What is open at the end."""
+        self.out += [("balance", txn, amount, left, None, amount - left) for txn, amount, left, *_ in self.balances.values()]
+        self.balances = {}
 
-def _fold(frames):
-    """Rows come sorted by component, date and order; a component may span frames, and
-    only its balances are held."""
-    now, ledger = None, Ledger()
-
-    def balances():
-        return [("balance", b[0], b[1], b[2], None, b[1] - b[2]) for b in ledger.balances]
 
+def _fold(frames):
+    """Rows come sorted by component, date and order; a component may span frames. Only
+    its open balances are held."""
+    now, ledger, out = None, None, []
     names = [c.split()[0] for c in OUTCOME.split(", ")]
     for frame in frames:
-        out = []
         for component, txn, day, amount, key, merchant in frame.itertuples(index=False, name=None):
             if component != now:
-                out += balances()
-                now, ledger = component, Ledger()
+                if ledger is not None:
+                    ledger.finish()
+                now, ledger = component, Ledger(out)
             merchant = None if merchant is None or merchant != merchant else merchant
             if amount > 0:
                 ledger.buy(txn, key, merchant, amount, day)
@@ -99,7 +122,10 @@ def _fold(frames):
                 rule, matched = ledger.refund(key, merchant, -amount, day)
                 out.append(("refund", txn, -amount, -amount - matched, rule, matched))
         yield pd.DataFrame(out, columns=names)
-    yield pd.DataFrame(balances(), columns=names)
+        out.clear()
+    if ledger is not None:
+        ledger.finish()
+    yield pd.DataFrame(out, columns=names)
 
 
 def _keyed(transactions: DataFrame, enrichments: DataFrame) -> DataFrame:
@@ -114,11 +140,11 @@ def refund_components(rows: DataFrame) -> DataFrame:
     Refunds and purchases of a merchant meet at points (merchant, 31 days of purchase):
     a refund looks at its own and the period before. So there is an edge for each key and
     point, never one for each pair of keys. A component may be larger than it must be,
-    which changes no result. Points without a refund, or without a purchase, join nothing."""
+    which changes no result. Points without a refund, a purchase, or a second key join nothing."""
     period = F.expr(f"cast(floor(datediff(transaction_date, date'1970-01-01') / {REFUND_LOOKBACK_DAYS + 1}) as int)")
     known = rows.where("merchant_name is not null").select("key", "merchant_name", period.alias("period"), (F.col("amount") < 0).alias("refund"))
     points = known.select("key", "merchant_name", "refund", F.explode(F.when(F.col("refund"), F.array(F.col("period"), F.col("period") - 1)).otherwise(F.array("period"))).alias("period")).distinct()
-    meet = points.groupBy("merchant_name", "period").agg(F.bool_or("refund").alias("r"), F.bool_or(~F.col("refund")).alias("p")).where("r and p")
+    meet = points.groupBy("merchant_name", "period").agg(F.bool_or("refund").alias("r"), F.bool_or(~F.col("refund")).alias("p"), (F.min("key") != F.max("key")).alias("several")).where("r and p and several")
     edges = points.join(meet, ["merchant_name", "period"]).select(F.concat(F.lit("k:"), F.col("key")).alias("src"), F.concat_ws("\0", F.lit("p:"), "merchant_name", F.col("period").cast("string")).alias("dst"))
     found = connected_components(edges)
     return found.where("node like 'k:%'").select(F.expr("substr(node, 3)").alias("key"), F.col("root").alias("component"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from purseflow import schemas as S
 from purseflow.functions.dates import month_key
 from purseflow.functions.money import minor_units
+from purseflow.operators import changes as manual
 from purseflow.operators import enrichment, identity, projections, refunds
 from purseflow.operators.checks import pending_records, reconciled_evidence
+from purseflow.operators.ranking import positions
+from purseflow.sources.files import manual_records
 from purseflow.storage import materialize
 
 
@@ -31,6 +35,25 @@ def full_rebuild(records: DataFrame, links: DataFrame, description_map: DataFram
     }
 
 
+def change_manual_inputs(others: DataFrame, evidence: DataFrame, changes: DataFrame, links: DataFrame, policy: DataFrame, decisions: DataFrame, description_map: DataFrame, enrichments: DataFrame, generation: int = 1) -> dict[str, DataFrame]:
+    """A table of mixed changes of manual entries in one run: the entries after it, links,
+    kept decisions, and for each change its transaction and outcome. ``others`` are the records of other
+    sources. Corrected entries are decided on anew; created ones, and those deleted and
+    created again, as new ones."""
+    mine = manual_records(evidence.withColumn("line_no", F.lit(0).cast("long"))).select("source_record_id", F.col("evidence_identity").alias("id"))
+    linked = mine.join(links.select("source_record_id"), "source_record_id", "left_semi").select("id")
+    after, judged = manual.apply_manual_changes(evidence, changes, linked)
+    after, judged = materialize(after, "evidence"), materialize(judged, "changes")
+    lines = positions(after, "id", name="line_no")  # an order of the entries that doesn't depend on how the table is stored
+    columns = [c.split()[0] for c in S.SOURCE_RECORDS.split(", ")]
+    records = materialize(others.select(*columns).unionByName(manual_records(lines).select(*columns)), "records")
+    kept = links.join(manual.renewed_records(judged, links), "source_record_id", "left_anti")
+    hints, transaction_hints = identity.merchant_hints(records, description_map, enrichments)
+    result, decided, counts = identity.sync(records, kept, policy, decisions, hints, transaction_hints, manual.corrected_records(judged, kept), generation)
+    outcome = manual.manual_outcome(judged, links, identity.links_of(result), identity.decisions_of(result))
+    return {"evidence": after, "records": records, "links": identity.links_of(result), "conflicts": identity.conflicts_of(result), "decisions": decided, "counts": counts, "outcome": outcome}
+
+
 def diagnose(transactions: DataFrame, enrichments: DataFrame, links: DataFrame, records: DataFrame) -> DataFrame:
     """One row of counts."""
     t = transactions.agg(F.count("*").alias("transactions"), F.count_if(F.col("transaction_type") == "expense").alias("expenses"), F.count_if(F.col("transaction_type") == "income").alias("incomes"), minor_units(F.sum("amount")).alias("amount_minor"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from purseflow.plans import check_queries, ledger_queries, matching_queries, source_queries, view_queries
+from purseflow.plans import check_queries, identity_queries, ledger_queries, matching_queries, source_queries, view_queries
 
-_MODULES = (ledger_queries, view_queries, matching_queries, check_queries, source_queries)
+_MODULES = (ledger_queries, view_queries, matching_queries, check_queries, source_queries, identity_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}

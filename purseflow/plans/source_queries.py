@@ -187,20 +187,6 @@ def _some(spark, sf_dir):
     return r, identity.own_links(r)
 
 
-@query(sql("transactions", then="""SELECT t.transaction_id FROM transactions t WHERE record_locator IN (SELECT record_locator FROM transactions WHERE txn_ord % 7 <> 0)"""))
-def links_of_present_records(spark, sf_dir):
-    """Links whose record is still there, as a run over all evidence keeps them."""
-    r, links = _some(spark, sf_dir)
-    return links.join(r.where("record_ord % 7 <> 0").select("source_record_id"), "source_record_id", "left_semi").select("transaction_id")
-
-
-@query(sql("decisions", then="SELECT transaction_id, note FROM decisions WHERE transaction_id IN (SELECT transaction_id FROM transactions WHERE txn_ord % 7 <> 0)"))
-def decisions_kept(spark, sf_dir):
-    r, links = _some(spark, sf_dir)
-    left = links.join(r.where("record_ord % 7 <> 0").select("source_record_id"), "source_record_id", "left_semi")
-    return A.decisions(spark, sf_dir).join(left.select("transaction_id").distinct(), "transaction_id", "left_semi").select("transaction_id", "note")
-
-
 @query("SELECT d % 2 = 1 AS changed FROM (VALUES (0), (1)) v(d)")
 def decisions_changed(spark, sf_dir):
     """The decisions against themselves in another order, and against a table with one note more."""

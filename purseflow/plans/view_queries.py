@@ -325,14 +325,6 @@ def ambiguous_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir).groupBy("source_record_id").agg(F.count("*").alias("candidates")).where("candidates > 1")
 
 
-@query()
-def reconcile_decisions(spark, sf_dir):
-    """Reconciliation of a ledger where a tenth of the records have no link yet."""
-    r = A.records(spark, sf_dir)
-    links = identity.own_links(r.where("record_ord % 11 <> 0"))
-    return identity.decisions_of(identity.reconcile(r, links, identity.policies(spark)))
-
-
 @query(sql("records", then="""SELECT source_record_id, 'txn_' || substr(sha256('transaction' || chr(0) || source_record_id), 1, 24) AS transaction_id, 'txn_' || substr(sha256('transaction-reconsideration' || chr(0) || source_record_id || chr(0) || 'txn_old'), 1, 24) AS split_id FROM records"""))
 def sha_ids(spark, sf_dir):
     return A.records(spark, sf_dir).select("source_record_id", ids.transaction_id().alias("transaction_id"), ids.split_transaction_id(F.col("source_record_id"), F.lit("txn_old")).alias("split_id"))
