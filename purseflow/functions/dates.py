@@ -51,6 +51,17 @@ def nearest_date(month: Column, day: Column, near: Column) -> Column:
     return F.array_min(ranked)["day"]
 
 
+def stem_month(stem: Column | str) -> Column:
+    """The first day of the month that a sheet's name begins with (``2026-02`` or ``2026-02_...``), or null."""
+    return F.try_to_date(F.concat(F.regexp_extract(_col(stem), r"^(\d{4}-\d{2})(?:_|$)", 1), F.lit("-01")), "yyyy-MM-dd")
+
+
+def sheet_date(stem: Column | str, month: Column, day: Column) -> Column:
+    """A row's full date from its month and day and its sheet's own month: of the years around it, the date
+    nearest to the month's first day; a tie goes to the earlier. Null without a month in the name, or for a day that no such year has."""
+    return nearest_date(month, day, stem_month(stem))
+
+
 def nearest_day_delta(month: Column, day: Column, near: Column) -> Column:
     """Days from ``near`` to the nearest date with this month and day, signed."""
     return F.datediff(nearest_date(month, day, near), near)

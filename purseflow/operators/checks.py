@@ -120,11 +120,15 @@ def month_sums(stats: DataFrame) -> DataFrame:
     return violations(sums.where(bad), "V15", "month", "parts don't make the total")
 
 
-def financial_totals(summary: DataFrame, transactions: DataFrame, net: DataFrame) -> DataFrame:
-    """The all-data summary against sums of the raw rows."""
-    raw = transactions.where("transaction_type = 'income'").agg(F.coalesce(F.sum(F.col("amount") * 100), F.lit(0)).cast("long").alias("i")).crossJoin(net.agg(F.coalesce(F.sum(F.col("spending") * 100), F.lit(0)).cast("long").alias("s")))
-    rows = summary.where("scope = 'all_data'").crossJoin(raw)
-    return violations(rows.where("income_minor <> i or spending_minor <> s or net_minor <> i - s"), "V16", "scope", "summary differs from raw sums")
+def financial_totals(summary: DataFrame, transactions: DataFrame, net: DataFrame, by: str | None = None) -> DataFrame:
+    """The all-data summary against sums of the raw rows; with ``by``, a column of all three, one summary for each of its values."""
+    keys = [] if by is None else [by]
+    sums = lambda rows, c, name: rows.groupBy(*keys).agg(F.coalesce(F.sum(F.col(c) * 100), F.lit(0)).cast("long").alias(name))
+    income, spent = sums(transactions.where("transaction_type = 'income'"), "amount", "i"), sums(net, "spending", "s")
+    raw = income.crossJoin(spent) if by is None else income.join(spent, by, "full_outer")
+    rows = summary.where("scope = 'all_data'")
+    rows = (rows.crossJoin(raw) if by is None else rows.join(raw, by, "full_outer")).na.fill(0, ["i", "s", "income_minor", "spending_minor", "net_minor"])
+    return violations(rows.where("income_minor <> i or spending_minor <> s or net_minor <> i - s"), "V16", by or "scope", "summary differs from raw sums")
 
 
 def verify_payload(stats: DataFrame, months: DataFrame, coverage: DataFrame) -> DataFrame:

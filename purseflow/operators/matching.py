@@ -323,6 +323,14 @@ def review_table(status: DataFrame) -> DataFrame:
     return status.groupBy("description").agg(items.alias("transactions")).join(reasons, "description", "left")
 
 
+def order_outliers(rows: DataFrame, value: str = "value", stem: str = "source_stem", index: str = "row_index") -> DataFrame:
+    """Rows that don't lie between their neighbours, where these fall."""
+    by = Window.partitionBy(stem).orderBy(index)
+    v, before, after = F.col(value), F.lag(value).over(by), F.lead(value).over(by)
+    out = F.coalesce((before >= after) & ~((before >= v) & (v >= after)), F.lit(False))
+    return rows.withColumn("_out", out).where("_out").drop("_out")
+
+
 def order_violations(rows: DataFrame, value: str = "value", stem: str = "source_stem", index: str = "row_index") -> DataFrame:
     """Rows out of their falling order in a sheet: first a row that doesn't lie between falling
     neighbours; then rising pairs of which neither is flagged yet. In a run of rising pairs, each
@@ -354,11 +362,12 @@ def token_amounts(tokens: DataFrame) -> DataFrame:
 
 
 def token_times(tokens: DataFrame) -> DataFrame:
-    """(row_image, occurred_at, occurred_on, precision, corrected): the joined text if it
-    reads as a time, else a date token with a time token that repeats the date's last digit
-    and overlaps it."""
+    """(row_image, occurred_at, occurred_on, precision, corrected) of the tokens of time fields: the joined
+    text if the whole of it reads as a date or a date and time, else a date token with a time token that
+    repeats the date's last digit and overlaps it."""
     joined = tokens.groupBy("row_image").agg(join_tokens(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])).alias("text"))
-    read = joined.select("row_image", app_time("text").alias("t"))
+    whole = F.col("text").rlike(r"^\s*\d{1,2}[-月/.]\d{1,2}日?(\s*\d{1,2}[:：]\d{2})?\s*$") & ~F.col("text").rlike(r"[-月/.]\d{3,}[:：]")
+    read = joined.select("row_image", F.when(whole, app_time("text")).alias("t"))
     plain = read.where("t is not null").select("row_image", F.col("t.at").alias("occurred_at"), F.col("t.day").alias("occurred_on"), F.col("t.precision").alias("precision"), F.lit(False).alias("corrected"))
     rest = tokens.join(read.where("t is null").select("row_image"), "row_image", "left_semi")
     compact = F.regexp_replace("text", r"\s+", "")
@@ -379,7 +388,7 @@ def row_issues(rows: DataFrame) -> DataFrame:
     return rows.withColumn("issues", tags)
 
 
-def parse_app_tokens(merchant: DataFrame, tokens: DataFrame) -> DataFrame:
-    """App rows from tokens: amount, time and issue tags; ``merchant`` is row_image, merchant_text, merchant_score."""
-    rows = merchant.join(token_amounts(tokens).select("row_image", "amount"), "row_image", "left").join(token_times(tokens), "row_image", "left")
+def parse_app_tokens(merchant: DataFrame, amounts: DataFrame, times: DataFrame) -> DataFrame:
+    """App rows from the tokens of their amount and time fields: amount, time and issue tags; ``merchant`` is row_image, merchant_text, merchant_score."""
+    rows = merchant.join(token_amounts(amounts).select("row_image", "amount"), "row_image", "left").join(token_times(times), "row_image", "left")
     return row_issues(rows)

@@ -63,11 +63,11 @@ def financial_months(income: DataFrame, spending: DataFrame, coverage: DataFrame
     )
 
 
-def financial_summary(months: DataFrame) -> DataFrame:
-    """Two rows, over all and over shown months."""
+def financial_summary(months: DataFrame, *by: str) -> DataFrame:
+    """Two rows, over all and over shown months; with ``by``, two for each of its values."""
     both = months.withColumn("scope", F.explode(F.when(F.col("show"), F.array(F.lit("all_data"), F.lit("shown_data"))).otherwise(F.array(F.lit("all_data")))))
     sums = [F.sum(c).alias(c) for c in ("income_minor", "spending_minor", "net_minor", "income_count", "spending_count")]
-    return both.groupBy("scope").agg(*sums, F.count("*").alias("month_count"))
+    return both.groupBy("scope", *by).agg(*sums, F.count("*").alias("month_count"))
 
 
 def spending_summary(outcome_summary: DataFrame, facts: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -76,8 +76,8 @@ def spending_summary(outcome_summary: DataFrame, facts: DataFrame, coverage: Dat
     return outcome_summary.crossJoin(unclassified).crossJoin(coverage.agg(F.count_if("show").alias("shown_months")))
 
 
-def spending_json(stats: DataFrame, coverage: DataFrame) -> DataFrame:
-    """One JSON object for each month, of schema version 2, with its categories and merchants in order."""
+def _spending_months(stats: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Each month with its categories and merchants in order."""
     order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x["v"])
     category = F.struct("category", "spending_minor", "transaction_count").alias("v")
     merchant = F.struct("merchant_name", "display_name", "is_unclassified", "spending_minor", "transaction_count").alias("v")
@@ -85,11 +85,51 @@ def spending_json(stats: DataFrame, coverage: DataFrame) -> DataFrame:
     merchants = stats.where("grain = 'merchant'").groupBy("month").agg(order(merchant).alias("merchants"))
     months = stats.where("grain = 'month'").select("month", F.col("spending_minor").alias("total_spending_minor"), "transaction_count")
     rows = months.join(coverage, "month").join(categories, "month").join(merchants, "month")
-    body = F.to_json(F.struct(F.lit(2).alias("schema_version"), "month", "is_complete", "show", "total_spending_minor", "transaction_count", "categories", "merchants"), {"ignoreNullFields": "false"})
-    return rows.select("month", body.alias("json"))
+    return rows.select("month", "is_complete", "show", "total_spending_minor", "transaction_count", "categories", "merchants")
+
+
+def spending_json(stats: DataFrame, coverage: DataFrame) -> DataFrame:
+    """One JSON object for each month, of schema version 2, with its categories and merchants in order."""
+    rows = _spending_months(stats, coverage)
+    return rows.select("month", F.to_json(F.struct(F.lit(2).alias("schema_version"), *rows.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def _scopes(months: DataFrame, *columns: str):
+    """One row: all_data and shown_data, each with sums of the columns and the number of months."""
+    part = lambda test: F.struct(*[F.coalesce(F.sum(F.when(test, F.col(c))), F.lit(0)).cast("long").alias(c) for c in columns], F.count_if(test).alias("month_count"))
+    return months.agg(F.struct(part(F.lit(True)).alias("all_data"), part(F.col("show")).alias("shown_data")).alias("summary"))
+
+
+def spending_scopes(stats: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(scope, total_spending_minor, transaction_count, month_count) over all and over shown months."""
+    months = stats.where("grain = 'month'").select("month", F.col("spending_minor").alias("total_spending_minor"), "transaction_count").join(coverage, "month")
+    both = _scopes(months, "total_spending_minor", "transaction_count")
+    return both.select(F.explode(F.array(*[F.struct(F.lit(s).alias("scope"), f"summary.{s}.*") for s in ("all_data", "shown_data")])).alias("s")).select("s.*")
+
+
+def _document(version: int, summary: DataFrame, months: DataFrame) -> DataFrame:
+    """One row, the whole as one JSON document: months are as many as the calendar has, but what is in them is
+    all there at once, so a large ledger is better published by month."""
+    rows = months.agg(F.transform(F.array_sort(F.collect_list(F.struct("month", F.struct(*months.columns).alias("v")))), lambda x: x["v"]).alias("months"))
+    return summary.crossJoin(rows).select(F.to_json(F.struct(F.lit(version).alias("schema_version"), "summary", "months"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def spending_document(stats: DataFrame, coverage: DataFrame) -> DataFrame:
+    """The spending payload of schema version 2 with the summaries of all and of shown months."""
+    months = _spending_months(stats, coverage)
+    return _document(2, _scopes(months, "total_spending_minor", "transaction_count"), months)
+
+
+def financial_document(months: DataFrame) -> DataFrame:
+    """The financial payload of schema version 1 with both summaries."""
+    rows = months.withColumnsRenamed(_FINANCIAL_NAMES)
+    columns = ["total_income_minor", "total_spending_minor", "net_cash_flow_minor", "income_transaction_count", "spending_transaction_count"]
+    return _document(1, _scopes(rows, *columns), rows)
+
+
+_FINANCIAL_NAMES = {"income_minor": "total_income_minor", "income_count": "income_transaction_count", "spending_minor": "total_spending_minor", "spending_count": "spending_transaction_count", "net_minor": "net_cash_flow_minor"}
 
 
 def financial_json(months: DataFrame) -> DataFrame:
-    names = {"income_minor": "total_income_minor", "income_count": "income_transaction_count", "spending_minor": "total_spending_minor", "spending_count": "spending_transaction_count", "net_minor": "net_cash_flow_minor"}
-    rows = months.withColumnsRenamed(names)
+    rows = months.withColumnsRenamed(_FINANCIAL_NAMES)
     return rows.select("month", F.to_json(F.struct(F.lit(1).alias("schema_version"), *rows.columns), {"ignoreNullFields": "false"}).alias("json"))

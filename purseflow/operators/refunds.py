@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from purseflow.operators.components import connected_components
 from purseflow.schemas import MONEY, REFUND_LOOKBACK_DAYS
+from purseflow.storage import discard, materialize
 
 OUTCOME = f"kind string, transaction_id string, amount {MONEY}, remaining {MONEY}, rule string, matched {MONEY}"
 
@@ -128,32 +129,52 @@ def _fold(frames):
     yield pd.DataFrame(out, columns=names)
 
 
-def _keyed(transactions: DataFrame, enrichments: DataFrame) -> DataFrame:
+def keyed(transactions: DataFrame, enrichments: DataFrame) -> DataFrame:
     key = F.coalesce("description", F.concat(F.lit("source:"), F.col("source_record_id")))
     rows = transactions.where("transaction_type = 'expense' and amount <> 0").select("transaction_id", "transaction_date", "txn_ord", "amount", key.alias("key"))
     return rows.join(enrichments.select("transaction_id", "merchant_name"), "transaction_id")
 
 
-def refund_components(rows: DataFrame) -> DataFrame:
-    """(node, root) of the keys that a refund could join over a merchant.
+def meeting_points(rows: DataFrame) -> DataFrame:
+    """(key, merchant_name, period) where a refund of one key could meet a purchase of another.
 
     Refunds and purchases of a merchant meet at points (merchant, 31 days of purchase):
-    a refund looks at its own and the period before. So there is an edge for each key and
-    point, never one for each pair of keys. A component may be larger than it must be,
-    which changes no result. Points without a refund, a purchase, or a second key join nothing."""
+    a refund looks at its own and the period before. So there is a row for each key and
+    point, never one for each pair of keys. Points without a refund, a purchase, or a second key join nothing."""
     period = F.expr(f"cast(floor(datediff(transaction_date, date'1970-01-01') / {REFUND_LOOKBACK_DAYS + 1}) as int)")
     known = rows.where("merchant_name is not null").select("key", "merchant_name", period.alias("period"), (F.col("amount") < 0).alias("refund"))
     points = known.select("key", "merchant_name", "refund", F.explode(F.when(F.col("refund"), F.array(F.col("period"), F.col("period") - 1)).otherwise(F.array("period"))).alias("period")).distinct()
     meet = points.groupBy("merchant_name", "period").agg(F.bool_or("refund").alias("r"), F.bool_or(~F.col("refund")).alias("p"), (F.min("key") != F.max("key")).alias("several")).where("r and p and several")
-    edges = points.join(meet, ["merchant_name", "period"]).select(F.concat(F.lit("k:"), F.col("key")).alias("src"), F.concat_ws("\0", F.lit("p:"), "merchant_name", F.col("period").cast("string")).alias("dst"))
+    return points.join(meet.select("merchant_name", "period"), ["merchant_name", "period"]).select("key", "merchant_name", "period").distinct()
+
+
+def refund_components(rows: DataFrame) -> DataFrame:
+    """(key, component) of the keys that a refund could join over a merchant. A component may be
+    larger than it must be, which changes no result."""
+    edges = meeting_points(rows).select(F.concat(F.lit("k:"), F.col("key")).alias("src"), F.concat_ws("\0", F.lit("p:"), "merchant_name", F.col("period").cast("string")).alias("dst"))
     found = connected_components(edges)
     return found.where("node like 'k:%'").select(F.expr("substr(node, 3)").alias("key"), F.col("root").alias("component"))
 
 
+def reached_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key): the given keys and all that refunds could join with them, from one to the next. Each
+    step reads the points of the newest keys only; few keys stay few."""
+    points = materialize(meeting_points(rows), "points")
+    known = newest = materialize(keys.select("key").distinct(), "keys")
+    while True:
+        met = points.join(newest, "key", "left_semi").select("merchant_name", "period").distinct()
+        step = points.join(met, ["merchant_name", "period"], "left_semi").select("key").distinct().join(known, "key", "left_anti")
+        newest = materialize(step, "keys")
+        if newest.isEmpty():
+            discard(points)
+            return known
+        known = known.union(newest)
+
+
 def net_refunds(transactions: DataFrame, enrichments: DataFrame) -> DataFrame:
     """Balances and refund outcomes, tagged by ``kind``: a row for each purchase with what
     remains, a row for each refund with its rule (exact, merchant, partial, none)."""
-    rows = _keyed(transactions, enrichments)
+    rows = keyed(transactions, enrichments)
     rows = rows.join(refund_components(rows), "key", "left").withColumn("component", F.coalesce("component", F.concat(F.lit("k:"), F.col("key"))))
     touched = rows.where("amount < 0").select("component").distinct()
     plain = rows.join(touched, "component", "left_anti").select(F.lit("balance").alias("kind"), "transaction_id", "amount", F.col("amount").alias("remaining"), F.lit(None).cast("string").alias("rule"), F.lit(0).cast(MONEY).alias("matched"))

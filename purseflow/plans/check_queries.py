@@ -11,9 +11,10 @@ from purseflow.functions import dates, ids, money, text
 from purseflow.operators import checks, projections
 from purseflow.plans import adapters as A
 from purseflow.plans.adapters import sql
-from purseflow.plans.ledger_queries import enriched
+from purseflow.plans.ledger_queries import enriched, whole
 from purseflow.plans.view_queries import _RULES, _execution, _rules
 from purseflow.sources import files
+from purseflow.storage import materialize
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -137,53 +138,62 @@ def check_two_decimals(spark, sf_dir):
     return _keys(checks.two_decimals(_faulty(A.transactions(spark, sf_dir), "txn_ord")))
 
 
-def _gross(spark, sf_dir):
-    """Purchases before refunds, as if net: (net, transactions, statistics)."""
-    t, e = enriched(spark, sf_dir)
-    net = t.where("transaction_type = 'expense' and amount > 0").select("transaction_id", F.col("amount").alias("spending"))
-    return net, t, projections.spending_statistics(projections.spending_facts(net, t, e))
-
-
-_GROSS = """gross AS (SELECT strftime(transaction_date, '%Y-%m') AS month, category, amount FROM transactions JOIN enrichments USING (transaction_id) WHERE transactions.transaction_type = 'expense' AND amount > 0)"""
+def net_ledger(spark, sf_dir):
+    """The whole ledger net of refunds: (net, transactions, statistics)."""
+    net, t, e = whole(spark, sf_dir)
+    return net, t, materialize(projections.spending_statistics(projections.spending_facts(net, t, e)), "stats")
 
 
-def _gross_sql(then: str) -> str:
-    return sql("enrichments", then="").rstrip() + ",\n" + _GROSS + "\n" + then
+def net_sql(then: str) -> str:
+    return sql("statement_dates", "net", then=then)
 
 
-@query(_gross_sql("SELECT DISTINCT 'V15' AS check_id, month AS key FROM gross WHERE category = '交通'"))
+@query(net_sql("SELECT DISTINCT 'V15' AS check_id, month AS key FROM net WHERE category = '交通'"))
 def check_month_sums(spark, sf_dir):
-    stats = _gross(spark, sf_dir)[2]
+    stats = net_ledger(spark, sf_dir)[2]
     wrong = F.when((F.col("grain") == "category") & (F.col("category") == "交通"), F.col("spending_minor") + 1).otherwise(F.col("spending_minor"))
     return _keys(checks.month_sums(stats.withColumn("spending_minor", wrong)))
 
 
-@query(_gross_sql("SELECT strftime(transaction_date, '%Y') AS year, CAST(sum(amount) * 100 AS BIGINT) + 1 AS stated_minor FROM transactions WHERE transaction_type = 'income' GROUP BY 1"))
+@query(net_sql("SELECT strftime(transaction_date, '%Y') AS year, CAST(sum(amount) * 100 AS BIGINT) + 1 AS stated_minor FROM transactions WHERE transaction_type = 'income' GROUP BY 1"))
 def check_financial_totals(spark, sf_dir):
     """The summary of each year against that year's rows: stated one too much, each is found; stated right, none is."""
-    net, t, _ = _gross(spark, sf_dir)
-    years = [r.y for r in t.select(F.year("transaction_date").alias("y")).distinct().orderBy("y").collect()]
-    found = []
-    for y in years:
-        own = t.where(F.year("transaction_date") == y)
-        mine = net.join(own.select("transaction_id"), "transaction_id", "left_semi")
-        spending = mine.join(own, "transaction_id").groupBy(dates.month_key("transaction_date").alias("month")).agg(money.minor_units(F.sum("spending")).alias("spending_minor"), F.count("*").alias("spending_count"))
-        coverage = projections.month_coverage(own.select(dates.month_key("transaction_date").alias("month")), A.statement_dates(spark, sf_dir))
-        summary = projections.financial_summary(projections.financial_months(projections.income_by_month(own), spending, coverage)).where("scope = 'all_data'")
-        wrong = summary.withColumn("income_minor", F.col("income_minor") + 1)
-        bad = checks.union(checks.financial_totals(summary, own, mine), checks.financial_totals(wrong, own, mine))
-        found.append(bad.crossJoin(wrong.select("income_minor")).select(F.lit(str(y)).alias("year"), F.col("income_minor").alias("stated_minor")))
-    return checks.union(*found)
-
-
-@query(_gross_sql("SELECT DISTINCT month AS key, 'month without coverage' AS detail FROM gross WHERE month LIKE '%-03'"))
+    net, t, stats = net_ledger(spark, sf_dir)
+    spending = stats.where("grain = 'month'").select("month", "spending_minor", F.col("transaction_count").alias("spending_count"))
+    coverage = projections.month_coverage(t.select(dates.month_key("transaction_date").alias("month")), A.statement_dates(spark, sf_dir))
+    months = projections.financial_months(projections.income_by_month(t), spending, coverage).withColumn("year", F.substring("month", 1, 4))
+    summary = projections.financial_summary(months, "year")
+    dated = t.withColumn("year", F.date_format("transaction_date", "yyyy"))
+    mine = net.join(dated.select("transaction_id", "year"), "transaction_id")
+    wrong = summary.withColumn("income_minor", F.col("income_minor") + 1)
+    bad = checks.union(checks.financial_totals(summary, dated, mine, "year"), checks.financial_totals(wrong, dated, mine, "year"))
+    stated = wrong.where("scope = 'all_data'").select(F.col("year").alias("key"), F.col("income_minor").alias("stated_minor"))
+    return bad.join(stated, "key").select(F.col("key").alias("year"), "stated_minor")
+
+
+_M = "(SELECT DISTINCT month FROM net)"
+
+
+@query(net_sql(f"""SELECT month AS key, 'month without coverage' AS detail FROM {_M} WHERE month LIKE '%-03' UNION ALL SELECT month, 'net' FROM (SELECT month FROM net UNION SELECT strftime(transaction_date, '%Y-%m') FROM transactions WHERE transaction_type = 'income') WHERE month LIKE '%-05'
+    UNION ALL SELECT month, 'parts don''t make the total' FROM {_M} WHERE month LIKE '%-07' UNION ALL SELECT month, 'unclassified flag' FROM (SELECT DISTINCT month, merchant_name, display_name FROM net WHERE month LIKE '%-09')
+    UNION ALL SELECT 'none', 'empty month' UNION ALL SELECT month, 'merchant twice' FROM (SELECT DISTINCT month, merchant_name, display_name FROM net WHERE month LIKE '%-11') UNION ALL SELECT month, 'parts don''t make the total' FROM {_M} WHERE month LIKE '%-11'
+    UNION ALL SELECT month, 'repeats' FROM (SELECT month FROM net UNION SELECT strftime(transaction_date, '%Y-%m') FROM transactions) WHERE month LIKE '%-01' UNION ALL SELECT month, 'repeats' FROM (SELECT month FROM net UNION SELECT strftime(transaction_date, '%Y-%m') FROM transactions WHERE transaction_type = 'income') WHERE month LIKE '%-02'"""))
 def check_payload(spark, sf_dir):
-    net, t, stats = _gross(spark, sf_dir)
+    """Published tables with every kind of fault: a month each without coverage, with a wrong net, wrong totals, wrong flags, merchants twice,
+    coverage twice, months twice, and one without anything."""
+    net, t, stats = net_ledger(spark, sf_dir)
     month = dates.month_key("transaction_date").alias("month")
-    spending = net.join(t, "transaction_id").groupBy(month).agg(money.minor_units(F.sum("spending")).alias("spending_minor"), F.count("*").alias("spending_count"))
+    spending = stats.where("grain = 'month'").select("month", "spending_minor", F.col("transaction_count").alias("spending_count"))
     coverage = projections.month_coverage(t.select(month), A.statement_dates(spark, sf_dir))
     months = projections.financial_months(projections.income_by_month(t), spending, coverage)
-    return checks.verify_payload(stats, months, coverage.where("month not like '%-03'")).select("key", "detail")
+    at = lambda no: F.coalesce(F.col("month").like(f"%-{no}"), F.lit(False))
+    empty = spark.createDataFrame([("none", False, False, 0, 0, 0, 0, 0)], months.schema)
+    months = months.withColumn("net_minor", F.when(at("05"), F.col("net_minor") + 1).otherwise(F.col("net_minor"))).union(months.where(at("02"))).union(empty)
+    merchant = F.col("grain") == "merchant"
+    stats = stats.withColumn("transaction_count", F.when((F.col("grain") == "month") & at("07"), F.col("transaction_count") + 1).otherwise(F.col("transaction_count")))
+    stats = stats.withColumn("is_unclassified", F.when(merchant & at("09"), ~F.col("is_unclassified")).otherwise(F.col("is_unclassified"))).union(stats.where(merchant & at("11")))
+    coverage = coverage.where(~at("03")).union(coverage.where(at("01")))
+    return checks.verify_payload(stats, months, coverage).select("key", F.when(F.col("detail").rlike(r"^\d+ rows$"), "repeats").otherwise(F.col("detail")).alias("detail"))
 
 
 @query(f"""WITH {_RULES} SELECT 'V18' AS check_id, id AS key, 'rule' AS detail FROM rules WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 0

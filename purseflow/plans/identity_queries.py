@@ -8,7 +8,8 @@ from purseflow.operators import identity
 from purseflow.operators.enrichment import resolve_enrichment
 from purseflow.plans import adapters as A
 from purseflow.plans import jobs
-from purseflow.plans.adapters import sql
+from purseflow.plans.adapters import as_net, sql
+from purseflow.plans.ledger_queries import cash_sql
 from purseflow.storage import materialize
 
 QUERIES: dict = {}
@@ -232,3 +233,41 @@ def manual_change_links(spark, sf_dir):
 def manual_change_entries(spark, sf_dir):
     """The entries after the changes."""
     return _changed(spark, sf_dir)["evidence"].select("id", F.col("amount").cast("decimal(28,6)").cast("string").alias("amount"), "date", "description")
+
+
+# --- all derived tables, at once and after a change
+
+
+def _ledger(spark, sf_dir, records):
+    return records.drop("o_custkey"), identity.own_links(records), A.description_map(spark, sf_dir), A.merchant_map(spark, sf_dir), A.decisions(spark, sf_dir), A.statement_dates(spark, sf_dir)
+
+
+_CASH = as_net(cash_sql("SELECT month, shown AS spending_data_complete, shown AS \"show\", income_minor, income_count, spending_minor, spending_count, income_minor - spending_minor AS net_minor FROM cash"))
+# statement dates count only from evidence that has records, all linked
+_CASH = _CASH.replace("(SELECT statement_date FROM statement_dates)", "(SELECT statement_date FROM statement_dates WHERE evidence_identity IN (SELECT evidence_identity FROM records))")
+
+
+@query(_CASH)
+def full_rebuild(spark, sf_dir):
+    """All derived tables; the result is the monthly cash flow."""
+    return jobs.full_rebuild(*_ledger(spark, sf_dir, A.records(spark, sf_dir)))["financial"]
+
+
+def _rebuilt(spark, sf_dir):
+    """The ledger without every 997th record is built, then those come, every 499th is corrected by a decision, and only what that touches is built anew."""
+    r = A.records(spark, sf_dir)
+    before = list(_ledger(spark, sf_dir, r.where("record_ord % 997 <> 0")))
+    before[4] = before[4].join(A.transactions(spark, sf_dir).where("txn_ord % 499 = 0").select("transaction_id"), "transaction_id", "left_anti")
+    return jobs.rebuild_touched(jobs.full_rebuild(*before), *_ledger(spark, sf_dir, r))
+
+
+@query(_CASH)
+def rebuild_after_change(spark, sf_dir):
+    """The monthly cash flow after a rebuild of what a change touches: that of a full rebuild."""
+    return _rebuilt(spark, sf_dir)["financial"]
+
+
+@query(as_net(sql("plain", then="""SELECT month, merchant_name, display_name, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, count(*) AS transaction_count, CAST(row_number() OVER (PARTITION BY month ORDER BY sum(amount) DESC, display_name, coalesce(merchant_name, '')) AS INTEGER) AS rank FROM plain GROUP BY 1, 2, 3""")))
+def rebuild_after_change_merchants(spark, sf_dir):
+    """Merchants with their rank in each month after the same rebuild."""
+    return _rebuilt(spark, sf_dir)["spending"].where("grain = 'merchant'").select("month", "merchant_name", "display_name", "spending_minor", "transaction_count", "rank")

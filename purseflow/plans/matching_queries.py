@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from purseflow.functions.dates import sheet_date
 from purseflow.operators import matching, ranking, suggest
 from purseflow.plans import adapters as A
 from purseflow.plans.adapters import sql
@@ -81,20 +82,34 @@ def match_review(spark, sf_dir):
     return matching.review_table(matching.match_status(b, a, m))
 
 
-@query(sql("app_rows", then="""SELECT row_image FROM (SELECT row_image, occurred_on AS v, lag(occurred_on) OVER w AS b, lead(occurred_on) OVER w AS a FROM app_rows WINDOW w AS (PARTITION BY source_stem ORDER BY row_index)) WHERE b >= a AND NOT (b >= v AND v >= a)"""))
-def order_outliers(spark, sf_dir):
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("source_stem").orderBy("row_index")
-    v, b, a = F.col("occurred_on"), F.lag("occurred_on").over(by), F.lead("occurred_on").over(by)
-    return A.app_rows(spark, sf_dir).withColumn("x", (b >= a) & ~((b >= v) & (v >= a))).where("x").select("row_image")
+_ORDERED = """lined AS (SELECT *, row_number() OVER (PARTITION BY source_stem ORDER BY row_index) AS i, occurred_on AS v, lag(occurred_on) OVER w AS b, lead(occurred_on) OVER w AS a FROM app_rows WINDOW w AS (PARTITION BY source_stem ORDER BY row_index)),
+    first AS (SELECT *, coalesce(b >= a AND NOT (b >= v AND v >= a), FALSE) AS out FROM lined),
+    walk AS (SELECT source_stem, row_image, i, out, FALSE AS pair, out AS flagged FROM first WHERE i = 1
+      UNION ALL SELECT f.source_stem, f.row_image, f.i, f.out, f.v > f.b AND NOT w.flagged AND NOT f.out, f.out OR (f.v > f.b AND NOT w.flagged AND NOT f.out) FROM walk w JOIN first f ON f.source_stem = w.source_stem AND f.i = w.i + 1)"""
 
 
-@query()
+@query(sql("app_rows", then="").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + _ORDERED + "\nSELECT row_image FROM (SELECT row_image, flagged OR coalesce(lead(pair) OVER (PARTITION BY source_stem ORDER BY i), FALSE) AS f FROM walk) WHERE f")
 def order_violations(spark, sf_dir):
+    """Rows out of their falling order: those between falling neighbours, then rising pairs, from the first on."""
     return matching.order_violations(A.app_rows(spark, sf_dir), "occurred_on").where("order_violation").select("row_image")
 
 
+@query(sql("app_rows", then="""SELECT row_image FROM (SELECT row_image, occurred_on AS v, lag(occurred_on) OVER w AS b, lead(occurred_on) OVER w AS a FROM app_rows WINDOW w AS (PARTITION BY source_stem ORDER BY row_index)) WHERE b >= a AND NOT (b >= v AND v >= a)"""))
+def order_outliers(spark, sf_dir):
+    """Rows that don't lie between falling neighbours."""
+    return matching.order_outliers(A.app_rows(spark, sf_dir), "occurred_on").select("row_image")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN (SELECT arg_min(d, (abs(d - first), d)) FROM (SELECT unnest([TRY_CAST((year(first) + n) || strftime(o_orderdate, '-%m-%d') AS DATE) FOR n IN [-1, 0, 1]]) AS d) WHERE d IS NOT NULL) END AS occurred_on
+    FROM (SELECT *, CAST(date_trunc('month', o_orderdate + CAST(o_orderkey % 400 - 200 AS INTEGER) * INTERVAL 1 DAY) AS DATE) AS first FROM orders)""")
+def sheet_dates(spark, sf_dir):
+    """Full dates of rows with a month and day only, in sheets whose names begin with a month up to 200 days off; every ninth has no month."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    off = F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 400 - 200).cast("int"))
+    stem = F.when(F.col("o_orderkey") % 9 == 0, F.lit("screen_2024-05")).when(F.col("o_orderkey") % 2 == 0, F.date_format(off, "yyyy-MM")).otherwise(F.concat(F.date_format(off, "yyyy-MM"), F.lit("_"), F.col("o_orderkey")))
+    return o.select("o_orderkey", sheet_date(stem, F.month("o_orderdate"), F.dayofmonth("o_orderdate")).alias("occurred_on"))
+
+
 @query(sql("app_rows", then="SELECT row_image FROM (SELECT row_image, row_number() OVER (ORDER BY row_image) - 1 AS p, count(*) OVER () AS n FROM app_rows) WHERE p IN (SELECT round_even(i * (n - 1) / 39.0, 0) FROM range(40) t(i))"))
 def even_sample(spark, sf_dir):
     return ranking.evenly_spaced(A.app_rows(spark, sf_dir).select("row_image"), 40, "row_image")
@@ -131,9 +146,12 @@ def contains_suggestions(spark, sf_dir):
 def _tokens(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     whole, cents = F.floor("o_totalprice").cast("long"), F.lpad((F.floor(F.col("o_totalprice") * 100) % 100).cast("long").cast("string"), 2, "0")
-    texts = F.array(F.lit("shop"), F.date_format("o_orderdate", "MM-dd"), F.lit("12:30"), F.concat(F.lit("-"), whole.cast("string"), F.lit(".")), cents)
+    day = F.date_format("o_orderdate", "MM-dd")
+    # every fifth time repeats the day's last digit, under which it begins, as some readings do
+    time = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.substring(day, 5, 1), F.lit("12:30"))).otherwise(F.lit("12:30"))
+    texts = F.array(F.lit("shop"), day, time, F.concat(F.lit("-"), whole.cast("string"), F.lit(".")), cents)
     t = o.select(F.col("o_orderkey").cast("string").alias("row_image"), F.posexplode(texts).alias("pos", "text"))
-    return t.withColumn("score", F.lit(0.95)).withColumn("x1", F.col("pos") * 100).withColumn("x2", F.col("x1") + 90)
+    return t.withColumn("score", F.lit(0.95)).withColumn("x1", F.col("pos") * 100 - F.when(F.col("pos") == 2, 20).otherwise(0)).withColumn("x2", F.col("pos") * 100 + 90)
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS row_image, CAST(-(floor(o_totalprice) * 100 + floor(o_totalprice * 100) % 100) AS BIGINT) AS amount_minor FROM orders")
@@ -141,6 +159,19 @@ def token_amounts(spark, sf_dir):
     return matching.token_amounts(_tokens(spark, sf_dir)).select("row_image", (F.col("amount") * 100).cast("long").alias("amount_minor"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS row_image, strftime(o_orderdate, '%m-%d') || ' 12:30' AS occurred_at, 'minute' AS precision FROM orders")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS row_image, strftime(o_orderdate, '%m-%d') || ' 12:30' AS occurred_at, 'minute' AS precision, o_orderkey % 5 = 0 AS corrected FROM orders")
 def token_times(spark, sf_dir):
-    return matching.token_times(_tokens(spark, sf_dir).where("pos < 3")).select("row_image", "occurred_at", "precision")
+    """The tokens of each time field; a fifth of the times repeats the day's last digit."""
+    return matching.token_times(_tokens(spark, sf_dir).where("pos in (1, 2)")).select("row_image", "occurred_at", "precision", "corrected")
+
+
+@query("""SELECT CAST(k AS VARCHAR) AS row_image, CASE WHEN k % 17 <> 0 THEN CAST(-(floor(p) * 100 + floor(p * 100) % 100) AS BIGINT) END AS amount_minor, CASE WHEN k % 19 <> 0 THEN d || ' 12:30' END AS occurred_at,
+    list_filter([CASE WHEN k % 11 = 0 THEN 'merchant_missing' END, CASE WHEN k % 7 = 0 AND k % 11 <> 0 THEN 'merchant_truncated' END, CASE WHEN k % 17 = 0 THEN 'amount_missing' END, CASE WHEN k % 19 = 0 THEN 'occurred_at_missing' END, CASE WHEN k % 13 = 0 THEN 'merchant_low_score' END], lambda x: x IS NOT NULL) AS issues
+    FROM (SELECT o_orderkey AS k, o_totalprice AS p, strftime(o_orderdate, '%m-%d') AS d FROM orders)""")
+def app_token_rows(spark, sf_dir):
+    """App rows read from their fields' tokens, with tags of what they lack."""
+    tokens, key = _tokens(spark, sf_dir), F.col("o_orderkey")
+    merchant = spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.cast("string").alias("row_image"), F.when(key % 11 == 0, " ").when(key % 7 == 0, "Shop…").otherwise("Shop").alias("merchant_text"), F.when(key % 13 == 0, 0.5).otherwise(0.95).alias("merchant_score"))
+    number = F.col("row_image").cast("long")
+    rows = matching.parse_app_tokens(merchant, tokens.where("pos > 2").where(number % 17 != 0), tokens.where("pos in (1, 2)").where(number % 19 != 0))
+    return rows.select("row_image", (F.col("amount") * 100).cast("long").alias("amount_minor"), "occurred_at", "issues")

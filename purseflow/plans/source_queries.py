@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from purseflow.functions.money import minor_units
-from purseflow.operators import changes, checks, identity, matching, projections, review, schedule, views
-from purseflow.operators.enrichment import resolve_enrichment
+from purseflow.operators import changes, checks, identity, matching, projections, refunds, review, schedule, views
 from purseflow.operators.ranking import positions
 from purseflow.plans import adapters as A
-from purseflow.plans.adapters import sql
-from purseflow.plans.check_queries import _GROSS, _gross, _gross_sql
+from purseflow.plans.adapters import as_net, sql
+from purseflow.plans.check_queries import net_ledger, net_sql
+from purseflow.plans.ledger_queries import cash_flow, cash_sql, netted, whole
 from purseflow.plans.view_queries import _RULES, _execution, _rules
 from purseflow.sources import files
 from purseflow.storage import materialize, new_path
@@ -229,22 +229,77 @@ def rules_in_view_order(spark, sf_dir):
     return positions(view, "next_occurrence_date", "description", "id", name="place").select("id", "place")
 
 
-@query(
-    sql("enrichments", "statement_dates", then="").rstrip() + ",\n" + _GROSS + """
-    SELECT count(*) FILTER (category = '待分类') AS unclassified_net_transactions, (SELECT count(DISTINCT month) FROM gross WHERE CAST(month || '-10' AS DATE) IN (SELECT statement_date FROM statement_dates) AND CAST(CAST(month || '-10' AS DATE) + INTERVAL 1 MONTH AS DATE) IN (SELECT statement_date FROM statement_dates)) AS shown_months FROM gross"""
-)
-def spending_summary_counters(spark, sf_dir):
-    net, t, stats = _gross(spark, sf_dir)
-    e = resolve_enrichment(t, A.description_map(spark, sf_dir), A.merchant_map(spark, sf_dir), A.decisions(spark, sf_dir))
-    coverage = projections.month_coverage(stats.where("grain = 'month'").select("month"), A.statement_dates(spark, sf_dir))
-    return projections.spending_summary(spark.range(1), projections.spending_facts(net, t, e), coverage).drop("id")
+_SHOWN = "CAST(month || '-10' AS DATE) IN (SELECT statement_date FROM statement_dates) AND CAST(CAST(month || '-10' AS DATE) + INTERVAL 1 MONTH AS DATE) IN (SELECT statement_date FROM statement_dates)"
 
 
-@query(_gross_sql("""SELECT month, 'category' AS grain, rank, name, spending_minor, floor(CAST(spending_minor AS DOUBLE) / CAST(sum(spending_minor) OVER () AS DOUBLE) * 1000 + 0.5) / 10 AS share_percent
-    FROM (SELECT month, category AS name, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, CAST(row_number() OVER (ORDER BY sum(amount) DESC, category) AS INTEGER) AS rank FROM gross WHERE month = '1996-03' GROUP BY 1, 2)"""))
+@query(sql("statement_dates", "net_refunds", "net", then=f"""SELECT (SELECT count(*) FROM transactions WHERE transaction_type = 'expense' AND amount = 0) AS zero_amount_transactions, (SELECT count(*) FROM net_refunds) AS refund_transactions,
+    (SELECT count(*) FROM net_refunds WHERE rule = 'merchant') AS same_merchant_refund_matches, (SELECT CAST(coalesce(sum(matched), 0) * 100 AS BIGINT) FROM net_refunds WHERE rule = 'merchant') AS same_merchant_matched_minor,
+    (SELECT count(*) FROM net_balances WHERE remaining = 0) AS fully_refunded_transactions, (SELECT count(*) FROM net_balances WHERE remaining > 0 AND remaining < amount) AS partially_refunded_transactions,
+    (SELECT count(*) FROM net_refunds WHERE matched < amount) AS unmatched_refund_count, (SELECT CAST(coalesce(sum(amount - matched), 0) * 100 AS BIGINT) FROM net_refunds) AS unmatched_refund_minor,
+    (SELECT count(*) FROM net WHERE category_source = 'unclassified') AS unclassified_net_transactions, (SELECT count(DISTINCT month) FROM net WHERE {_SHOWN}) AS shown_months"""))
+def spending_summary_counters(spark, sf_dir):
+    """All ten counters of the spending summary, net of refunds."""
+    t, e, o = netted(spark, sf_dir)
+    facts = projections.spending_facts(refunds.net_consumption(o), t, e)
+    coverage = projections.month_coverage(facts.select("month"), A.statement_dates(spark, sf_dir))
+    found = projections.spending_summary(refunds.refund_summary(o, t), facts, coverage)
+    return found.withColumns({f"{c}_minor": minor_units(f"{c}_amount") for c in ("same_merchant_matched", "unmatched_refund")}).drop("same_merchant_matched_amount", "unmatched_refund_amount")
+
+
+@query(net_sql("""SELECT month, grain, rank, name, spending_minor, floor(CAST(spending_minor AS DOUBLE) / CAST(total AS DOUBLE) * 1000 + 0.5) / 10 AS share_percent FROM (
+      SELECT month, 'category' AS grain, category AS name, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, CAST(row_number() OVER (ORDER BY sum(amount) DESC, category) AS INTEGER) AS rank FROM net WHERE month = '1996-03' GROUP BY 1, 3
+      UNION ALL SELECT month, 'merchant', display_name, CAST(sum(amount) * 100 AS BIGINT), CAST(row_number() OVER (ORDER BY sum(amount) DESC, display_name, coalesce(merchant_name, '')) AS INTEGER) FROM net WHERE month = '1996-03' GROUP BY month, display_name, merchant_name),
+    (SELECT CAST(sum(amount) * 100 AS BIGINT) AS total FROM net WHERE month = '1996-03') WHERE grain = 'category' OR rank <= 8"""))
 def spending_analytics(spark, sf_dir):
-    """Categories with rank and share of the selected month."""
-    return views.spending_analytics(_gross(spark, sf_dir)[2], "1996-03").where("grain = 'category'")
+    """Categories and top merchants with rank and share of the selected month, net of refunds."""
+    return views.spending_analytics(net_ledger(spark, sf_dir)[2], "1996-03")
+
+
+@query(net_sql("""SELECT month, grain, rank, name, spending_minor FROM (
+      SELECT month, 'category' AS grain, category AS name, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, CAST(row_number() OVER (ORDER BY sum(amount) DESC, category) AS INTEGER) AS rank FROM net WHERE month = (SELECT max(month) FROM net) GROUP BY 1, 3
+      UNION ALL SELECT month, 'merchant', display_name, CAST(sum(amount) * 100 AS BIGINT), CAST(row_number() OVER (ORDER BY sum(amount) DESC, display_name, coalesce(merchant_name, '')) AS INTEGER) FROM net WHERE month = (SELECT max(month) FROM net) GROUP BY month, display_name, merchant_name)
+    WHERE grain = 'category' OR rank <= 8"""))
+def spending_analytics_newest(spark, sf_dir):
+    """The same where no month is asked for: that of the newest."""
+    return views.spending_analytics(net_ledger(spark, sf_dir)[2]).drop("share_percent")
+
+
+_MONTHS_SQL = f"""cover AS (SELECT month, {_SHOWN} AS shown FROM (SELECT DISTINCT month FROM net)),
+    totals AS (SELECT month, CAST(sum(amount) * 100 AS BIGINT) AS total_spending_minor, count(*) AS transaction_count FROM net GROUP BY 1),
+    cats AS (SELECT month, list(struct_pack(category := category, spending_minor := s, transaction_count := n) ORDER BY s DESC, category) AS categories FROM (SELECT month, category, CAST(sum(amount) * 100 AS BIGINT) AS s, count(*) AS n FROM net GROUP BY 1, 2) GROUP BY 1),
+    merchants AS (SELECT month, list(struct_pack(merchant_name := merchant_name, display_name := display_name, is_unclassified := merchant_name IS NULL, spending_minor := s, transaction_count := n) ORDER BY s DESC, display_name, coalesce(merchant_name, '')) AS merchants
+      FROM (SELECT month, merchant_name, display_name, CAST(sum(amount) * 100 AS BIGINT) AS s, count(*) AS n FROM net GROUP BY 1, 2, 3) GROUP BY 1)"""
+
+
+@query(net_sql("").rstrip() + ",\n" + _MONTHS_SQL + """
+    SELECT scope, CAST(coalesce(sum(total_spending_minor), 0) AS BIGINT) AS total_spending_minor, CAST(coalesce(sum(transaction_count), 0) AS BIGINT) AS transaction_count, count(*) AS month_count FROM totals JOIN cover USING (month), (VALUES ('all_data'), ('shown_data')) v(scope) WHERE scope = 'all_data' OR shown GROUP BY 1""")
+def spending_scopes(spark, sf_dir):
+    """Spending over all and over shown months."""
+    stats = net_ledger(spark, sf_dir)[2]
+    return projections.spending_scopes(stats, projections.month_coverage(stats.where("grain = 'month'").select("month"), A.statement_dates(spark, sf_dir)))
+
+
+@query(net_sql("").rstrip() + ",\n" + _MONTHS_SQL + """
+    SELECT to_json(struct_pack(schema_version := 2, summary := struct_pack(
+        all_data := struct_pack(total_spending_minor := CAST(coalesce(sum(total_spending_minor), 0) AS BIGINT), transaction_count := CAST(coalesce(sum(transaction_count), 0) AS BIGINT), month_count := count(*)),
+        shown_data := struct_pack(total_spending_minor := CAST(coalesce(sum(total_spending_minor) FILTER (shown), 0) AS BIGINT), transaction_count := CAST(coalesce(sum(transaction_count) FILTER (shown), 0) AS BIGINT), month_count := count(*) FILTER (shown))),
+      months := list(struct_pack(month := month, is_complete := shown, "show" := shown, total_spending_minor := total_spending_minor, transaction_count := transaction_count, categories := categories, merchants := merchants) ORDER BY month))) AS json
+    FROM totals JOIN cover USING (month) JOIN cats USING (month) JOIN merchants USING (month)""")
+def spending_document(spark, sf_dir):
+    """The whole spending payload as one document."""
+    stats = net_ledger(spark, sf_dir)[2]
+    return projections.spending_document(stats, projections.month_coverage(stats.where("grain = 'month'").select("month"), A.statement_dates(spark, sf_dir)))
+
+
+_PARTS = [("total_income_minor", "income_minor"), ("total_spending_minor", "spending_minor"), ("net_cash_flow_minor", "income_minor - spending_minor"), ("income_transaction_count", "income_count"), ("spending_transaction_count", "spending_count")]
+_SUMS = lambda test: ", ".join(f"{n} := CAST(coalesce(sum({c}){test}, 0) AS BIGINT)" for n, c in _PARTS)
+
+
+@query(as_net(cash_sql(f"""SELECT to_json(struct_pack(schema_version := 1, summary := struct_pack(all_data := struct_pack({_SUMS('')}, month_count := count(*)), shown_data := struct_pack({_SUMS(' FILTER (shown)')}, month_count := count(*) FILTER (shown))),
+    months := list(struct_pack(month := month, spending_data_complete := shown, "show" := shown, total_income_minor := income_minor, income_transaction_count := income_count, total_spending_minor := spending_minor, spending_transaction_count := spending_count, net_cash_flow_minor := income_minor - spending_minor) ORDER BY month))) AS json FROM cash""")))
+def financial_document(spark, sf_dir):
+    """The whole financial payload as one document."""
+    return projections.financial_document(cash_flow(spark, sf_dir, whole))
 
 
 @query(sql("decisions", then="SELECT transaction_id, note, place FROM (SELECT t.transaction_id, d.note, row_number() OVER (PARTITION BY description ORDER BY transaction_date DESC, txn_ord DESC) AS place FROM transactions t LEFT JOIN decisions d USING (transaction_id) WHERE transaction_type = 'expense' AND description = 'desc-7') WHERE place <= 3"))

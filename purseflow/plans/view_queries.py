@@ -343,15 +343,3 @@ def diagnose(spark, sf_dir):
     t, e = enriched(spark, sf_dir)
     r = A.records(spark, sf_dir)
     return run(t, e, identity.own_links(r), r)
-
-
-@query()
-def full_rebuild(spark, sf_dir):
-    """All derived tables; the result is the monthly cash flow."""
-    from purseflow.plans.jobs import full_rebuild as run
-
-    r = A.records(spark, sf_dir)
-    out = run(r.drop("o_custkey"), identity.own_links(r), A.description_map(spark, sf_dir), A.merchant_map(spark, sf_dir), A.decisions(spark, sf_dir), A.statement_dates(spark, sf_dir))
-    return out["financial"]
-
-

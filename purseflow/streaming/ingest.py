@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -44,10 +44,13 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, sync: Callable[[DataF
 
 
 class RunLog(StreamingQueryListener):
-    """Progress of queries as rows: name, batch, rows, seconds, and the error that ended one."""
+    """Progress of queries as rows: name, batch, rows, seconds, and the error that ended one. The driver
+    holds the last ``held``; ``flush`` appends them to a table."""
 
-    def __init__(self):
-        self.rows: list[tuple] = []
+    SCHEMA = "query string, event string, batch long, input_rows long, duration_ms long, error string"
+
+    def __init__(self, held: int = 10_000):
+        self.rows: deque[tuple] = deque(maxlen=held)
 
     def onQueryStarted(self, event):
         self.rows.append((str(event.id), "started", None, None, None, None))
@@ -63,42 +66,17 @@ class RunLog(StreamingQueryListener):
         self.rows.append((str(event.id), "ended", None, None, None, event.exception))
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "query string, event string, batch long, input_rows long, duration_ms long, error string")
+        return spark.createDataFrame([*self.rows], self.SCHEMA)
+
+    def flush(self, spark: SparkSession, path: str) -> int:
+        """Append what is held to a table, and forget it."""
+        rows = [self.rows.popleft() for _ in range(len(self.rows))]
+        if rows:
+            spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        return len(rows)
 
 
 def acquire_counts(batch: DataFrame, known: DataFrame) -> tuple[int, int]:
     """How many rows were fetched and how many of them are new."""
     fetched = batch.agg(F.count("*")).first()[0]
     return fetched, new_evidence(batch, known).agg(F.count("*")).first()[0]
-
-
-def running_spending(stream: DataFrame) -> DataFrame:
-    """Our own extension: refund netting as rows arrive. State is a component's open
-    balances; (component, transaction_date, txn_ord, amount) come in, refunds' matched
-    amounts go out. A refund that arrives before its purchase stays unmatched here; the
-    batch result, ordered by date, is the truth."""
-
-    def net(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        balances = list(state.get[0]) if state.exists else []
-        out = []
-        for frame in frames:
-            for ord_, minor in frame.sort_values(["transaction_date", "txn_ord"])[["txn_ord", "amount_minor"]].itertuples(index=False, name=None):
-                if minor > 0:
-                    balances.append(int(minor))
-                    continue
-                left = int(-minor)
-                exact = next((i for i in range(len(balances) - 1, -1, -1) if balances[i] == left), None)
-                if exact is not None:
-                    balances.pop(exact)
-                    left = 0
-                while left and balances:
-                    part = min(left, balances[-1])
-                    left -= part
-                    balances[-1] -= part
-                    if not balances[-1]:
-                        balances.pop()
-                out.append((key[0], int(ord_), int(-minor) - left, left))
-        state.update((balances,))
-        yield pd.DataFrame(out, columns=["component", "txn_ord", "matched_minor", "unmatched_minor"])
-
-    return stream.groupBy("component").applyInPandasWithState(net, "component string, txn_ord long, matched_minor long, unmatched_minor long", "balances array<long>", "append", "NoTimeout")

@@ -165,18 +165,6 @@ def test_order_violations(spark, values, flagged):
     assert got == model(values)
 
 
-def test_running_spending(spark, tmp_path):
-    src = tmp_path / "in"
-    schema = "component string, transaction_date date, txn_ord long, amount_minor long"
-    spark.createDataFrame([("a", D(2026, 1, 1), 1, 100), ("a", D(2026, 1, 2), 2, 50), ("a", D(2026, 1, 3), 3, -100), ("b", D(2026, 1, 1), 4, -5)], schema).write.parquet(str(src))
-    out = ingest.running_spending(spark.readStream.schema(schema).parquet(str(src)))
-    q = out.writeStream.format("memory").queryName("running").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    spark.createDataFrame([("a", D(2026, 1, 4), 5, -80)], schema).write.mode("append").parquet(str(src))
-    rows = {r.txn_ord: (r.matched_minor, r.unmatched_minor) for r in spark.sql("SELECT * FROM running").collect()}
-    assert rows == {3: (100, 0), 4: (0, 5)}
-
-
 def test_run_log(spark, tmp_path):
     log = ingest.RunLog()
     spark.streams.addListener(log)
@@ -194,6 +182,8 @@ def test_run_log(spark, tmp_path):
     finally:
         spark.streams.removeListener(log)
     assert {r.event for r in log.table(spark).collect()} >= {"started", "progress", "ended"}
+    held = len(log.rows)
+    assert log.flush(spark, str(tmp_path / "log")) == held == spark.read.parquet(str(tmp_path / "log")).count() and log.flush(spark, "nowhere") == 0
 
 
 def test_labels_sort_in_chinese(spark):
