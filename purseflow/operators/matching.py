@@ -120,7 +120,8 @@ def one_to_one(transactions: list[str], choices: dict[str, list[str]]) -> dict[s
     return {t: r for r, t in holder.items()}
 
 
-_MATCHED = ["kind", "description", "transaction_id", "row_image", "stage", "day_delta", "status", "merchant_key", "seed_count"]
+_MATCHED = ["kind", "description", "transaction_id", "row_image", "stage", "day_delta", "status", "merchant_key", "seed_count", "seeds"]
+_SEEDS = "array<struct<merchant_key: string, n: bigint>>"
 _ASSIGNED = "description string, transaction_id string, row_image string, day_delta int"
 
 
@@ -135,7 +136,10 @@ def _seeds(edges: DataFrame) -> DataFrame:
     either = lambda sign, size, other: F.when(F.col("n_sign") > 0, sign).when(F.col("n_size") > 0, size).otherwise(other)
     state = lambda c, name: F.when(one(c), f"mapped_{name}_same_day_seed").otherwise(f"conflicting_{name}_same_day_seeds")
     merchant = either(F.when(one("sign"), F.col("min_sign")), F.when(one("size"), F.col("min_size")), F.lit(None))
-    return found.select("description", either(state("sign", "signed"), state("size", "absolute"), F.lit("ambiguous_without_seed")).alias("status"), F.nullif(merchant, F.lit("")).alias("merchant_key"), either(F.col("n_sign"), F.col("n_size"), F.lit(0)).cast("int").alias("seed_count"))
+    named_by = each.join(found.select("description", "n_sign"), "description").select("description", F.when(F.col("n_sign") > 0, F.col("sign")).otherwise(F.col("size")).alias("merchant_key")).where("merchant_key is not null")
+    counts = named_by.groupBy("description", "merchant_key").agg(F.count("*").alias("n")).groupBy("description").agg(F.collect_list(F.struct("merchant_key", "n")).alias("seeds"))
+    rows = found.select("description", either(state("sign", "signed"), state("size", "absolute"), F.lit("ambiguous_without_seed")).alias("status"), F.nullif(merchant, F.lit("")).alias("merchant_key"), either(F.col("n_sign"), F.col("n_size"), F.lit(0)).cast("int").alias("seed_count"))
+    return rows.join(counts, "description", "left")
 
 
 def _on_one_day(edges: DataFrame) -> DataFrame:
@@ -236,15 +240,15 @@ def match_descriptions(bank: DataFrame, app: DataFrame, window: int = S.SECONDAR
         last, edges = edges, materialize(rest, "candidates")
         discard(last, waiting)
     together = lambda parts, empty: reduce(DataFrame.union, parts) if parts else bank.sparkSession.createDataFrame([], empty)
-    seeds = together(groups, "description string, status string, merchant_key string, seed_count int")
+    seeds = together(groups, f"description string, status string, merchant_key string, seed_count int, seeds {_SEEDS}")
     otherwise = F.when(F.col("evidence") > 0, "no_same_day_candidate").when(F.col("covered") > 0, "no_eligible_purchase_evidence").otherwise("ocr_not_covered")
-    group = facts.join(seeds, "description", "left").select("description", F.coalesce("status", otherwise).alias("status"), "merchant_key", F.coalesce("seed_count", F.lit(0)).alias("seed_count"))
+    group = facts.join(seeds, "description", "left").select("description", F.coalesce("status", otherwise).alias("status"), "merchant_key", F.coalesce("seed_count", F.lit(0)).alias("seed_count"), "seeds")
     group = materialize(group, "groups")
     none = lambda t: F.lit(None).cast(t)
     own = group.select("description", "status", "merchant_key")
-    out = group.select(F.lit("group").alias("kind"), "description", none("string").alias("transaction_id"), none("string").alias("row_image"), none("string").alias("stage"), none("int").alias("day_delta"), "status", "merchant_key", "seed_count")
-    taken = together(assignments, _ASSIGNED + ", stage string").withColumns({"kind": F.lit("assignment"), "seed_count": none("int")}).join(own, "description")
-    left = together(leftover, _ASSIGNED).withColumns({"kind": F.lit("candidate"), "stage": none("string"), "seed_count": none("int")}).join(own, "description")
+    out = group.select(F.lit("group").alias("kind"), "description", none("string").alias("transaction_id"), none("string").alias("row_image"), none("string").alias("stage"), none("int").alias("day_delta"), "status", "merchant_key", "seed_count", "seeds")
+    taken = together(assignments, _ASSIGNED + ", stage string").withColumns({"kind": F.lit("assignment"), "seed_count": none("int"), "seeds": none(_SEEDS)}).join(own, "description")
+    left = together(leftover, _ASSIGNED).withColumns({"kind": F.lit("candidate"), "stage": none("string"), "seed_count": none("int"), "seeds": none(_SEEDS)}).join(own, "description")
     return out.union(taken.select(*_MATCHED)).union(left.select(*_MATCHED))
 
 
@@ -270,14 +274,53 @@ def match_status(bank: DataFrame, app: DataFrame, matched: DataFrame) -> DataFra
     return rows.select("transaction_id", "description", "amount", kind_of().alias("kind"), "state", "reason", "row_image", "stage", confidence().alias("confidence"), "merchant_key", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
 
 
-def group_results(matched: DataFrame, status: DataFrame, app: DataFrame) -> DataFrame:
-    """A row for each description in processing order, with the app rows left before and after it."""
+def group_results(bank: DataFrame, app: DataFrame, matched: DataFrame, status: DataFrame) -> DataFrame:
+    """A row for each description, in all its columns: sizes, seeds, mapping, assignments by stage, what is mapped without evidence
+    and why, and the app rows available before and after it in processing order."""
+    span = app.agg(F.min("occurred_on").alias("_from"), F.max("occurred_on").alias("_to"))
+    covered = F.coalesce(F.col("transaction_date").between(F.col("_from"), F.col("_to")), F.lit(False))
+    sizes = bank.crossJoin(span).groupBy("description").agg(F.count("*").alias("transaction_count"), F.count_if(covered).alias("covered_transaction_count"), F.count_if(covered & (F.col("amount") > 0)).alias("eligible_evidence_transaction_count"))
+    only = lambda reason: F.count_if((F.col("state") == "mapping_only") & (F.col("reason") == reason))
     facts = status.groupBy("description").agg(
-        F.count("*").alias("transactions"), F.count_if(F.col("kind") == "purchase").alias("purchases"), F.count_if(F.col("state") == "assigned").alias("assigned"),
-        *[F.count_if(F.col("stage") == s).alias(s) for s in ("signed_same_day", "absolute_same_day", "absolute_window")], F.count_if(F.col("state") == "mapping_only").alias("mapping_only"), F.count_if(F.col("state") == "unresolved").alias("unresolved"), F.sum("amount").alias("amount"),
+        F.count_if(F.col("state") == "assigned").alias("ocr_evidence_assignment_count"), *[F.count_if(F.col("stage") == s).alias(f"{s}_assignment_count") for s in ("signed_same_day", "absolute_same_day", "absolute_window")],
+        F.count_if(F.col("state") == "mapping_only").alias("mapping_only_transaction_count"), only("refund_not_in_ocr_scope").alias("refund_mapping_only_count"), only("ocr_not_covered").alias("coverage_mapping_only_count"),
+        only("no_ocr_evidence").alias("no_evidence_mapping_only_count"), only("ocr_candidate_not_assigned").alias("candidate_not_assigned_mapping_only_count"),
+    )
+    group = matched.where("kind = 'group'").select("description", "status", "merchant_key", F.col("seed_count").cast("long").alias("seed_transaction_count"), "seeds")
+    names = display_names(app)
+    seeds = group.select("description", F.explode("seeds").alias("s")).select("description", "s.*").join(names, "merchant_key", "left").withColumn("merchant", F.coalesce("display_name", "merchant_key"))
+    seeds = seeds.groupBy("description").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "merchant"))), lambda x: F.struct(x["merchant"].alias("merchant"), (-x["less"]).alias("count"))).alias("seed_merchants"))
+    rows = sizes.join(facts, "description").join(group.drop("seeds"), "description").join(seeds, "description", "left").join(names, "merchant_key", "left")
+    mapped = F.col("merchant_key").isNotNull()
+    signed = F.col("status").startswith("mapped_signed")
+    rows = rows.withColumns({
+        "suggested_merchant": F.when(mapped, F.coalesce("display_name", "merchant_key")), "seed_stage": F.when(mapped, F.when(signed, "signed_same_day").otherwise("absolute_same_day")), "mapping_confidence": F.when(mapped, F.when(signed, "high").otherwise("medium")),
+        "mapped_transaction_count": F.when(mapped, F.col("transaction_count")).otherwise(0).cast("long"), "unresolved_mapping_transaction_count": F.when(mapped, 0).otherwise(F.col("transaction_count")).cast("long"), "assigned": F.col("ocr_evidence_assignment_count"),
+    })
+    rows = with_running_use(rows, processing_order(bank), app.count())
+    return rows.withColumnsRenamed({"available_before": "ocr_available_before", "assigned": "ocr_consumed", "available_after": "ocr_available_after"}).select(*GROUP_RESULT)
+
+
+#: The columns of a description's result, as the files of results have them.
+GROUP_RESULT = (
+    "processing_order", "description", "transaction_count", "covered_transaction_count", "eligible_evidence_transaction_count", "seed_transaction_count", "seed_merchants", "seed_stage", "mapping_confidence", "suggested_merchant", "status",
+    "ocr_evidence_assignment_count", "signed_same_day_assignment_count", "absolute_same_day_assignment_count", "absolute_window_assignment_count", "mapped_transaction_count", "mapping_only_transaction_count", "unresolved_mapping_transaction_count",
+    "refund_mapping_only_count", "coverage_mapping_only_count", "no_evidence_mapping_only_count", "candidate_not_assigned_mapping_only_count", "ocr_available_before", "ocr_consumed", "ocr_available_after",
+)
+
+
+def matching_totals(results: DataFrame, app: DataFrame) -> DataFrame:
+    """One row over all descriptions: transactions, descriptions and app rows, the range of days that app rows cover, mappings by
+    confidence, transactions mapped with and without evidence and by reason, groups by status, rows used and left."""
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    groups = {"conflicting_signed_same_day_seeds", "conflicting_absolute_same_day_seeds", "ambiguous_without_seed", "no_same_day_candidate", "no_eligible_purchase_evidence", "ocr_not_covered"}
+    counts = [total(c, c.removesuffix("_count") + "s") for c in GROUP_RESULT if c.endswith("_count")]
+    found = results.agg(
+        F.count("*").alias("descriptions"), F.count("suggested_merchant").alias("suggested_mappings"), *[F.count_if(F.col("mapping_confidence") == c).alias(f"{c}_confidence_mappings") for c in ("high", "medium")], *counts,
+        *[F.count_if(F.col("status") == s).alias(f"groups_{s}") for s in sorted(groups)], total("ocr_consumed", "app_rows_consumed"),
     )
-    group = matched.where("kind = 'group'").select("description", "status", "merchant_key", "seed_count")
-    return facts.join(group, "description").join(display_names(app), "merchant_key", "left")
+    seen = app.agg(F.count("*").alias("app_rows"), F.min("occurred_on").alias("coverage_start"), F.max("occurred_on").alias("coverage_end"))
+    return found.crossJoin(seen).withColumn("app_rows_unused", F.col("app_rows") - F.col("app_rows_consumed"))
 
 
 def processing_order(bank: DataFrame) -> DataFrame:

@@ -68,7 +68,14 @@ def match_assignments(spark, sf_dir):
 @query()
 def match_groups(spark, sf_dir):
     b, a, m = _matched(spark, sf_dir)
-    return matching.group_results(m, matching.match_status(b, a, m), a)
+    return matching.group_results(b, a, m, matching.match_status(b, a, m))
+
+
+@query()
+def matching_totals(spark, sf_dir):
+    """One row of totals over all descriptions."""
+    b, a, m = _matched(spark, sf_dir)
+    return matching.matching_totals(matching.group_results(b, a, m, matching.match_status(b, a, m)), a)
 
 
 @query(sql("bank_rows", then="SELECT description, count(*) AS transactions, row_number() OVER (ORDER BY count(*) DESC, min(transaction_date), description) AS processing_order FROM bank_rows GROUP BY 1"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from purseflow.functions import ids
 from purseflow.operators import identity, matching, refunds
@@ -198,7 +199,7 @@ def match_alone(bank, app, window=7):
     by = defaultdict(list)
     for b in bank:
         by[b[3]].append(b)
-    groups, assigned, left = {}, {}, set()
+    groups, assigned, left, full = {}, {}, set(), []
     for description, rows in sorted(by.items(), key=lambda g: (-len(g[1]), min(r[1] for r in g[1]), g[0])):
         rows = sorted(rows, key=lambda r: (r[1], r[0]))
         covered = [r for r in rows if span and span[0] <= r[1] <= span[1]]
@@ -246,8 +247,16 @@ def match_alone(bank, app, window=7):
                     mine[txn] = (row, stage)
                     del free[row]
         assigned |= mine
-        left |= {(t[0], a[0]) for t in rows if t[0] not in mine for a in near(t) if a[4] == t[1] or merchant is not None and a[3] == merchant}
-    return groups, assigned, left
+        rest = {t[0]: [a[0] for a in near(t) if a[4] == t[1] or merchant is not None and a[3] == merchant] for t in rows if t[0] not in mine}
+        left |= {(t, a) for t, found in rest.items() for a in found}
+        only = Counter("cover" if not (span and span[0] <= t[1] <= span[1]) else "refund" if t[2] < 0 else "candidate" if rest[t[0]] else "none" for t in rows if t[0] not in mine and merchant is not None)
+        stages = Counter(stage for _, stage in mine.values())
+        full.append((
+            len(full) + 1, description, len(rows), len(covered), len(evidence), sum(chosen.values()), sorted(((m, n) for m, n in chosen.items()), key=lambda x: (-x[1], x[0])) or None, f"{name}_same_day" if merchant else None,
+            {"signed": "high", "absolute": "medium"}[name] if merchant else None, merchant, status, len(mine), stages["signed_same_day"], stages["absolute_same_day"], stages["absolute_window"], len(rows) if merchant else 0, sum(only.values()),
+            0 if merchant else len(rows), only["refund"], only["cover"], only["none"], only["candidate"], len(app) - len(assigned) + len(mine), len(mine), len(app) - len(assigned),
+        ))
+    return groups, assigned, left, full
 
 
 @pytest.mark.parametrize("seed, descriptions", [(0, 4), (1, 12), (2, 40)])
@@ -264,12 +273,21 @@ def test_matching_in_waves_as_one_loop(spark, seed, descriptions):
             app.append((f"r{i:03d}", f"s{i % 4}", i // 4, f"m{d // 2 % 4}" if rng.random() < 0.99 else "other", on, -amount if rng.random() < 0.7 else amount))
     b = spark.createDataFrame(bank, "transaction_id string, transaction_date date, amount decimal(28,6), description string")
     a = spark.createDataFrame(app, "row_image string, source_stem string, row_index int, merchant_key string, occurred_on date, amount decimal(28,6)")
-    found = matching.match_descriptions(b, a).collect()
-    groups, assigned, left = match_alone(bank, app)
+    found = matching.match_descriptions(b, a)
+    found, found_schema = found.collect(), found.schema
+    groups, assigned, left, full = match_alone(bank, app)
     assert {r.description: (r.status, r.merchant_key, r.seed_count) for r in found if r.kind == "group"} == groups
     assert {r.transaction_id: (r.row_image, r.stage) for r in found if r.kind == "assignment"} == assigned
     assert {(r.transaction_id, r.row_image) for r in found if r.kind == "candidate"} == left
     assert len(assigned) > 30 and len({s for _, s in assigned.values()}) == 3
+    m = spark.createDataFrame(found, found_schema)
+    a = a.withColumns({"merchant_text": F.col("merchant_key"), "row_ord": F.lit(0)})
+    results = matching.group_results(b, a, m, matching.match_status(b, a, m))
+    rows = [tuple([tuple(x) for x in v] if isinstance(v, list) else v for v in r) for r in results.orderBy("processing_order").collect()]
+    assert rows == full and results.columns == [*matching.GROUP_RESULT]
+    total = matching.matching_totals(results, a).first()
+    assert (total.transactions, total.descriptions, total.app_rows_consumed, total.app_rows_unused) == (len(bank), len(groups), len(assigned), len(app) - len(assigned))
+    assert total.suggested_mappings == sum(g[1] is not None for g in groups.values()) and total.mapping_only_transactions == sum(r[16] for r in full) and total.coverage_start == min(x[4] for x in app if x[4])
 
 
 def test_stretches_are_cut(spark):
