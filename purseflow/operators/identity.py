@@ -73,7 +73,6 @@ def reconcile_candidates(records: DataFrame, transactions: DataFrame, days: int
 
 
 _FOLDED = "kind string, transaction_id string, source_record_id string, role string, link_ord string, action string, day_distance int, merchant_match boolean, identity_match boolean, detail string"
-_BLOCK = ["transaction_type", "currency", "amount"]
 #: Transactions and undecided records that a fold holds before it looks for what is settled.
 HELD = 2_000
 
@@ -258,39 +257,38 @@ def _folded(days: int, generation: int):
 
 
 def meeting_islands(rows: DataFrame, days: int = S.MATCH_WINDOW_DAYS) -> DataFrame:
-    """(transaction_type, currency, amount, transaction_date, island, meets) of the blocks that have an unlinked record.
+    """(block, transaction_date, island, meets) of the blocks that have an unlinked record.
 
     Two days are in one island if an unlinked record of one could look at a record of the other, by
-    its policy's scope, or if such a pair spans them. ``rows`` has source_type, candidate_scope
+    its policy's scope, or if such a pair spans them. ``rows`` has block, source_type, candidate_scope
     and ``open`` (unlinked). ``meets`` says that there is such a pair in the island. Everything here
     is about different days, of which a frequent amount has no more than the calendar."""
-    nodes = rows.groupBy(*_BLOCK, "transaction_date", "source_type", "candidate_scope").agg(F.bool_or("open").alias("open"), F.count("*").alias("n"))
-    nodes = nodes.join(nodes.where("open").select(*_BLOCK).distinct(), _BLOCK, "left_semi")
+    nodes = rows.groupBy("block", "transaction_date", "source_type", "candidate_scope").agg(F.bool_or("open").alias("open"), F.count("*").alias("n"))
+    nodes = nodes.join(nodes.where("open").select("block").distinct(), "block", "left_semi")
     bucket = lambda k=0: F.expr(f"cast(floor(datediff(transaction_date, date'1970-01-01') / {days + 1}) as int) + {k}")
-    looks = nodes.where("open").select(*_BLOCK, F.col("transaction_date").alias("mine"), "candidate_scope", F.col("source_type").alias("my_type"), F.explode(F.array(*map(bucket, (-1, 0, 1)))).alias("bucket"))
-    seen = nodes.select(*_BLOCK, F.col("transaction_date").alias("theirs"), "source_type", "n", bucket().alias("bucket"))
-    pairs = looks.join(seen, [*_BLOCK, "bucket"]).where(F.abs(F.datediff("mine", "theirs")) <= days).where("candidate_scope = 'any' or candidate_scope = source_type")
+    looks = nodes.where("open").select("block", F.col("transaction_date").alias("mine"), "candidate_scope", F.col("source_type").alias("my_type"), F.explode(F.array(*map(bucket, (-1, 0, 1)))).alias("bucket"))
+    seen = nodes.select("block", F.col("transaction_date").alias("theirs"), "source_type", "n", bucket().alias("bucket"))
+    pairs = looks.join(seen, ["block", "bucket"]).where(F.abs(F.datediff("mine", "theirs")) <= days).where("candidate_scope = 'any' or candidate_scope = source_type")
     pairs = pairs.where("n > 1 or mine <> theirs or my_type <> source_type")
-    spans = pairs.groupBy(*_BLOCK, F.least("mine", "theirs").alias("transaction_date")).agg(F.max(F.greatest("mine", "theirs")).alias("far"))
-    dates = nodes.select(*_BLOCK, "transaction_date").distinct().join(spans, [*_BLOCK, "transaction_date"], "left")
-    order = Window.partitionBy(*_BLOCK).orderBy("transaction_date")
+    spans = pairs.groupBy("block", F.least("mine", "theirs").alias("transaction_date")).agg(F.max(F.greatest("mine", "theirs")).alias("far"))
+    dates = nodes.select("block", "transaction_date").distinct().join(spans, ["block", "transaction_date"], "left")
+    order = Window.partitionBy("block").orderBy("transaction_date")
     reached = F.max(F.coalesce("far", "transaction_date")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     numbered = dates.withColumn("no", F.sum(F.coalesce((reached < F.col("transaction_date")).cast("int"), F.lit(1))).over(order))
-    meets = F.max(F.col("far").isNotNull()).over(Window.partitionBy(*_BLOCK, "no"))
-    return numbered.select(*_BLOCK, "transaction_date", F.concat_ws("|", F.lit("i:"), "transaction_type", "currency", F.col("amount").cast("string"), F.col("no").cast("string")).alias("island"), meets.alias("meets"))
+    meets = F.max(F.col("far").isNotNull()).over(Window.partitionBy("block", "no"))
+    return numbered.select("block", "transaction_date", F.concat_ws("|", F.lit("i:"), "block", F.col("no").cast("string")).alias("island"), meets.alias("meets"))
 
 
 def _frontier(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that no decision can touch, as they are, and the others, written once. A decision comes
-    from an unlinked record or a change of roles, and touches rows of the same type, currency and
-    amount, and rows of their transactions. So a small change of a large ledger moves little more than itself."""
+    """Rows that no decision can touch, and the others. A decision comes from an unlinked record or a
+    change of roles, and touches rows of the same type, currency and amount, and rows of their
+    transactions. So after a small change of a large ledger, what follows moves little more than the change."""
     moving = F.col("open") | (F.col("takes_authority") & (F.col("role") != "authoritative"))
-    blocks = materialize(rows.where(moving).select(*_BLOCK).distinct(), "blocks")
-    near = rows.join(blocks, _BLOCK, "left_semi")
-    txns = materialize(near.where("not open").select("link_transaction").distinct(), "transactions")
-    marked = rows.join(blocks.withColumn("near", F.lit(True)), _BLOCK, "left").join(txns.withColumn("own", F.lit(True)), "link_transaction", "left")
+    blocks = materialize(rows.where(moving).select("block").distinct(), "blocks")
+    txns = materialize(rows.where("not open").join(blocks, "block", "left_semi").select("link_transaction").distinct(), "transactions")
+    marked = rows.join(blocks.withColumn("near", F.lit(True)), "block", "left").join(txns.withColumn("own", F.lit(True)), "link_transaction", "left")
     touched = F.coalesce("near", F.lit(False)) | F.coalesce("own", F.lit(False))
-    return marked.where(~touched).drop("near", "own"), materialize(marked.where(touched).drop("near", "own"), "touched")
+    return marked.where(~touched).drop("near", "own"), marked.where(touched).drop("near", "own")
 
 
 def reconcile(records: DataFrame, links: DataFrame, policy: DataFrame, hints: DataFrame | None = None, transaction_hints: DataFrame | None = None, overrides: DataFrame | None = None, generation: int = 1) -> DataFrame:
@@ -313,10 +311,11 @@ def reconcile(records: DataFrame, links: DataFrame, policy: DataFrame, hints: Da
     rows = rows.join(policy, "source_type").join(hints.withColumnRenamed("merchant", "record_hint"), "source_record_id", "left")
     rows = rows.join(overrides.select("source_record_id", F.col("transaction_id").alias("override_transaction"), F.col("action").alias("override_action")), "source_record_id", "left")
     rows = rows.withColumn("open", F.col("link_transaction").isNull()).withColumn("target", F.when(F.col("open"), F.coalesce("override_transaction", ids.transaction_id())))
-    rows = rows.select("source_record_id", "source_type", *_BLOCK, "transaction_date", "record_ord", "link_transaction", "role", "link_ord", "processing_order", "takes_authority", "candidate_scope", "on_ambiguous", "record_hint", "override_action", "open", "target")
-    untouched, rows = _frontier(rows)
-    rows = rows.join(meeting_islands(rows), [*_BLOCK, "transaction_date"], "left").withColumn("meets", F.coalesce("meets", F.lit(False)))
-    rows = rows.withColumn("island", F.coalesce("island", F.concat_ws("|", F.lit("d:"), "transaction_type", "currency", F.col("amount").cast("string"), F.col("transaction_date").cast("string"))))
+    block = F.concat_ws("|", "transaction_type", "currency", F.col("amount").cast("string"))
+    rows = rows.select("source_record_id", "source_type", block.alias("block"), "transaction_date", "record_ord", "link_transaction", "role", "link_ord", "processing_order", "takes_authority", "candidate_scope", "on_ambiguous", "record_hint", "override_action", "open", "target")
+    untouched, rows = _frontier(materialize(rows, "records"))
+    rows = rows.join(meeting_islands(rows), ["block", "transaction_date"], "left").withColumn("meets", F.coalesce("meets", F.lit(False)))
+    rows = rows.withColumn("island", F.coalesce("island", F.concat_ws("|", F.lit("d:"), "block", F.col("transaction_date").cast("string"))))
     known = links.select(F.col("transaction_id").alias("target"), F.lit(True).alias("target_linked")).distinct()
     named = overrides.select(F.col("transaction_id").alias("target")).distinct()
     shared = rows.where("open").join(named, "target", "left_semi").groupBy("target").agg(F.count("*").cast("int").alias("target_rows")).where("target_rows > 1")
@@ -343,7 +342,7 @@ def reconcile(records: DataFrame, links: DataFrame, policy: DataFrame, hints: Da
     dealt = rest.join(busy, "component", "left_semi")
     sizes = dealt.where("not open").groupBy("link_transaction").agg(F.count("*").cast("int").alias("txn_rows"))
     dealt = dealt.join(sizes, "link_transaction", "left").join(transaction_hints.select(F.col("transaction_id").alias("link_transaction"), F.col("merchant").alias("transaction_hint")), "link_transaction", "left")
-    dealt = dealt.withColumn("block", F.concat_ws("|", "transaction_type", "currency", F.col("amount").cast("string"))).drop(*_BLOCK, "island", "meets", "open")
+    dealt = dealt.drop("island", "meets", "open")
     dealt = dealt.repartition("component").sortWithinPartitions("component", "transaction_date", "processing_order", "source_type", "record_ord")
     return same.union(direct).union(dealt.mapInArrow(_folded(S.MATCH_WINDOW_DAYS, generation), _FOLDED))
 
