@@ -25,12 +25,10 @@ def bounded_sample(rows: DataFrame, key: str, classes: str, per_class: int, seed
     """At most ``per_class`` rows of each class, and all if there are no more: those with the
     smallest hashes of their key, repeated keys by the hash of the row. Deterministic; the
     bound holds at any size, and only about twice as many rows are ranked."""
-    counts = {r[0]: r[1] for r in rows.groupBy(classes).count().collect()}
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(classes) == F.lit(value), F.lit(2 * per_class / n)).otherwise(share)
+    shares = rows.where(F.col(classes).isNotNull()).groupBy(F.col(classes).alias("__class")).agg((F.lit(float(2 * per_class)) / F.count("*")).alias("__share"))
+    some = rows.join(shares, F.col(classes) == F.col("__class")).where(_unit(key, seed) < F.col("__share")).select(*rows.columns)
     order = Window.partitionBy(classes).orderBy(F.xxhash64(key, F.lit(seed)), key, F.xxhash64(*rows.columns))
-    return rows.where(_unit(key, seed) < share).withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= per_class).drop("__place")
+    return some.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= per_class).drop("__place")
 
 
 def few_rows(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:

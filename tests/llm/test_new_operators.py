@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from purseflow.llm import align, phrases, queries, urlfilter
+from purseflow.llm import align, langid, phrases, queries, urlfilter
+from purseflow.llm.common import bounded_sample
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -238,3 +239,25 @@ def test_sql(spark, name):
     cur = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in cur.description]
     assert sorted(map(str, (tuple(r[n] for n in names) for r in df.collect()))) == sorted(map(str, cur.fetchall()))
+
+
+# --- samples of many classes
+
+
+def test_a_sample_of_many_classes(spark):
+    """2,000 languages, one of them with a third of the rows, and rows without any."""
+    rows = [(i, f"l{i % 2000}" if i % 3 else "hot") for i in range(12_000)] + [(-1, None), (-2, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string")
+    got = bounded_sample(frame, "doc_id", "lang", 3).collect()
+    n = Counter(r.lang for r in got)
+    assert len(n) == 2001 and n["hot"] == 3 and set(n.values()) <= {1, 2, 3} and None not in n
+    assert sorted(got) == sorted(bounded_sample(frame.repartition(5), "doc_id", "lang", 3).collect())
+    assert bounded_sample(frame.limit(0), "doc_id", "lang", 3).collect() == []
+
+
+def test_many_languages_are_learned(spark):
+    """300 languages of a few texts each, every one with words of its own."""
+    rows = [(i, f"w{i % 300}a w{i % 300}b w{i % 300}c " * 3, f"l{i % 300:03d}") for i in range(1800)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.predict(frame, langid.fit(frame)).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id % 300:03d}" for r in found) > 0.9 * len(found)
