@@ -19,7 +19,10 @@ from purseflow.sources.files import new_evidence
 
 #: step: noted (evidence came, before it is stored), synced (after a sync), polled (the end of a poll), ticked (a scheduler's run).
 STATE = "poll long, at timestamp, day string, step string, fetched long, added long, unreconciled long, pending boolean, error string"
-_ORDER = F.struct("poll", F.expr("case step when 'noted' then 0 when 'synced' then 1 else 2 end"), "at")
+
+
+def _order():
+    return F.struct("poll", F.expr("case step when 'noted' then 0 when 'synced' then 1 else 2 end"), "at")
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -31,7 +34,7 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 class Supervisor:
-    """``sync(new, store)`` is given the evidence of this poll and a function that reads all; it returns
+    """``sync(new, store)`` is given the evidence that no sync has settled yet and a function that reads all; it returns
     how many records are left without a link. ``store`` is kept by the first two letters of the
     digest, so what is known is looked for only among digests that begin alike."""
 
@@ -44,12 +47,15 @@ class Supervisor:
         """Every step of every poll, a row each; a folder a day."""
         return _read(self.spark, self.state_path, STATE)
 
-    def evidence(self) -> DataFrame:
+    def _stored(self) -> DataFrame:
         schema = self.stream().schema.simpleString()[len("struct<") : -1].replace(":", " ")
-        return _read(self.spark, self.store, schema + ", bucket string").drop("bucket")
+        return _read(self.spark, self.store, schema + ", poll long, bucket string").drop("bucket")
+
+    def evidence(self) -> DataFrame:
+        return self._stored().drop("poll")
 
     def pending(self) -> bool:
-        row = self.log().where("pending is not null").agg(F.max_by("pending", _ORDER)).first()
+        row = self.log().where("pending is not null").agg(F.max_by("pending", _order())).first()
         return bool(row[0])
 
     def _note(self, step: str, fetched=None, added=None, unreconciled=None, pending=None, error=None) -> None:
@@ -59,7 +65,7 @@ class Supervisor:
 
     def _take(self, batch: DataFrame, _epoch: int, counts: dict) -> None:
         """A micro-batch: note that something is pending, then store what is new. Repeating it adds nothing twice."""
-        batch = batch.withColumn("bucket", F.substring("digest", 1, 2))
+        batch = batch.withColumns({"poll": F.lit(self.polls).cast("long"), "bucket": F.substring("digest", 1, 2)})
         seen, fresh = Observation(), Observation()
         known = _read(self.spark, self.store, batch.schema.simpleString()[len("struct<") : -1].replace(":", " "))
         known = known.join(batch.select("bucket").distinct(), "bucket", "left_semi").select("digest")
@@ -72,25 +78,23 @@ class Supervisor:
     def poll_once(self) -> dict:
         """One poll: acquire, sync if anything is pending, log. Never raises for what goes wrong in them."""
         self.polls += 1
-        counts, error, unreconciled, started = {"fetched": 0, "added": 0}, None, None, datetime.now(timezone.utc)
-        synced = False
+        counts, error, unreconciled, synced = {"fetched": 0, "added": 0}, None, None, False
         try:
             query = self.stream().writeStream.foreachBatch(lambda b, n: self._take(b, n, counts)).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
             query.awaitTermination()
             if self.pending():
                 synced = True
-                unreconciled = int(self.sync(self.new_since(started), self.evidence))
+                unreconciled = int(self.sync(self.unsettled(), self.evidence))
                 self._note("synced", unreconciled=unreconciled, pending=unreconciled > 0)
         except Exception as e:  # noqa: BLE001 - a poll's failure is a row of the log
             error = f"{type(e).__name__}: {e}"[:2000]
         self._note("polled", counts["fetched"], counts["added"], unreconciled, None, error)
         return counts | {"synced": synced, "unreconciled": unreconciled, "error": error}
 
-    def new_since(self, started: datetime) -> DataFrame:
-        """Evidence stored since the last sync that left nothing pending: what a sync has not seen settled."""
-        settled = self.log().where("step = 'synced' and not pending").agg(F.max("at")).first()[0]
-        rows = self.evidence().withColumn("_stored", F.col("_metadata.file_modification_time"))
-        return (rows if settled is None else rows.where(F.col("_stored") >= F.lit(settled))).drop("_stored")
+    def unsettled(self) -> DataFrame:
+        """Evidence of the polls since the last sync that left nothing pending."""
+        settled = self.log().where("step = 'synced' and not pending").agg(F.max("poll")).first()[0]
+        return self._stored().where(F.col("poll") > (0 if settled is None else settled)).drop("poll")
 
     def tick(self, run: Callable[[], object]) -> bool:
         """A scheduler's run, logged as a poll is."""
@@ -118,8 +122,8 @@ def operational(log: DataFrame) -> DataFrame:
     """One row of what runs: the last poll and its error, the last sync that went through, the last tick and its
     error, polls, errors, evidence added, whether anything is pending."""
     at = lambda step: F.max(F.when(F.col("step") == step, F.col("at")))
-    error = lambda step: F.max_by(F.when(F.col("step") == step, F.col("error")), F.when(F.col("step") == step, _ORDER))
+    error = lambda step: F.max_by(F.when(F.col("step") == step, F.col("error")), F.when(F.col("step") == step, _order()))
     return log.agg(
         at("polled").alias("last_poll_at"), error("polled").alias("last_poll_error"), at("synced").alias("last_sync_at"), at("ticked").alias("last_tick_at"), error("ticked").alias("last_tick_error"), F.count_if(F.col("step") == "polled").alias("polls"),
-        F.count_if(F.col("error").isNotNull()).alias("errors"), F.coalesce(F.sum("added"), F.lit(0)).alias("added"), F.coalesce(F.max_by(F.col("pending"), F.when(F.col("pending").isNotNull(), _ORDER)), F.lit(False)).alias("pending"),
+        F.count_if(F.col("error").isNotNull()).alias("errors"), F.coalesce(F.sum("added"), F.lit(0)).alias("added"), F.coalesce(F.max_by(F.col("pending"), F.when(F.col("pending").isNotNull(), _order())), F.lit(False)).alias("pending"),
     )
