@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Classes up to which a sample's shares are broadcast, so that rows outside it are dropped where they are read.
+BROADCAST_CLASSES = 1 << 17
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -26,6 +28,8 @@ def bounded_sample(rows: DataFrame, key: str, classes: str, per_class: int, seed
     smallest hashes of their key, repeated keys by the hash of the row. Deterministic; the
     bound holds at any size, and only about twice as many rows are ranked."""
     shares = rows.where(F.col(classes).isNotNull()).groupBy(F.col(classes).alias("__class")).agg((F.lit(float(2 * per_class)) / F.count("*")).alias("__share"))
+    if shares.count() <= BROADCAST_CLASSES:  # else both sides are shuffled
+        shares = F.broadcast(shares)
     some = rows.join(shares, F.col(classes) == F.col("__class")).where(_unit(key, seed) < F.col("__share")).select(*rows.columns)
     order = Window.partitionBy(classes).orderBy(F.xxhash64(key, F.lit(seed)), key, F.xxhash64(*rows.columns))
     return some.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= per_class).drop("__place")

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from purseflow.llm import align, langid, phrases, queries, urlfilter
+from purseflow.llm import align, common, langid, phrases, queries, urlfilter
 from purseflow.llm.common import bounded_sample
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -244,8 +244,10 @@ def test_sql(spark, name):
 # --- samples of many classes
 
 
-def test_a_sample_of_many_classes(spark):
+@pytest.mark.parametrize("broadcast", [0, 1 << 17])
+def test_a_sample_of_many_classes(spark, monkeypatch, broadcast):
     """2,000 languages, one of them with a third of the rows, and rows without any."""
+    monkeypatch.setattr(common, "BROADCAST_CLASSES", broadcast)
     rows = [(i, f"l{i % 2000}" if i % 3 else "hot") for i in range(12_000)] + [(-1, None), (-2, None)]
     frame = spark.createDataFrame(rows, "doc_id long, lang string")
     got = bounded_sample(frame, "doc_id", "lang", 3).collect()
