@@ -14,7 +14,7 @@ from purseflow.plans.adapters import as_net, sql
 from purseflow.plans.check_queries import net_ledger, net_sql
 from purseflow.plans.ledger_queries import cash_flow, cash_sql, netted, whole
 from purseflow.plans.view_queries import _RULES, _execution, _rules
-from purseflow.sources import files
+from purseflow.sources import files, statements
 from purseflow.storage import materialize, new_path
 
 QUERIES: dict = {}
@@ -179,6 +179,47 @@ def row_json_rows(spark, sf_dir):
     return views.row_json(rows)
 
 
+# --- statement mails
+
+
+def _mails(spark, sf_dir) -> DataFrame:
+    """(digest, content): four mails for the bank's orders of each month, sent on the 10th of the next. Each has a table before its
+    rows and a repayment after them; every fourth has a row without a date."""
+    o = _orders(spark, sf_dir).where("o_orderkey % 3 <> 0").withColumn("day", F.to_date("o_orderdate"))
+    td = lambda *cells: F.concat(F.lit('<table width="643" height="18"><tr>'), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr></table>"))
+    none = F.lit("")
+    row = td(none, F.date_format("day", "MMdd"), F.date_format(F.date_add("day", 1), "MMdd"), F.concat(F.lit("shop &amp; "), "o_custkey"), F.concat(F.lit("¥&nbsp;"), F.format_number(F.floor("o_totalprice"), 2)), none, none, none)
+    mails = o.groupBy(F.trunc("day", "month").alias("month"), (F.col("o_orderkey") % 4).alias("no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    sent = F.date_format(F.date_add(F.add_months("month", 1), 9), "dd MMM yyyy")
+    repayment = td(none, none, F.lit("0905"), F.lit("还款"), F.lit("-100.00"), none, none, none)
+    wrong = F.when(F.col("no") == 3, td(none, none, F.lit("0905"), F.lit("no day"), F.lit("1"), none, none, none)).otherwise("")
+    html = F.concat(F.lit("<html><body><table><tr><td>head</td></tr></table>"), "rows", repayment, wrong, F.lit("</body></html>"))
+    text = F.concat(F.lit("Date: "), sent, F.lit(" 08:00:00 +0800\r\nSubject: statement\r\nMIME-Version: 1.0\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"), html)
+    content = mails.select(text.cast("binary").alias("content"))
+    return materialize(content.select(F.sha2("content", 256).alias("digest"), "content"), "mails")
+
+
+@query("""SELECT CAST(o_orderdate AS DATE) AS transaction_date, CAST(floor(o_totalprice) * 100 AS BIGINT) AS amount_minor, 'shop & ' || o_custkey AS description, 1 + row_number() OVER (PARTITION BY date_trunc('month', o_orderdate), o_orderkey % 4 ORDER BY o_orderkey) AS record_ord
+    FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 3""")
+def statement_mail_records(spark, sf_dir):
+    """Records of all mails that can be read as a whole; a row's number counts all tables before it."""
+    records, _, _ = statements.parse_statements(_mails(spark, sf_dir))
+    return records.select("transaction_date", minor_units("amount").alias("amount_minor"), "description", "record_ord")
+
+
+@query("""SELECT DISTINCT date_trunc('month', o_orderdate) + INTERVAL 1 MONTH + INTERVAL 9 DAY AS statement_date, o_orderkey % 4 AS no FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 3""".replace("SELECT DISTINCT", "SELECT CAST(statement_date AS DATE) AS statement_date, count(*) AS mails, count(*) AS repayments FROM (SELECT DISTINCT") + ") GROUP BY 1")
+def statement_mail_dates(spark, sf_dir):
+    """Days of statements, with their mails and the repayments skipped in them."""
+    _, dates, _ = statements.parse_statements(_mails(spark, sf_dir))
+    return dates.groupBy("statement_date").agg(F.count("*").alias("mails"), F.sum("skipped_repayments").alias("repayments"))
+
+
+@query("SELECT 'row without date' AS reason, count(*) AS mails FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 4 = 3)")
+def statement_mail_rejects(spark, sf_dir):
+    """Mails with a row that is neither a charge nor a repayment are rejected whole, with the reason."""
+    return statements.parse_statements(_mails(spark, sf_dir))[2].groupBy("reason").agg(F.count("*").alias("mails"))
+
+
 # --- smaller operators
 
 
