@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from purseflow import schemas as S
 from purseflow.functions.dates import month_key
 from purseflow.functions.money import minor_units
+from purseflow.operators.ranking import ranks_within
 
 
 def month_coverage(months: DataFrame, statement_dates: DataFrame) -> DataFrame:
@@ -47,6 +48,13 @@ def spending_statistics(facts: DataFrame) -> DataFrame:
     return rows.select("*", unclassified.alias("is_unclassified"), F.row_number().over(order).alias("rank"))
 
 
+def ranked_merchants(stats: DataFrame) -> DataFrame:
+    """The merchants of each month with their rank, for months of many merchants: ``rank`` of the
+    statistics is a window over the month, this one is worked out in ranges."""
+    rows = stats.where("grain = 'merchant'").drop("rank").withColumn("_merchant", F.coalesce("merchant_name", F.lit("")))
+    return ranks_within(rows, ["month"], F.desc("spending_minor"), "display_name", "_merchant").drop("_merchant")
+
+
 def income_by_month(transactions: DataFrame) -> DataFrame:
     rows = transactions.where("transaction_type = 'income'").groupBy(month_key("transaction_date").alias("month"))
     return rows.agg(minor_units(F.sum("amount")).alias("income_minor"), F.count("*").alias("income_count"))

@@ -18,6 +18,15 @@ def positions(rows: DataFrame, *order, name: str = "position") -> DataFrame:
     return dealt.withColumn("_own", own).join(F.broadcast(start), "_range").withColumn(name, (F.col("_start") + F.col("_own")).cast("long")).drop("_range", "_start", "_own")
 
 
+def ranks_within(rows: DataFrame, groups: list[str], *order, name: str = "rank") -> DataFrame:
+    """``rows`` with their rank from 1 inside their group, without a task that sees a whole group: the
+    positions in one order of groups and rows, less where the group begins."""
+    placed = positions(rows, *groups, *order, name="_place")
+    begins = placed.groupBy(*[F.col(g).alias(f"_{g}") for g in groups]).agg(F.min("_place").alias("_first"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+    return placed.join(begins, same).withColumn(name, F.col("_place") - F.col("_first") + 1).drop("_place", "_first", *[f"_{g}" for g in groups])
+
+
 def evenly_spaced(rows: DataFrame, n: int, *order) -> DataFrame:
     """``n`` rows at even distances in the order; halves round to the even position."""
     if n <= 0:

@@ -171,6 +171,12 @@ def net_spending_merchant(spark, sf_dir):
     return _plain_stats(spark, sf_dir, whole).where("grain = 'merchant'").select("month", "merchant_name", "display_name", "is_unclassified", "spending_minor", "transaction_count")
 
 
+@query(as_net(sql("plain", then="SELECT month, merchant_name, display_name, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, row_number() OVER (PARTITION BY month ORDER BY sum(amount) DESC, display_name, coalesce(merchant_name, '')) AS rank FROM plain GROUP BY 1, 2, 3")))
+def merchant_ranks(spark, sf_dir):
+    """All merchants of every month with their rank."""
+    return projections.ranked_merchants(_plain_stats(spark, sf_dir, whole)).select("month", "merchant_name", "display_name", "spending_minor", "rank")
+
+
 @query(as_net(sql("plain", then="""SELECT CASE WHEN grouping(month) = 1 THEN 'all' WHEN grouping(category) = 1 THEN 'month' ELSE 'category' END AS grain, month, category, CAST(sum(amount) * 100 AS BIGINT) AS spending_minor, count(*) AS transaction_count
     FROM plain GROUP BY GROUPING SETS ((), (month), (month, category))""")))
 def spending_rollup(spark, sf_dir):

@@ -201,3 +201,17 @@ def test_discard_deletes_what_was_written_and_nothing_else(spark):
     storage.discard(gone)
     assert not folders[0].exists() and folders[1].exists()
     assert stays.count() == 4
+
+
+def test_ranks_within_groups_of_any_size(spark):
+    from pyspark.sql import functions as F
+
+    from purseflow.operators import ranking
+
+    rows = [("big" if i % 3 else None if i % 2 else "small", i * 7 % 50, i) for i in range(300)]
+    got = {r.i: r.rank for r in ranking.ranks_within(spark.createDataFrame(rows, "g string, v int, i int"), ["g"], F.desc("v"), "i").collect()}
+    want = {}
+    for g in ("big", "small", None):
+        want |= {r[2]: k for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])), 1)}
+    assert got == want
+    assert ranking.ranks_within(spark.createDataFrame([], "g string, v int"), ["g"], "v").collect() == []
