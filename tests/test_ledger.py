@@ -300,3 +300,45 @@ def test_state_token_and_apply(spark):
     a, b = review.invert_mappings(dm, mm)
     x, y = review.expand_mappings(a, b)
     assert sorted(map(tuple, x.collect())) == [("d", "M"), ("e", "M")] and y.count() == 1
+
+
+def test_manual_changes_are_judged_in_order(spark):
+    """Random creations, corrections and deletions of few entries, some of which wait for their first sync, against one loop."""
+    rng = random.Random(11)
+    columns = "id string, type string, date string, amount string, currency string, description string"
+    entry = lambda i, text: (i, "expense", "2026-01-02", "5", "CNY", text)
+    had = {f"e{i}": entry(f"e{i}", "before") for i in range(12)}
+    linked = {f"e{i}" for i in range(8)}
+    ops = [(n, rng.choice(["create", "correct", "delete", "delete", "rename", None]), entry(f"e{rng.randrange(20)}", f"by {n}")) for n in range(160)]
+    now, refused = dict(had), {}
+    for n, op, row in ops:
+        i = row[0]
+        waits = i in had and i not in linked
+        if op not in ("create", "correct", "delete"):
+            refused[n] = "no such change"
+        elif op == "create" and i in now:
+            refused[n] = "already exists"
+        elif op != "create" and waits:
+            refused[n] = "waits for its first sync"
+        elif op != "create" and i not in now:
+            refused[n] = "does not exist"
+        elif op == "delete":
+            del now[i]
+        else:
+            now[i] = row
+    e = spark.createDataFrame([*had.values()], columns)
+    c = spark.createDataFrame([(n, op, *row) for n, op, row in ops], "seq int, op string, " + columns)
+    after, judged = changes.apply_manual_changes(e, c, spark.createDataFrame([(i,) for i in linked], "id string"))
+    assert {r.id: tuple(r) for r in after.collect()} == now
+    assert {r.seq: r.refused for r in judged.where("refused is not null").collect()} == refused and set(refused.values()) == {"no such change", "already exists", "waits for its first sync", "does not exist"}
+    same, none = changes.apply_manual_changes(e, c.limit(0))
+    assert same.count() == 12 and none.count() == 0
+
+
+def test_order_of_feedback_and_words_of_confidence(spark):
+    from purseflow.operators import matching
+
+    items = spark.createDataFrame([("b", "2026-01-01"), ("a", "2026-01-02"), ("c", "2026-01-02")], "id string, created_at string")
+    assert [r.id for r in changes.feedback_list(items).collect()] == ["a", "c", "b"]
+    stages = spark.createDataFrame([("signed_same_day",), ("absolute_same_day",), ("absolute_window",), (None,)], "stage string")
+    assert [r[0] for r in stages.select(matching.confidence()).collect()] == ["high", "medium", "low", None]
