@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from purseflow.llm.common import fresh
 from purseflow.llm.ngrams import Words, _mix, batches
 from purseflow.storage import materialize
 
@@ -213,6 +214,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a part of a benchmark item. Null texts and
     null ids stay or go by the same rule, repeated rows alike; empty tables take nothing out.
-    All columns come back, but none may be named __doc or __copy."""
-    hit = overlaps(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__copy")), "left_anti")
+    All columns come back, of any names."""
+    doc, copy = fresh(docs, "__doc", "__copy")
+    hit = overlaps(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias(doc), F.col("copy").alias(copy)).distinct()
+    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(copy)), "left_anti")

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from purseflow.llm.common import fresh
 from purseflow.operators.components import connected_components
 from purseflow.storage import materialize
 
@@ -241,9 +242,10 @@ def keep_one(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, that of the least
     doc_id, of those with that id the one with the least hash of its text; of repeated
     rows, one is kept. Rows of one doc_id with unlike texts are different documents.
-    Rows with a null doc_id stay. All columns come back; an empty table gives an empty table."""
+    Rows with a null doc_id stay. All columns come back, of any names; an empty table gives an empty table."""
     own = materialize(fingerprints(docs.where("doc_id is not null")), "fingerprints")
     best = own.join(_groups(own, bits).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "copy")).alias("b")).select("b.doc_id", "b.copy")
-    best = best.select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy"))
-    kept = docs.join(best, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64("text") == F.col("__copy")), "left_semi")
+    doc, copy = fresh(docs, "__doc", "__copy")
+    best = best.select(F.col("doc_id").alias(doc), F.col("copy").alias(copy))
+    kept = docs.join(best, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(copy)), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns).union(docs.where("doc_id is null"))
