@@ -21,10 +21,13 @@ def with_record_id(occurrences: DataFrame) -> DataFrame:
 
 def pending(occurrences: DataFrame, execution: DataFrame, evidence: DataFrame, links: DataFrame) -> DataFrame:
     """Occurrences that aren't linked yet or come after the rule's cursor; whether they
-    have evidence and a link."""
-    rows = with_record_id(occurrences).join(execution.select("rule_id", F.col("last_processed_occurrence_date").alias("cursor")), "rule_id", "left")
-    rows = rows.join(evidence.select(F.col("id").alias("occurrence_id"), F.lit(True).alias("has_evidence")), "occurrence_id", "left")
-    rows = rows.join(links.select("source_record_id", F.col("transaction_id").alias("linked_transaction")), "source_record_id", "left")
+    have evidence and a link.
+
+    Evidence and links grow with the occurrences, of which a rule has many: as the planner doesn't count those
+    before they are there and would broadcast them, the joins are merges."""
+    rows = with_record_id(occurrences).join(execution.select("rule_id", F.col("last_processed_occurrence_date").alias("cursor")).hint("merge"), "rule_id", "left")
+    rows = rows.join(evidence.select(F.col("id").alias("occurrence_id"), F.lit(True).alias("has_evidence")).hint("merge"), "occurrence_id", "left")
+    rows = rows.join(links.select("source_record_id", F.col("transaction_id").alias("linked_transaction")).hint("merge"), "source_record_id", "left")
     rows = rows.withColumn("has_evidence", F.coalesce("has_evidence", F.lit(False)))
     return rows.where("linked_transaction is null or cursor is null or occurrence_date > cursor")
 
@@ -39,13 +42,13 @@ def due_actions(due: DataFrame, sync_decisions: DataFrame | None) -> DataFrame:
     is new, so ``sync_decisions`` (source_record_id, transaction_id, action) is of the run."""
     if sync_decisions is None:
         return due.withColumn("transaction_id", F.col("linked_transaction")).withColumn("action", F.when(F.col("linked_transaction").isNotNull(), "recovered").otherwise("reused"))
-    return due.join(sync_decisions.select("source_record_id", "transaction_id", "action"), "source_record_id", "left").withColumn("transaction_id", F.coalesce("transaction_id", "linked_transaction"))
+    return due.join(sync_decisions.select("source_record_id", "transaction_id", "action").hint("merge"), "source_record_id", "left").withColumn("transaction_id", F.coalesce("transaction_id", "linked_transaction"))
 
 
 def next_execution(actions: DataFrame, execution: DataFrame) -> DataFrame:
     """Execution rows after the run: the latest occurrence with its metadata; a cursor never goes back."""
     last = actions.groupBy("rule_id").agg(F.max_by(F.struct("occurrence_date", "source_record_id", "transaction_id", "action"), "occurrence_date").alias("x"))
-    rows = execution.join(last, "rule_id", "full_outer")
+    rows = execution.join(last.hint("merge"), "rule_id", "full_outer")
     pick = lambda new, old: F.coalesce(F.col(f"x.{new}"), F.col(old)).alias(old)
     return rows.select(
         "rule_id", F.greatest(F.col("x.occurrence_date"), F.col("last_processed_occurrence_date")).alias("last_processed_occurrence_date"),
