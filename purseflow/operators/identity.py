@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,14 +78,19 @@ HELD = 2_000
 class _Held:
     """A transaction that may still change: its links, and the facts of its authority."""
 
-    __slots__ = ("links", "block", "day", "source_type", "record_hint", "hint", "unread", "pending")
+    __slots__ = ("links", "block", "day", "source_type", "record_hint", "hint", "known_as", "since", "until", "unread", "pending")
 
     def __init__(self, unread: int):
         self.links: dict[str, list] = {}  # record -> [role, order]
-        self.block = self.day = self.source_type = self.record_hint = self.hint = None
+        self.block = self.day = self.source_type = self.record_hint = self.hint = self.known_as = self.since = self.until = None
         self.unread, self.pending = unread, 0
 
 
+def _id(txn) -> str:
+    """The transaction's id, of one with several places too."""
+    return txn if isinstance(txn, str) else txn[0]
+
+
 class _Fold:
     """Decides on the records of one component while they come by date.
 
@@ -102,7 +105,8 @@ class _Fold:
         self.days, self.generation, self.out = days, generation, out
         self.waiting: list[tuple] = []  # order, row
         self.txns: dict[str, _Held] = {}
-        self.at: dict[tuple, dict[str, None]] = defaultdict(dict)
+        self.at: dict[tuple, dict[str | None, dict[str, None]]] = {}  # block and day -> merchant -> transactions
+        self.tied = 0  # transactions of which a link has not come yet, or waits
         self.created: set[str] = set()  # of the transactions that several records could create
         self.unread: dict[str, int] = {}  # of these, how many of the records have not come
         self.most = HELD
@@ -116,24 +120,38 @@ class _Fold:
             self.most = max(HELD, 2 * (len(self.waiting) + len(self.txns)))
         self.front = day
         r["day"] = day
+        if r.get("phase") is not None:
+            self._stand(r)
+            return
         txn = r["link_transaction"]
         if txn is not None:
             t = self.txns.get(txn)
             if t is None:
                 t = self.txns[txn] = _Held(r["txn_rows"])
+                self.tied += 1
             t.unread -= 1
             t.hint = r["transaction_hint"] if r["transaction_hint"] is not None else t.hint
             t.links[r["source_record_id"]] = [r["role"], r["link_ord"]]
             if r["role"] == "authoritative":
                 self._place(txn, t, r)
+            self.tied -= t.unread == 0
             if not r["takes_authority"]:
                 self._decided(r, txn, "reused", None, None, True)
                 return
             t.pending += 1
+            self.tied += 1
         elif r["target_rows"] > 1:
             self.unread[r["target"]] = self.unread.get(r["target"], r["target_rows"]) - 1
         self.waiting.append(((r["processing_order"], r["source_type"], r["record_ord"], r["source_record_id"]), r))
 
+    def _stand(self, r: dict):
+        """A place where a linked transaction stands while decisions come from one in order to another; its links are known."""
+        txn = (r["link_transaction"], r["phase"])
+        t = self.txns[txn] = _Held(0)
+        t.hint = r["transaction_hint"]
+        t.since, t.until = (o and tuple(o.values()) for o in (r["since"], r["until"]))
+        self._place(txn, t, r)
+
     def finish(self):
         self._settle(None)
 
@@ -144,14 +162,29 @@ class _Fold:
         self.out.append(("conflict", txn, r["source_record_id"], None, None, None, None, None, None, detail))
 
     def _place(self, txn: str, t: _Held, r: dict):
-        if t.block is not None:
-            self.at[t.block, t.day].pop(txn, None)
+        self._leave(txn, t)
         t.block, t.day, t.source_type, t.record_hint = r["block"], r["day"], r["source_type"], r["record_hint"]
-        self.at[t.block, t.day][txn] = None
+        t.known_as = t.hint or t.record_hint
+        self.at.setdefault((t.block, t.day), {}).setdefault(t.known_as, {})[txn] = None
+
+    def _leave(self, txn: str, t: _Held):
+        if t.block is None:
+            return
+        at = self.at[t.block, t.day]
+        at[t.known_as].pop(txn, None)
+        if not at[t.known_as]:
+            del at[t.known_as]
+        if not at:
+            del self.at[t.block, t.day]
 
     def _near(self, r: dict):
+        """Transactions within reach whose merchant doesn't contradict the record's."""
+        hint = r["record_hint"]
         for day in range(r["day"] - self.days, r["day"] + self.days + 1):
-            yield from self.at.get((r["block"], day), ())
+            at = self.at.get((r["block"], day))
+            if at is not None:
+                for txns in at.values() if hint is None else [at[h] for h in (hint, None) if h in at]:
+                    yield from txns
 
     def _take_authority(self, txn: str, t: _Held, r: dict):
         for record, link in t.links.items():
@@ -163,18 +196,18 @@ class _Fold:
         if txn is not None:
             t = self.txns[txn]
             t.pending -= 1
+            self.tied -= 1
             self._take_authority(txn, t, r)
             self._decided(r, txn, "reused", None, None, True)
             return
-        found = []
+        found, now = [], (r["processing_order"], r["source_type"], r["record_ord"], record)
         for txn in self._near(r):
             t = self.txns[txn]
             if r["candidate_scope"] != "any" and t.source_type != r["candidate_scope"]:
                 continue
-            theirs = t.hint or t.record_hint
-            match = None if r["record_hint"] is None or theirs is None else r["record_hint"] == theirs
-            if match is not False:
-                found.append((txn, abs(t.day - r["day"]), match))
+            if t.since is not None and now < t.since or t.until is not None and now > t.until:
+                continue
+            found.append((txn, abs(t.day - r["day"]), None if r["record_hint"] is None or t.known_as is None else True))
         sure = found if len(found) == 1 else [c for c in found if c[2]]
         order = f"{self.generation:06d}|{r['processing_order']:06d}|{r['source_type']}|{r['record_ord']:020d}"
         if len(sure) == 1:
@@ -183,9 +216,9 @@ class _Fold:
             t.links[record] = ["supporting", order]
             if r["takes_authority"]:
                 self._take_authority(txn, t, r)
-            self._decided(r, txn, "matched", distance, match, False)
+            self._decided(r, _id(txn), "matched", distance, match, False)
         elif found and r["on_ambiguous"] == "fail":
-            self._conflict(r, None, "several transactions match: " + ", ".join(sorted(c[0] for c in found)))
+            self._conflict(r, None, "several transactions match: " + ", ".join(sorted(_id(c[0]) for c in found)))
         elif r["target_linked"] or r["target"] in self.created:
             self._conflict(r, r["target"], "the new transaction's id is in use")
         else:
@@ -207,7 +240,7 @@ class _Fold:
             if t is not None:
                 waits = t.unread > 0 or r["link_transaction"] in stuck
             else:
-                waits = self.unread.get(r["target"], 0) > 0 or r["target"] in stuck or any(self.txns[x].unread > 0 or x in stuck for x in self._near(r))
+                waits = self.unread.get(r["target"], 0) > 0 or r["target"] in stuck or (self.tied or self.created) and any(self.txns[x].unread > 0 or x in stuck for x in self._near(r))
             if front is not None and (waits or any(day + reach >= front or (block, day) in near for block, day in places)):
                 near.update((block, d) for block, day in places for d in range(day - reach, day + reach + 1))
                 stuck.add(r["link_transaction"] or r["target"])
@@ -219,13 +252,9 @@ class _Fold:
         for txn in [*self.txns]:
             t = self.txns[txn]
             if front is None or not t.unread and not t.pending and (t.block is None or t.day + self.days < front and (t.block, t.day) not in reached):
-                self.out += [("link", txn, record, role, order, None, None, None, None, None) for record, (role, order) in t.links.items()]
+                self.out += [("link", _id(txn), record, role, order, None, None, None, None, None) for record, (role, order) in t.links.items()]
+                self._leave(txn, t)
                 del self.txns[txn]
-                if t.block is not None:
-                    at = self.at[t.block, t.day]
-                    at.pop(txn, None)
-                    if not at:
-                        del self.at[t.block, t.day]
 
 
 def _folded(days: int, generation: int):
@@ -279,27 +308,40 @@ def meeting_islands(rows: DataFrame, days: int = S.MATCH_WINDOW_DAYS) -> DataFra
     return numbered.select("block", "transaction_date", F.concat_ws("|", F.lit("i:"), "block", F.col("no").cast("string")).alias("island"), meets.alias("meets"))
 
 
-def _frontier(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that no decision can touch, and the others. A decision comes from an unlinked record or a
-    change of roles, and touches rows of the same type, currency and amount, and rows of their
-    transactions. So after a small change of a large ledger, what follows moves little more than the change."""
-    moving = F.col("open") | (F.col("takes_authority") & (F.col("role") != "authoritative"))
-    blocks = materialize(rows.where(moving).select("block").distinct(), "blocks")
-    txns = materialize(rows.where("not open").join(blocks, "block", "left_semi").select("link_transaction").distinct(), "transactions")
-    marked = rows.join(blocks.withColumn("near", F.lit(True)), "block", "left").join(txns.withColumn("own", F.lit(True)), "link_transaction", "left")
-    touched = F.coalesce("near", F.lit(False)) | F.coalesce("own", F.lit(False))
-    return marked.where(~touched).drop("near", "own"), marked.where(touched).drop("near", "own")
+_ORDER = ("processing_order", "source_type", "record_ord", "source_record_id")
+
+
+def _places(linked: DataFrame, policy: DataFrame) -> DataFrame:
+    """Where linked transactions stand: (block, transaction_date, source_type, record_hint) of the record that is the authority, with
+    the part of the order (``since``, ``until``; null without an end) in which decisions meet them there.
+
+    A linked record that takes authority does so at its place in the order, whatever was decided before. So each such record
+    begins a part of its own, and no decision on one part can touch another; that keeps islands apart that
+    would only share a transaction. Where the authority alone would take it back, and no record that takes authority
+    may look at its kind, there is one part."""
+    looked = policy.where("takes_authority").select(F.col("candidate_scope").alias("scope"))
+    kinds = policy.where("takes_authority").join(F.broadcast(looked), F.expr("scope = 'any' or scope = source_type"), "left_semi").select("source_type").distinct()
+    turning = linked.where("takes_authority").join(F.broadcast(kinds.withColumn("_looked", F.lit(True))), "source_type", "left").where("role <> 'authoritative' or _looked")
+    parted = linked.join(turning.select("link_transaction").distinct(), "link_transaction", "left_semi")
+    whole = linked.where("role = 'authoritative'").join(turning.select("link_transaction").distinct(), "link_transaction", "left_anti")
+    now = F.struct(*_ORDER)
+    none = F.lit(None).cast("struct<processing_order:int,source_type:string,record_ord:bigint,source_record_id:string>")
+    turn = Window.partitionBy("link_transaction").orderBy(*_ORDER)
+    taking = parted.where("takes_authority").withColumns({"phase": F.row_number().over(turn), "since": now, "until": F.lead(now).over(turn)})
+    first = taking.where("phase = 1").select("link_transaction", F.col("since").alias("until"))
+    begun = parted.where("role = 'authoritative'").join(first, "link_transaction").withColumns({"phase": F.lit(0), "since": none}).select(*taking.columns)
+    return taking.union(begun).union(whole.withColumns({"phase": F.lit(0), "since": none, "until": none}).select(*taking.columns))
 
 
 def reconcile(records: DataFrame, links: DataFrame, policy: DataFrame, hints: DataFrame | None = None, transaction_hints: DataFrame | None = None, overrides: DataFrame | None = None, generation: int = 1) -> DataFrame:
     """Decide for each record whether it joins a transaction or founds one.
 
     Returns links, decisions and conflicts in one table, tagged by ``kind``. A decision
-    reads only records that it could look at, in islands of days, and transactions; so
-    components of these are decided independently. Those without an unlinked record or a change
-    of roles pass as they are, and unlinked records that no other record could look at, or be seen
+    reads only records that it could look at, and places of transactions (``_places``), in islands of days; so
+    these are decided independently, but for records that would found one transaction. Linked records pass as they are,
+    and unlinked records that no other record could look at, or be seen
     by, found their transactions, both in plain projections. The others are folded
-    by date, with what is out of reach forgotten (``_Fold``).
+    by date, with what is out of reach forgotten (``_Fold``). The last record that took a transaction's authority has it in the end.
     ``hints`` is (source_record_id, merchant), ``transaction_hints`` (transaction_id,
     merchant), ``overrides`` (source_record_id, transaction_id, action).
     """
@@ -313,8 +355,12 @@ def reconcile(records: DataFrame, links: DataFrame, policy: DataFrame, hints: Da
     rows = rows.withColumn("open", F.col("link_transaction").isNull()).withColumn("target", F.when(F.col("open"), F.coalesce("override_transaction", ids.transaction_id())))
     block = F.concat_ws("|", "transaction_type", "currency", F.col("amount").cast("string"))
     rows = rows.select("source_record_id", "source_type", block.alias("block"), "transaction_date", "record_ord", "link_transaction", "role", "link_ord", "processing_order", "takes_authority", "candidate_scope", "on_ambiguous", "record_hint", "override_action", "open", "target")
-    untouched, rows = _frontier(materialize(rows, "records"))
-    rows = rows.join(meeting_islands(rows), ["block", "transaction_date"], "left").withColumn("meets", F.coalesce("meets", F.lit(False)))
+    every = materialize(rows, "records")
+    linked = every.where("not open")
+    blocks = materialize(every.where("open").select("block").distinct(), "blocks")
+    rows = _places(linked, policy).join(blocks, "block", "left_semi").unionByName(every.where("open"), allowMissingColumns=True)
+    rows = materialize(rows, "places")
+    rows = rows.join(meeting_islands(rows), ["block", "transaction_date"], "left").withColumn("meets", F.coalesce("meets", F.lit(False))).where("open or meets")
     rows = rows.withColumn("island", F.coalesce("island", F.concat_ws("|", F.lit("d:"), "block", F.col("transaction_date").cast("string"))))
     known = links.select(F.col("transaction_id").alias("target"), F.lit(True).alias("target_linked")).distinct()
     named = overrides.select(F.col("transaction_id").alias("target")).distinct()
@@ -331,20 +377,23 @@ def reconcile(records: DataFrame, links: DataFrame, policy: DataFrame, hints: Da
     direct = founders.select(*link("target", "authoritative", order_key(F.lit(generation), F.col("processing_order"), F.col("source_type"), F.col("record_ord")))).union(founders.select(*decision("target", action, action == "reused")))
     direct = direct.union(rows.where(alone & F.col("target_linked")).select(F.lit("conflict").alias("kind"), F.col("target").alias("transaction_id"), "source_record_id", none("string"), none("string"), none("string"), none("int"), none("boolean"), none("boolean"), F.lit("the new transaction's id is in use")))
     rest = rows.where(~alone)
-    edges = rest.select("island", F.concat(F.lit("t:"), F.coalesce("link_transaction", F.when(F.col("target_rows") > 1, F.col("target")))).alias("txn")).where("txn is not null").distinct()
-    several = edges.groupBy("txn").agg(F.count("*").alias("n")).where("n > 1").select("txn")
-    groups = connected_components(edges.join(several, "txn").select(F.col("island").alias("src"), F.col("txn").alias("dst")))
+    edges = rest.where("open and target_rows > 1").select("island", F.concat(F.lit("t:"), "target").alias("txn")).distinct()
+    groups = connected_components(edges.select(F.col("island").alias("src"), F.col("txn").alias("dst")))
     rest = rest.join(groups.select(F.col("node").alias("island"), F.col("root").alias("component")), "island", "left").withColumn("component", F.coalesce("component", "island"))
-    busy = rest.where("open or (takes_authority and role <> 'authoritative')").select("component").distinct()
-    passed = ["link_transaction", "source_record_id", "role", "link_ord"]
-    quiet = rest.join(busy, "component", "left_anti").select(*passed).union(untouched.select(*passed))
-    same = quiet.select(*link("link_transaction", None, F.col("link_ord"))).union(quiet.select(*decision("link_transaction", F.lit("reused"), F.lit(True))))
-    dealt = rest.join(busy, "component", "left_semi")
-    sizes = dealt.where("not open").groupBy("link_transaction").agg(F.count("*").cast("int").alias("txn_rows"))
-    dealt = dealt.join(sizes, "link_transaction", "left").join(transaction_hints.select(F.col("transaction_id").alias("link_transaction"), F.col("merchant").alias("transaction_hint")), "link_transaction", "left")
-    dealt = dealt.drop("island", "meets", "open")
+    dealt = rest.join(transaction_hints.select(F.col("transaction_id").alias("link_transaction"), F.col("merchant").alias("transaction_hint")), "link_transaction", "left")
+    dealt = dealt.drop("island", "meets", "open", "role", "link_ord").withColumn("txn_rows", F.lit(0))
     dealt = dealt.repartition("component").sortWithinPartitions("component", "transaction_date", "processing_order", "source_type", "record_ord")
-    return same.union(direct).union(dealt.mapInArrow(_folded(S.MATCH_WINDOW_DAYS, generation), _FOLDED))
+    decided = materialize(dealt.mapInArrow(_folded(S.MATCH_WINDOW_DAYS, generation), _FOLDED), "decided")
+    # the authority of each transaction that has moved: who took it last
+    joined = decided.where("kind = 'decision' and action = 'matched'").select("source_record_id", F.col("transaction_id").alias("link_transaction")).join(rest.where("open and takes_authority").select(*_ORDER), "source_record_id")
+    moved = joined.select("link_transaction").union(linked.where("takes_authority and role <> 'authoritative'").select("link_transaction")).distinct()
+    took = linked.where("takes_authority").join(moved, "link_transaction", "left_semi").select("link_transaction", *_ORDER).union(joined.select("link_transaction", *_ORDER))
+    chiefs = took.groupBy("link_transaction").agg(F.max_by("source_record_id", F.struct(*_ORDER)).alias("chief")).withColumnRenamed("link_transaction", "transaction_id")
+    tied = linked.select(*link("link_transaction", None, F.col("link_ord"))).union(decided.where("kind = 'link'"))
+    tied = tied.join(chiefs, "transaction_id", "left").withColumn("role", F.when(F.col("chief").isNull(), F.col("role")).when(F.col("chief") == F.col("source_record_id"), "authoritative").otherwise("supporting"))
+    names = [c.split()[0] for c in _FOLDED.split(", ")]
+    same = linked.select(*decision("link_transaction", F.lit("reused"), F.lit(True)))
+    return tied.select(*names).union(same).union(direct).union(decided.where("kind <> 'link'"))
 
 
 def links_of(result: DataFrame) -> DataFrame:

@@ -23,3 +23,28 @@ def test_actions_of_a_sync_are_not_broadcast(spark):
     got = schedule.due_actions(due, spark.createDataFrame([("a", "n", "created")], "source_record_id string, transaction_id string, action string"))
     assert "Broadcast" not in plan(got)
     assert {(r.source_record_id, r.transaction_id, r.action) for r in got.collect()} == {("a", "n", "created"), ("b", "t", None)}
+
+
+@pytest.mark.parametrize("seed", [7])
+def test_transactions_of_several_places_join_no_islands(spark, monkeypatch, seed):
+    """Linked records of other amounts and days that take authority, also from each other: decided as one loop does, island by island."""
+    import random
+
+    from purseflow.functions import ids
+    from purseflow.operators import identity
+    from tests.test_folds import REC, of_rows, reconcile_alone, scenario, some_records
+
+    policies = (("app", 50, True, "any", "create"), ("bank", 100, True, "manual", "create"), ("manual", 200, False, "any", "fail"))
+    rng, edges = random.Random(seed), []
+    whole = identity.connected_components
+    monkeypatch.setattr(identity, "connected_components", lambda e: edges.append(e.count()) or whole(e))
+    r = spark.createDataFrame(some_records(rng, 200), REC).withColumn("source_record_id", ids.source_record_id()).cache()
+    recs = [x.asDict() for x in r.withColumn("new", ids.transaction_id()).collect()]
+    links, hints, transaction_hints, _ = scenario(rng, recs)
+    out = identity.reconcile(
+        r, spark.createDataFrame(links, "transaction_id string, source_record_id string, role string, link_ord string"), identity.policies(spark, policies), spark.createDataFrame([*hints.items()], "source_record_id string, merchant string"),
+        spark.createDataFrame([*transaction_hints.items()], "transaction_id string, merchant string"),
+    )
+    got = of_rows(list(map(tuple, out.collect())))
+    assert got == reconcile_alone(recs, links, hints, transaction_hints, {}, policies)
+    assert sum(role == "supporting" for _, role in got[0].values()) > 20 and edges == [0]
