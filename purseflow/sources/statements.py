@@ -89,11 +89,11 @@ def statement_rows(digest: str, content: bytes) -> list[tuple]:
     return parts[0]
 
 
-def _read(frames):
+def _read(frame: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one mail (or of its copies)."""
     names = [c.split()[0] for c in _ROWS.split(", ")]
-    for frame in frames:
-        out = [row for digest, content in frame.itertuples(index=False, name=None) for row in statement_rows(digest, bytes(content))]
-        yield pd.DataFrame(out, columns=names)
+    out = [row for digest, content in frame[["digest", "content"]].itertuples(index=False, name=None) for row in statement_rows(digest, bytes(content))]
+    return pd.DataFrame(out, columns=names)
 
 
 def parse_statements(mail: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -104,7 +104,8 @@ def parse_statements(mail: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     is costly to read; the parsed rows are three cheap branches of one table."""
     from purseflow.storage import materialize
 
-    raw = materialize(mail.select("digest", "content").mapInPandas(_read, _ROWS), "statement_rows")
+    # by mail, as a batch of rows could be all mails of a task at once
+    raw = materialize(mail.select("digest", "content").groupBy("digest").applyInPandas(_read, _ROWS), "statement_rows")
     cell = lambda i: normal_space(F.get("cells", F.lit(i)))
     mmdd = r"^\d{4}$"
     rows = raw.select("digest", F.to_date("sent").alias("sent"), "part", "table_no", "error", cell(1).alias("day"), cell(2).alias("posted"), cell(3).alias("description"), parse_amount(cell(4)).alias("amount"))

@@ -48,3 +48,21 @@ def test_transactions_of_several_places_join_no_islands(spark, monkeypatch, seed
     got = of_rows(list(map(tuple, out.collect())))
     assert got == reconcile_alone(recs, links, hints, transaction_hints, {}, policies)
     assert sum(role == "supporting" for _, role in got[0].values()) > 20 and edges == [0]
+
+
+def test_mails_are_read_one_at_a_time(spark, monkeypatch):
+    from purseflow.sources import statements
+
+    whole = statements._read
+
+    def alone(frame):
+        assert frame["digest"].nunique() == 1
+        return whole(frame)
+
+    monkeypatch.setattr(statements, "_read", alone)
+    row = '<table width="643" height="18"><tr><td></td><td>0105</td><td>0106</td><td>shop</td><td>5</td><td></td><td></td><td></td></tr></table>'
+    mail = "Date: 10 Feb 2026 08:00:00 +0800\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+    mails = spark.createDataFrame([(f"m{i}", (mail + row * i).encode()) for i in range(5)], "digest string, content binary").coalesce(1)
+    records, dates, rejects = statements.parse_statements(mails)
+    assert records.count() == 10 and dates.count() == 4
+    assert [tuple(r) for r in rejects.collect()] == [("m0", "no statement table")]
