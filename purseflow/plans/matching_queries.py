@@ -35,7 +35,7 @@ def pair_candidates(spark, sf_dir):
     FROM (SELECT b.transaction_id, a.row_image, b.amount AS x, a.amount AS y, a.occurred_on - b.transaction_date AS d, a.merchant_key FROM bank_rows b LEFT JOIN app_rows a ON abs(a.amount) = abs(b.amount)) GROUP BY 1"""))
 def pair_diagnostics(spark, sf_dir):
     b = A.bank_rows(spark, sf_dir)
-    return matching.pair_diagnostics(b, matching.pairs(b, A.app_rows(spark, sf_dir)))
+    return matching.pair_diagnostics(b, A.app_rows(spark, sf_dir))
 
 
 @query()

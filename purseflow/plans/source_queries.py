@@ -356,7 +356,7 @@ _PAIRS = "SELECT b.transaction_id, count(a.row_image) AS n FROM bank_rows b LEFT
 
 def _diagnostics(spark, sf_dir):
     b = A.bank_rows(spark, sf_dir)
-    return matching.pair_diagnostics(b, matching.pairs(b, A.app_rows(spark, sf_dir)))
+    return matching.pair_diagnostics(b, A.app_rows(spark, sf_dir))
 
 
 @query(sql("bank_rows", "app_rows", then=f"SELECT n AS candidates, count(*) AS transactions FROM ({_PAIRS}) GROUP BY 1"))

@@ -66,3 +66,36 @@ def test_mails_are_read_one_at_a_time(spark, monkeypatch):
     records, dates, rejects = statements.parse_statements(mails)
     assert records.count() == 10 and dates.count() == 4
     assert [tuple(r) for r in rejects.collect()] == [("m0", "no statement table")]
+
+
+def money_rows(spark, seed=3, n=60):
+    """Bank transactions and app rows of few amounts and days; some have none."""
+    import random
+    from datetime import date, timedelta
+    from decimal import Decimal
+
+    rng = random.Random(seed)
+    amount = lambda: rng.choice([None, Decimal(0), Decimal(5), Decimal(-5), Decimal(7)])
+    day = lambda: rng.choice([None, *[date(2026, 1, 1) + timedelta(rng.randrange(25)) for _ in range(8)]])
+    bank = [(f"t{i}", day(), amount(), f"Desc {i % 7}") for i in range(n)]
+    app = [(f"r{i:03}", f"s{i % 4}", i, f"Shop {i % 9}", rng.choice([None, f"shop{i % 9}"]), amount(), day()) for i in range(n)]
+    return (
+        spark.createDataFrame(bank, "transaction_id string, transaction_date date, amount decimal(28,6), description string"),
+        spark.createDataFrame(app, "row_image string, source_stem string, row_index int, merchant_text string, merchant_key string, amount decimal(28,6), occurred_on date"),
+    )
+
+
+def test_diagnostics_count_pairs_without_making_them(spark, monkeypatch):
+    from purseflow.operators import matching
+
+    bank, app = money_rows(spark)
+    made = matching.pairs(bank, app).collect()
+    monkeypatch.setattr(matching, "pairs", None)
+    got = {r.transaction_id: r for r in matching.pair_diagnostics(bank, app).collect()}
+    assert len(got) == 60 and registry.QUERIES["candidate_histogram"](spark, SF).count()
+    for t, r in got.items():
+        own = [p for p in made if p.transaction_id == t]
+        days = [abs(p.day_delta) for p in own if p.day_delta is not None]
+        kinds = [sum(p.relation == k for p in own) for k in ("opposite", "same", "both_zero")]
+        near = [sum(d <= k for d in days) for k in (0, 1, 3, 7)]
+        assert list(r) == [t, len(own), *kinds, *near, len(own) - len(days), len({p.merchant_key for p in own} - {None})]
