@@ -373,7 +373,7 @@ def pair_summary(spark, sf_dir):
     FROM bank_rows b JOIN app_rows a ON abs(a.amount) = abs(b.amount)) WHERE rank <= 3"""))
 def pair_examples(spark, sf_dir):
     """The three best pairs of each transaction in their order (all similarities alike)."""
-    found = matching.pairs(A.bank_rows(spark, sf_dir), A.app_rows(spark, sf_dir)).withColumn("similarity", F.lit(0.0))
+    found = matching.nearest_pairs(A.bank_rows(spark, sf_dir), A.app_rows(spark, sf_dir), 3).withColumn("similarity", F.lit(0.0))
     return matching.ordered_pairs(found, 3).select("transaction_id", "row_image", "rank")
 
 

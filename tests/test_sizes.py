@@ -99,3 +99,14 @@ def test_diagnostics_count_pairs_without_making_them(spark, monkeypatch):
         kinds = [sum(p.relation == k for p in own) for k in ("opposite", "same", "both_zero")]
         near = [sum(d <= k for d in days) for k in (0, 1, 3, 7)]
         assert list(r) == [t, len(own), *kinds, *near, len(own) - len(days), len({p.merchant_key for p in own} - {None})]
+
+
+@pytest.mark.parametrize("examples", [1, 3])
+def test_examples_take_few_pairs_of_a_frequent_amount(spark, examples):
+    from purseflow.operators import matching
+
+    bank, app = money_rows(spark)
+    alike = lambda found: {tuple(r) for r in matching.ordered_pairs(found.withColumn("similarity", F.lit(0.0)), examples).select("transaction_id", "row_image", "relation", "day_delta", "rank").collect()}
+    few = matching.nearest_pairs(bank.where("transaction_date is not null"), app.where("occurred_on is not null"), examples)
+    assert few.groupBy("transaction_id").count().where(f"count > {examples}").isEmpty()
+    assert alike(matching.nearest_pairs(bank, app, examples)) == alike(matching.pairs(bank, app))
