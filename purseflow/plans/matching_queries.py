@@ -41,7 +41,7 @@ def pair_diagnostics(spark, sf_dir):
 @query()
 def pair_similarities(spark, sf_dir):
     b, a = A.bank_rows(spark, sf_dir), A.app_rows(spark, sf_dir)
-    return matching.pair_similarity(matching.pairs(b, matching.with_keys(a))).select("transaction_id", "row_image", "similarity")
+    return matching.pair_similarity(matching.pairs(matching.with_description_keys(b), matching.with_keys(a))).select("transaction_id", "row_image", "similarity")
 
 
 @query(sql("bank_rows", "app_rows", then="""SELECT description, merchant_key, count(*) AS seeds FROM (SELECT transaction_id, description, min(merchant_key) AS merchant_key FROM bank_rows b JOIN app_rows a ON b.amount = -a.amount AND a.occurred_on = b.transaction_date

@@ -110,3 +110,20 @@ def test_examples_take_few_pairs_of_a_frequent_amount(spark, examples):
     few = matching.nearest_pairs(bank.where("transaction_date is not null"), app.where("occurred_on is not null"), examples)
     assert few.groupBy("transaction_id").count().where(f"count > {examples}").isEmpty()
     assert alike(matching.nearest_pairs(bank, app, examples)) == alike(matching.pairs(bank, app))
+
+
+def test_similarities_are_measured_where_pairs_are_made(spark):
+    import random
+
+    import pandas as pd
+
+    from purseflow.functions import text
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcab1") for _ in range(rng.choice([0, 1, 3, 8, 14, 60])))
+    some = [(word(), word()) for _ in range(3000)] + [(None, "a"), ("a\0", "a"), ("店1", "店铺12")]
+    got = text._similarities(*map(pd.Series, zip(*some)))
+    assert list(got) == [text._one_similarity(x, y) for x, y in some]
+    tree = plan(registry.QUERIES["pair_similarities"](spark, SF))
+    above = tree.split("ArrowEvalPython", 1)
+    assert "Exchange" not in above[0] and "Join" in above[1].split("Exchange", 1)[0]
