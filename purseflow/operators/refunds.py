@@ -136,22 +136,33 @@ def keyed(transactions: DataFrame, enrichments: DataFrame) -> DataFrame:
 
 
 def meeting_points(rows: DataFrame) -> DataFrame:
-    """(key, merchant_name, period) where a refund of one key could meet a purchase of another.
+    """(key, merchant_name, period, size) where a refund of one key could meet a purchase of another.
 
-    Refunds and purchases of a merchant meet at points (merchant, 31 days of purchase):
-    a refund looks at its own and the period before. So there is a row for each key and
+    Refunds and purchases of a merchant meet at points (merchant, 31 days of purchase, amount):
+    a refund looks at its own and the period before, for its own amount. What remains of a purchase is its
+    amount, unless a refund of its own key came within those 30 days; such purchases stand at the point of size 0
+    too, and so do refunds, as far as one is smaller than the other. So there is a row for each key and
     point, never one for each pair of keys. Points without a refund, a purchase, or a second key join nothing."""
+    at = ["merchant_name", "period", "size"]
     period = F.expr(f"cast(floor(datediff(transaction_date, date'1970-01-01') / {REFUND_LOOKBACK_DAYS + 1}) as int)")
-    known = rows.where("merchant_name is not null").select("key", "merchant_name", period.alias("period"), (F.col("amount") < 0).alias("refund"))
-    points = known.select("key", "merchant_name", "refund", F.explode(F.when(F.col("refund"), F.array(F.col("period"), F.col("period") - 1)).otherwise(F.array("period"))).alias("period")).distinct()
-    meet = points.groupBy("merchant_name", "period").agg(F.bool_or("refund").alias("r"), F.bool_or(~F.col("refund")).alias("p"), (F.min("key") != F.max("key")).alias("several")).where("r and p and several")
-    return points.join(meet.select("merchant_name", "period"), ["merchant_name", "period"]).select("key", "merchant_name", "period").distinct()
+    known = rows.where("merchant_name is not null").select("key", "merchant_name", "transaction_date", "amount", period.alias("own"))
+    zero = F.lit(0).cast(MONEY)
+    asked = known.where("amount < 0").select("key", "merchant_name", (-F.col("amount")).cast(MONEY).alias("amount"), F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("period"))
+    asked = asked.select("*", F.explode(F.array("amount", zero)).alias("size"))
+    days = rows.where("amount < 0").groupBy("key").agg(F.collect_set("transaction_date").alias("days"))  # as many as the calendar has at most
+    changes = F.exists("days", lambda d: F.datediff(d, F.col("transaction_date")).between(0, REFUND_LOOKBACK_DAYS))
+    bought = known.where("amount > 0").join(days, "key", "left").select("key", "merchant_name", "amount", F.col("own").alias("period"), F.explode(F.when(changes, F.array(F.col("amount").cast(MONEY), zero)).otherwise(F.array(F.col("amount").cast(MONEY)))).alias("size"))
+    asking = asked.groupBy(*at).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("amount").alias("least"))
+    met = bought.join(asking, at).where("(low <> key or high <> key) and (size > 0 or amount > least)").select("key", *at, "amount")
+    met = materialize(met, "met")
+    offered = met.groupBy(*at).agg(F.max("amount").alias("most"))
+    return met.select("key", *at).union(asked.join(offered, at).where("size > 0 or amount < most").select("key", *at)).distinct()
 
 
 def refund_components(rows: DataFrame) -> DataFrame:
     """(key, component) of the keys that a refund could join over a merchant. A component may be
     larger than it must be, which changes no result."""
-    edges = meeting_points(rows).select(F.concat(F.lit("k:"), F.col("key")).alias("src"), F.concat_ws("\0", F.lit("p:"), "merchant_name", F.col("period").cast("string")).alias("dst"))
+    edges = meeting_points(rows).select(F.concat(F.lit("k:"), F.col("key")).alias("src"), F.concat_ws("\0", F.lit("p:"), "merchant_name", F.col("period").cast("string"), F.col("size").cast("string")).alias("dst"))
     found = connected_components(edges)
     return found.where("node like 'k:%'").select(F.expr("substr(node, 3)").alias("key"), F.col("root").alias("component"))
 
@@ -162,8 +173,8 @@ def reached_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
     points = materialize(meeting_points(rows), "points")
     known = newest = materialize(keys.select("key").distinct(), "keys")
     while True:
-        met = points.join(newest, "key", "left_semi").select("merchant_name", "period").distinct()
-        step = points.join(met, ["merchant_name", "period"], "left_semi").select("key").distinct().join(known, "key", "left_anti")
+        met = points.join(newest, "key", "left_semi").select("merchant_name", "period", "size").distinct()
+        step = points.join(met, ["merchant_name", "period", "size"], "left_semi").select("key").distinct().join(known, "key", "left_anti")
         newest = materialize(step, "keys")
         if newest.isEmpty():
             discard(points)
@@ -174,11 +185,14 @@ def reached_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
 def net_refunds(transactions: DataFrame, enrichments: DataFrame) -> DataFrame:
     """Balances and refund outcomes, tagged by ``kind``: a row for each purchase with what
     remains, a row for each refund with its rule (exact, merchant, partial, none)."""
-    rows = keyed(transactions, enrichments)
-    rows = rows.join(refund_components(rows), "key", "left").withColumn("component", F.coalesce("component", F.concat(F.lit("k:"), F.col("key"))))
-    touched = rows.where("amount < 0").select("component").distinct()
-    plain = rows.join(touched, "component", "left_anti").select(F.lit("balance").alias("kind"), "transaction_id", "amount", F.col("amount").alias("remaining"), F.lit(None).cast("string").alias("rule"), F.lit(0).cast(MONEY).alias("matched"))
-    dealt = rows.join(touched, "component", "left_semi").repartition("component").sortWithinPartitions("component", "transaction_date", "txn_ord")
+    rows = materialize(keyed(transactions, enrichments), "rows")
+    joined = refund_components(rows)  # each of these has a refund
+    alone = rows.where("amount < 0").select("key").distinct().join(joined, "key", "left_anti").select("key", F.concat(F.lit("k:"), F.col("key")).alias("component"))
+    # written before they are dealt: where the join beneath is sent to every task in the end, a component could come to several of them
+    dealt = materialize(rows.join(joined.union(alone), "key", "left"), "dealt")
+    discard(rows)
+    plain = dealt.where("component is null").select(F.lit("balance").alias("kind"), "transaction_id", "amount", F.col("amount").alias("remaining"), F.lit(None).cast("string").alias("rule"), F.lit(0).cast(MONEY).alias("matched"))
+    dealt = dealt.where("component is not null").repartition("component").sortWithinPartitions("component", "transaction_date", "txn_ord")
     folded = dealt.select("component", "transaction_id", "transaction_date", "amount", "key", "merchant_name").mapInPandas(_fold, OUTCOME)
     return plain.union(folded)
 

@@ -127,3 +127,51 @@ def test_similarities_are_measured_where_pairs_are_made(spark):
     tree = plan(registry.QUERIES["pair_similarities"](spark, SF))
     above = tree.split("ArrowEvalPython", 1)
     assert "Exchange" not in above[0] and "Join" in above[1].split("Exchange", 1)[0]
+
+
+def some_purchases(spark, seed, n=4_000):
+    """Transactions and enrichments: purchases and refunds of few amounts on near days, of keys with one or more merchants."""
+    import datetime
+    import random
+    from decimal import Decimal
+
+    rng = random.Random(seed)
+    day = lambda: datetime.date(2026, 1, 1) + datetime.timedelta(days=rng.randrange(200))
+    rows = [(f"t{i:05d}", "expense", day(), i, Decimal(rng.choice([1, 1, 1, -1]) * rng.choice([10, 20, 30, 35])), rng.randrange(n // 10)) for i in range(n)]
+    t = spark.createDataFrame([(*r[:5], f"d{r[5]}", r[0]) for r in rows], "transaction_id string, transaction_type string, transaction_date date, txn_ord long, amount decimal(28,6), description string, source_record_id string")
+    e = spark.createDataFrame([(r[0], rng.choice([f"m{r[5] // 4}", f"m{r[5] // 4}", "all", None])) for r in rows], "transaction_id string, merchant_name string")
+    return t, e
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_netting_by_components_is_netting_of_the_whole(spark, seed):
+    """Components that are dealt after a join that turns out small enough to be sent to every task, against one ledger of all."""
+    from purseflow.operators import refunds
+
+    t, e = some_purchases(spark, seed)
+    rows = refunds.keyed(t, e).orderBy("transaction_date", "txn_ord").selectExpr("'c' as component", "transaction_id", "transaction_date", "amount", "key", "merchant_name")
+    want = {tuple(r) for frame in refunds._fold([rows.toPandas()]) for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False)}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+    try:
+        got = {tuple(r) for r in refunds.net_refunds(t.repartition(8), e.repartition(8)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert got == want
+
+
+def test_keys_whose_amounts_cannot_meet_are_in_no_component(spark):
+    import datetime
+    from decimal import Decimal
+
+    from purseflow.operators import refunds
+
+    day = lambda n: datetime.date(2026, 1, 1) + datetime.timedelta(days=n)
+    rows = [("a", day(0), 10, "m"), ("b", day(1), -20, "m"), ("c", day(1), 20, "n"), ("d", day(9), -20, "n"), ("e", day(0), 40, "o"), ("e", day(3), -5, "o"), ("f", day(5), -35, "o"), ("f", day(0), 40, "p"), ("g", day(5), -35, "p")]
+    of = spark.createDataFrame([(k, d, Decimal(a), m) for k, d, a, m in rows], "key string, transaction_date date, amount decimal(28,6), merchant_name string")
+    found = {r.key: r.component for r in refunds.refund_components(of).collect()}
+    # a is too small for b; d takes c; what f leaves of 40 is g's, and what e leaves is f's
+    assert "a" not in found and "b" not in found
+    assert found["c"] == found["d"] and found["e"] == found["f"] == found["g"] != found["c"]
