@@ -580,3 +580,20 @@ def test_line_links_of_the_given_documents(spark):
             found += groups.get(a, a) == groups.get(b, b)
     print("pairs", near, "found", found)
     assert near > 20 and found > 0.9 * near
+
+
+def test_whole_line_dedup_meets_all_lines_under_crowded_keys(spark):
+    """Lines of few words in many orders, with edits at the limit: each word is in very many unlike lines, and every link is found."""
+    rng = random.Random(11)
+    vocabulary, pairs = [sentence(rng, 1) + str(chr(97 + i)) for i in range(20)], []
+    for _ in range(400):
+        words = [rng.choice(vocabulary) for _ in range(12)]
+        other = list(words)
+        for i in rng.sample(range(12), 2):
+            other[i] = rng.choice(vocabulary)
+        pairs.append((" ".join(words), " ".join(other)))
+    places = linededup.whole_places(table(spark, list(enumerate(t for pair in pairs for t in pair)))).cache()
+    groups = {r.node: r.root for r in linededup.whole_groups(places).collect()}
+    line = {r.doc_id: r.line for r in places.collect()}
+    at = [groups.get(line[i], line[i]) for i in range(2 * len(pairs))]
+    assert [i for i in range(len(pairs)) if at[2 * i] != at[2 * i + 1]] == []
