@@ -175,3 +175,37 @@ def test_keys_whose_amounts_cannot_meet_are_in_no_component(spark):
     # a is too small for b; d takes c; what f leaves of 40 is g's, and what e leaves is f's
     assert "a" not in found and "b" not in found
     assert found["c"] == found["d"] and found["e"] == found["f"] == found["g"] != found["c"]
+
+
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {str(blocks.apply(i)) for i in range(blocks.size()) if str(blocks.apply(i)).startswith("shuffle_")}
+
+
+def left_of(spark, before):
+    """Shuffle files that are there now and weren't before; deleting them takes a moment."""
+    import time
+
+    for _ in range(50):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.2)
+    return shuffle_files(spark) - before
+
+
+def test_a_written_table_leaves_no_shuffles(spark):
+    from purseflow.storage import materialize
+
+    before = shuffle_files(spark)
+    one = materialize(spark.range(1000).repartition(3, "id"))
+    assert not left_of(spark, before)
+    assert sorted(r.id for r in one.collect()) == [*range(1000)]
+
+
+def test_parts_are_written_as_one_table(spark):
+    from purseflow.storage import gather
+
+    before = shuffle_files(spark)
+    several = gather(spark.range(1000).where(f"id % 3 = {i}").repartition(3, "id") for i in range(3))
+    assert not left_of(spark, before)
+    assert sorted(r.id for r in several.collect()) == [*range(1000)] and plan(several).count("FileScan") == 1
