@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from purseflow import schemas as S
 from purseflow.functions import ids
 from purseflow.operators.components import connected_components
-from purseflow.storage import materialize
+from purseflow.storage import discard, gather, materialize
 
 
 def policies(spark: SparkSession, rows=S.DEFAULT_POLICIES) -> DataFrame:
@@ -359,8 +359,8 @@ def reconcile(records: DataFrame, links: DataFrame, policy: DataFrame, hints: Da
     linked = every.where("not open")
     blocks = materialize(every.where("open").select("block").distinct(), "blocks")
     rows = _places(linked, policy).join(blocks, "block", "left_semi").unionByName(every.where("open"), allowMissingColumns=True)
-    rows = materialize(rows, "places")
-    rows = rows.join(meeting_islands(rows), ["block", "transaction_date"], "left").withColumn("meets", F.coalesce("meets", F.lit(False))).where("open or meets")
+    places = materialize(rows, "places")
+    rows = places.join(meeting_islands(places), ["block", "transaction_date"], "left").withColumn("meets", F.coalesce("meets", F.lit(False))).where("open or meets")
     rows = rows.withColumn("island", F.coalesce("island", F.concat_ws("|", F.lit("d:"), "block", F.col("transaction_date").cast("string"))))
     known = links.select(F.col("transaction_id").alias("target"), F.lit(True).alias("target_linked")).distinct()
     named = overrides.select(F.col("transaction_id").alias("target")).distinct()
@@ -368,6 +368,7 @@ def reconcile(records: DataFrame, links: DataFrame, policy: DataFrame, hints: Da
     opened = rows.where("open").join(known, "target", "left").join(shared, "target", "left")
     rows = rows.where("not open").withColumns({"target_linked": F.lit(None).cast("boolean"), "target_rows": F.lit(None).cast("int")}).unionByName(opened)
     rows = materialize(rows.withColumns({"target_linked": F.coalesce("target_linked", F.lit(False)), "target_rows": F.coalesce("target_rows", F.lit(1))}), "islands")
+    discard(places, blocks)
     none = lambda t: F.lit(None).cast(t)
     link = lambda txn, role, order: [F.lit("link").alias("kind"), F.col(txn).alias("transaction_id"), "source_record_id", F.lit(role).alias("role") if role else F.col("role"), order.alias("link_ord"), none("string").alias("action"), none("int").alias("day_distance"), none("boolean").alias("merchant_match"), none("boolean").alias("identity_match"), none("string").alias("detail")]
     decision = lambda txn, action, same: [F.lit("decision").alias("kind"), F.col(txn).alias("transaction_id"), "source_record_id", none("string").alias("role"), none("string").alias("link_ord"), action.alias("action"), none("int").alias("day_distance"), none("boolean").alias("merchant_match"), same.alias("identity_match"), none("string").alias("detail")]
@@ -393,7 +394,9 @@ def reconcile(records: DataFrame, links: DataFrame, policy: DataFrame, hints: Da
     tied = tied.join(chiefs, "transaction_id", "left").withColumn("role", F.when(F.col("chief").isNull(), F.col("role")).when(F.col("chief") == F.col("source_record_id"), "authoritative").otherwise("supporting"))
     names = [c.split()[0] for c in _FOLDED.split(", ")]
     same = linked.select(*decision("link_transaction", F.lit("reused"), F.lit(True)))
-    return tied.select(*names).union(same).union(direct).union(decided.where("kind <> 'link'"))
+    result = gather([tied.select(*names), same.union(direct).union(decided.where("kind <> 'link'"))], "reconciled")
+    discard(every, rows, decided)
+    return result
 
 
 def links_of(result: DataFrame) -> DataFrame:
@@ -414,13 +417,16 @@ def reconsider(records: DataFrame, links: DataFrame, changed: DataFrame, policy:
     else it gets the old id back."""
     dropped = links.join(changed.select("source_record_id"), "source_record_id")
     kept = links.join(changed.select("source_record_id"), "source_record_id", "left_anti")
-    kept = recover_authority(records, kept, policy)
+    kept = materialize(recover_authority(records, kept, policy), "links")
     alive = kept.select("transaction_id").distinct().withColumn("alive", F.lit(True))
     old = dropped.select("source_record_id", "transaction_id").join(alive, "transaction_id", "left")
     overrides = old.select(
         "source_record_id", F.when(F.col("alive"), ids.split_transaction_id(F.col("source_record_id"), F.col("transaction_id"))).otherwise(F.col("transaction_id")).alias("transaction_id"), F.when(F.col("alive"), "created").otherwise("reused").alias("action"),
     )
-    return reconcile(records, kept, policy, hints, transaction_hints, overrides, generation)
+    overrides = materialize(overrides, "overrides")
+    result = reconcile(records, kept, policy, hints, transaction_hints, overrides, generation)
+    discard(kept, overrides)
+    return result
 
 
 def merchant_hints(records: DataFrame, description_map: DataFrame, enrichments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -436,11 +442,15 @@ def sync(records: DataFrame, links: DataFrame, policy: DataFrame, decisions: Dat
     (source_record_id), those records are decided on anew. Returns the result of ``reconcile``, the
     kept decisions, and one row of counts."""
     present = links.join(records.select("source_record_id"), "source_record_id", "left_semi")
+    # what several steps read is written first, so that its shuffles aren't on disk beside theirs
+    hints, transaction_hints = (None if h is None else materialize(h, "hints") for h in (hints, transaction_hints))
     if changed is None:
-        result = reconcile(records, recover_authority(records, present, policy), policy, hints, transaction_hints, generation=generation)
+        authorised = materialize(recover_authority(records, present, policy), "links")
+        result = reconcile(records, authorised, policy, hints, transaction_hints, generation=generation)
+        discard(authorised)
     else:
         result = reconsider(records, present, changed, policy, hints, transaction_hints, generation)
-    result = materialize(result, "reconciled")
+    discard(hints, transaction_hints)
     kept = decisions.join(links_of(result).select("transaction_id").distinct(), "transaction_id", "left_semi")
     counts = decisions_of(result).agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("created", "matched", "reused")])
     transactions = links_of(result).agg(F.countDistinct("transaction_id").alias("transactions"))

@@ -209,3 +209,20 @@ def test_parts_are_written_as_one_table(spark):
     several = gather(spark.range(1000).where(f"id % 3 = {i}").repartition(3, "id") for i in range(3))
     assert not left_of(spark, before)
     assert sorted(r.id for r in several.collect()) == [*range(1000)] and plan(several).count("FileScan") == 1
+
+
+@pytest.mark.parametrize("changed", [False, True])
+def test_a_sync_leaves_its_result_alone_on_disk(spark, changed):
+    import glob
+
+    from purseflow.operators import identity
+    from purseflow.plans import adapters as A
+    from purseflow.storage import shared_dir
+
+    tables = lambda: {p.rsplit("/", 1)[1] for p in glob.glob(shared_dir(spark).removeprefix("file://") + "/purseflow/*/*") if p not in old}
+    old = set(glob.glob(shared_dir(spark).removeprefix("file://") + "/purseflow/*/*"))
+    r = A.records(spark, SF)
+    some = r.where("record_ord % 50 = 0").select("source_record_id") if changed else None
+    result, _, counts = identity.sync(r, identity.own_links(r.where("record_ord % 11 <> 0")), identity.policies(spark), A.decisions(spark, SF), changed=some)
+    assert tables() - {"edges"} == {"reconciled"}
+    assert counts.first().records == r.count() and identity.links_of(result).count() > 0
