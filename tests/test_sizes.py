@@ -226,3 +226,14 @@ def test_a_sync_leaves_its_result_alone_on_disk(spark, changed):
     result, _, counts = identity.sync(r, identity.own_links(r.where("record_ord % 11 <> 0")), identity.policies(spark), A.decisions(spark, SF), changed=some)
     assert tables() - {"edges"} == {"reconciled"}
     assert counts.first().records == r.count() and identity.links_of(result).count() > 0
+
+
+def test_the_waves_of_a_matching_are_read_as_one_table(spark, monkeypatch):
+    from purseflow.operators import matching
+
+    bank, app = money_rows(spark)
+    waves, whole = [], matching._seeds
+    monkeypatch.setattr(matching, "_seeds", lambda edges: waves.append(1) or whole(edges))
+    got = matching.match_descriptions(bank.where("transaction_date is not null"), app)
+    assert len(waves) > 1 and plan(got).count("FileScan") <= 5
+    assert {r.kind for r in got.select("kind").distinct().collect()} == {"group", "assignment", "candidate"}
